@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, sharding
+from . import chat, neardup, sharding
 
 
 def queries() -> dict:
     return {
         "op1_perspective_rotation": chat.op1_perspective_rotation,
+        "op2_dart_minhash": neardup.op2_dart_minhash,
         "op3_feistel_shards": sharding.op3_feistel_shards,
     }
 
