@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, neardup, sharding
+from . import chat, neardup, packing, sharding
 
 
 def queries() -> dict:
     return {
         "op1_perspective_rotation": chat.op1_perspective_rotation,
         "op2_dart_minhash": neardup.op2_dart_minhash,
+        "op4_hilbert_packing": packing.op4_hilbert_packing,
         "op3_feistel_shards": sharding.op3_feistel_shards,
     }
 
