@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, neardup, packing, sharding
+from . import chat, language, neardup, packing, sharding
 
 
 def queries() -> dict:
     return {
         "op1_perspective_rotation": chat.op1_perspective_rotation,
+        "op10_zstd_language": language.op10_zstd_language,
         "op2_dart_minhash": neardup.op2_dart_minhash,
         "op4_hilbert_packing": packing.op4_hilbert_packing,
         "op3_feistel_shards": sharding.op3_feistel_shards,
