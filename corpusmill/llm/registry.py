@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language, neardup, packing, sharding
+from . import chat, language, neardup, packing, quality, sharding
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op10_zstd_language": language.op10_zstd_language,
         "op2_dart_minhash": neardup.op2_dart_minhash,
         "op4_hilbert_packing": packing.op4_hilbert_packing,
+        "op8_kneser_ney_quality": quality.op8_kneser_ney_quality,
         "op3_feistel_shards": sharding.op3_feistel_shards,
     }
 
