@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language, neardup, packing, quality, sharding
+from . import chat, language, linededup, neardup, packing, quality, sharding
 
 
 def queries() -> dict:
@@ -11,10 +11,11 @@ def queries() -> dict:
         "op10_zstd_language": language.op10_zstd_language,
         "op2_dart_minhash": neardup.op2_dart_minhash,
         "op4_hilbert_packing": packing.op4_hilbert_packing,
+        "op6_levelled_line_runs": linededup.op6_levelled_line_runs,
         "op8_kneser_ney_quality": quality.op8_kneser_ney_quality,
         "op3_feistel_shards": sharding.op3_feistel_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_perspective_rotation": chat.ORACLE}
+    return {"op1_perspective_rotation": chat.ORACLE, "op6_levelled_line_runs": linededup.ORACLE}
