@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language, linededup, neardup, packing, quality, sharding
+from . import chat, language, linededup, neardup, packing, quality, sharding, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_dart_minhash": neardup.op2_dart_minhash,
         "op4_hilbert_packing": packing.op4_hilbert_packing,
         "op6_levelled_line_runs": linededup.op6_levelled_line_runs,
+        "op7_warc_history": warc.op7_warc_history,
         "op8_kneser_ney_quality": quality.op8_kneser_ney_quality,
         "op3_feistel_shards": sharding.op3_feistel_shards,
     }
