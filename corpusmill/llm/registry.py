@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language, linededup, neardup, packing, quality, sharding, warc
+from . import chat, decontaminate, language, linededup, neardup, packing, quality, sharding, warc
 
 
 def queries() -> dict:
@@ -13,10 +13,11 @@ def queries() -> dict:
         "op4_hilbert_packing": packing.op4_hilbert_packing,
         "op6_levelled_line_runs": linededup.op6_levelled_line_runs,
         "op7_warc_history": warc.op7_warc_history,
+        "op9_positional_index": decontaminate.op9_positional_index,
         "op8_kneser_ney_quality": quality.op8_kneser_ney_quality,
         "op3_feistel_shards": sharding.op3_feistel_shards,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_perspective_rotation": chat.ORACLE, "op6_levelled_line_runs": linededup.ORACLE}
+    return {"op1_perspective_rotation": chat.ORACLE, "op6_levelled_line_runs": linededup.ORACLE, "op9_positional_index": decontaminate.ORACLE}
