@@ -26,6 +26,7 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -40,7 +41,7 @@ CAPACITY = 2048
 END_ID = 1
 DIMENSIONS, BITS = 3, 10
 CELL_BITS = 12
-CACHED_WORDS = 500_000
+CACHED_WORDS = 800_000
 
 
 def worker_store() -> dict:
@@ -51,6 +52,27 @@ def worker_store() -> dict:
     return sys.modules[name].__dict__.setdefault("kept", {})
 
 
+class Grown:
+    """An array that takes rows at its end."""
+
+    def __init__(self, like: np.ndarray) -> None:
+        self.data, self.size = np.zeros((1024, *like.shape[1:]), like.dtype), 0
+
+    def add(self, rows: np.ndarray) -> None:
+        while self.size + len(rows) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        self.data[self.size : self.size + len(rows)] = rows
+        self.size += len(rows)
+
+    def now(self) -> np.ndarray:
+        return self.data[: self.size]
+
+
+def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places start..start+length-1 of each pair, in a row."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
 class WordEncoder:
     """Ids and hashed vectors of words, each encoded once until the cache is full."""
 
@@ -65,59 +87,50 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.codes: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.tables: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None
+        self.flat, self.start, self.length = Grown(np.zeros(0, np.uint16)), Grown(np.zeros(0, np.int64)), Grown(np.zeros(0, np.int64))
+        self.vector = Grown(np.zeros((0, DIMENSIONS), np.float32))
 
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint16)
 
     def learn(self, words: set[bytes]) -> None:
-        alone, bodies, composed = [], [], []
-        for w in words:
-            body = w.rstrip(b".,")
-            if len(body) < len(w) and body and body[-1:].isalpha():
-                composed.append((w, body, w[len(body) :]))
-                words_of = (body, w[len(body) :])
-            else:
-                words_of = (w,)
-            for x in words_of:
-                if x not in self.codes:
-                    self.codes[x] = -1
-                    text = x.decode("utf-8", "replace")
-                    (bodies if text.isalpha() and text.lower() == text and is_normalized("NFC", text) else alone).append((x, text))
-        if bodies:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(t for _, t in bodies)], add_special_tokens=False)[0].ids, np.uint16)
-            parts = np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1)
-            if len(parts) == len(bodies):
-                for (x, _), own in zip(bodies, parts, strict=True):
-                    self._put(x, own)
+        known = self.codes
+        closed = [w for w in words if w[-1] in b".," and w[-2:-1].isalpha()]  # a word and one mark, which are two pieces
+        plain = words.difference(closed)
+        plain.update([w[:-1] for w in closed], [w[-1:] for w in closed])
+        plain = {w for w in plain if w not in known}
+        letters = [w for w in plain if w.isalpha()]  # ASCII: one piece each
+        for w in plain.difference(letters):
+            text = w.decode("utf-8", "replace")
+            if text.isalpha() and text.lower() == text and is_normalized("NFC", text):
+                letters.append(w)
+        if letters:
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(letters).decode()], add_special_tokens=False)[0].ids, np.uint16)
+            length = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(length) == len(letters):
+                self._put(letters, ids, length)
             else:
-                alone += bodies
-        if alone:
-            for (x, _), e in zip(alone, self.tokenizer.encode_batch_fast([t for _, t in alone], add_special_tokens=False), strict=True):
-                self._put(x, np.array(e.ids, np.uint16))
-        for w, body, tail in composed:
-            self._put(w, np.concatenate([self.ids[self.codes[body]], self.ids[self.codes[tail]]]))
-        self.tables = None
-
-    def _put(self, word: bytes, ids: np.ndarray) -> None:
-        self.codes[word] = len(self.ids)
-        self.ids.append(ids)
-
-    def lookup(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All words' ids, their starts and lengths, and their vectors."""
-        if self.tables is None:
-            length = np.array([len(x) for x in self.ids], np.int64)
-            flat = np.concatenate(self.ids) if self.ids else np.zeros(0, np.uint16)
-            start = np.cumsum(length) - length
-            # a word's vector is a hash of its ids, not of its place in the cache
-            weight = mix(flat.astype(np.uint64) + np.uint64(1)) * (np.uint64(1) + np.uint64(2) * (np.arange(len(flat)) - np.repeat(start, length)).astype(np.uint64))
-            total = np.zeros(len(flat) + 1, np.uint64)
-            np.cumsum(weight, out=total[1:])
-            name = mix(total[start + length] - total[start])
-            vector = np.stack([(mix(name + np.uint64(d + 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 - 0.5 for d in range(DIMENSIONS)], axis=1)
-            self.tables = flat, start, length, vector
-        return self.tables
+                letters = []
+        if rest := list(plain.difference(letters)):
+            each = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)]
+            self._put(rest, np.array([i for ids in each for i in ids], np.uint16), np.array([len(ids) for ids in each], np.int64))
+        if closed:
+            both = np.array([[known[w[:-1]], known[w[-1:]]] for w in closed])
+            start, length = self.start.now()[both], self.length.now()[both]
+            self._put(closed, self.flat.now()[spans(start.reshape(-1), length.reshape(-1))], length.sum(axis=1))
+
+    def _put(self, words: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
+        self.codes.update(zip(words, range(self.start.size, self.start.size + len(words)), strict=True))
+        own = np.cumsum(length) - length
+        # a word's vector is a hash of its ids, not of its place in the cache
+        order = (np.arange(len(ids)) - np.repeat(own, length)).astype(np.uint64)
+        total = np.zeros(len(ids) + 1, np.uint64)
+        np.cumsum(mix(ids.astype(np.uint64) + np.uint64(1)) * (np.uint64(1) + np.uint64(2) * order), out=total[1:])
+        name = mix(total[own + length] - total[own])
+        self.vector.add(np.stack([(mix(name + np.uint64(d + 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 - 0.5 for d in range(DIMENSIONS)], axis=1))
+        self.start.add(own + self.flat.size)
+        self.length.add(length)
+        self.flat.add(ids)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in a row, ids per text, mean vector per text."""
@@ -128,21 +141,19 @@ class WordEncoder:
                 split.append([])
             else:
                 split.append(text.lower().split())
-        new = set().union(*split) - self.codes.keys()
+        new = {w for w in set().union(*split) if w not in self.codes}
         if len(self.codes) + len(new) > CACHED_WORDS:
             self.clear()
             new = set().union(*split)
         if new:
             self.learn(new)
-        flat, start, length, vector = self.lookup()
-        get = self.codes.__getitem__
-        code = np.fromiter((c for words in split for c in map(get, words)), np.int64, sum(map(len, split)))
         per_text = np.array([len(w) for w in split], np.int64)
+        code = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(split)), np.int64, int(per_text.sum()))
         text = np.repeat(np.arange(len(texts)), per_text)
-        size = length[code]
-        at = np.repeat(start[code] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        ids = flat[at]
+        size = self.length.now()[code]
+        ids = self.flat.now()[spans(self.start.now()[code], size)]
         count = np.bincount(text, size, len(texts)).astype(np.int64)
+        vector = self.vector.now()
         mean = np.stack([np.bincount(text, vector[code, d], len(texts)) for d in range(DIMENSIONS)], axis=1) / np.maximum(1, per_text)[:, None]
         if odd:
             parts = np.split(ids, np.cumsum(count)[:-1])
