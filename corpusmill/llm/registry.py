@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, linededup, neardup, packing, quality, sharding, warc
+from . import chat, decontaminate, language, linededup, neardup, packing, privacy, quality, sharding, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_levelled_line_runs": linededup.op6_levelled_line_runs,
         "op7_warc_history": warc.op7_warc_history,
         "op9_positional_index": decontaminate.op9_positional_index,
+        "op5_disclosure": privacy.op5_disclosure,
         "op8_kneser_ney_quality": quality.op8_kneser_ney_quality,
         "op3_feistel_shards": sharding.op3_feistel_shards,
     }
