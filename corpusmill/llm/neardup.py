@@ -327,14 +327,27 @@ def node():
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
-    """_id, _text (text_key of a row) and doc_id, class_id (the class's smallest doc_id)."""
+    """_id, _text (text_key of a row), doc_id, component (null: a null text, alone) and class_id, the class's smallest doc_id."""
     rows = docs.select(*text_key(), F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNotNull(), node()).alias("_node"))
     joined = components(links(docs, **options))
     known = rows.filter("_node is not null").join(joined, "_node", "left").withColumn("component", F.coalesce("component", "_node"))
     known = written(known.select("_id", "_text", "doc_id", "component"), "members")
     named = known.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    known = known.join(named, "component").select("_id", "_text", "doc_id", "class_id")
-    return known.union(rows.filter("_node is null").select("_id", "_text", "doc_id", F.col("doc_id").alias("class_id")))
+    known = known.join(named, "component").select("_id", "_text", "doc_id", "component", "class_id")
+    alone = rows.filter("_node is null").select("_id", "_text", "doc_id", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("class_id"))
+    return known.union(alone)
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """docs without all but the first row, by doc_id, of each class; rows of null text stay."""
+    found = written(classes(docs, **options).select("_id", "_text", "component"), "classes")
+    first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("_id", "_text")).alias("k")).select("k._id", "k._text")
+    first = written(first.union(found.filter("component is null").select("_id", "_text")), "first")
+    kept = docs.select("*", *text_key()).join(small(first), ["_id", "_text"], "left_semi")
+    repeated = found.filter("component is not null").groupBy("_id", "_text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not repeated.isEmpty():  # rows equal in doc_id and text
+        kept = kept.filter("text is null").unionByName(kept.filter("text is not null").dropDuplicates(["_id", "_text"]))
+    return kept.drop("_id", "_text")
 
 
 def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

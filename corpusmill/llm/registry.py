@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, decontaminate, language, linededup, neardup, packing, privacy, quality, sharding, warc
 
 
 def queries() -> dict:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_perspective_rotation": chat.op1_perspective_rotation,
         "op10_zstd_language": language.op10_zstd_language,
         "op2_dart_minhash": neardup.op2_dart_minhash,
@@ -21,4 +24,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_perspective_rotation": chat.ORACLE, "op6_levelled_line_runs": linededup.ORACLE, "op9_positional_index": decontaminate.ORACLE}
+    return {
+        "op1_perspective_rotation": chat.ORACLE,
+        "op6_levelled_line_runs": linededup.ORACLE,
+        "op9_positional_index": decontaminate.ORACLE,
+    }
