@@ -192,11 +192,14 @@ def _agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
             yield batch.select(["a", "b"]).filter(pa.array(same >= least))
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of (bucket, block): agreeing pairs of a sent row and a dealt one of another component."""
+def _across(batches: Iterator[pa.RecordBatch], least: float, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of (bucket, block): agreeing pairs of a sent row and a dealt one of another component.
+
+    At most min(shared) of two sets' elements can be in both, which rules out most pairs.
+    """
 
     def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
-        bucket, block, sent, node, component, signed = columns
+        bucket, block, sent, node, component, size, shared, signed = columns
         edge = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])))
         a, b = [], []
         for first, last in zip(edge, np.append(edge[1:], len(bucket)), strict=True):
@@ -204,6 +207,8 @@ def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
             dealt = at[~sent[first:last]]
             for i in at[sent[first:last]]:
                 other = dealt[component[dealt] != component[i]]
+                both = np.minimum(shared[other], shared[i])
+                other = other[both >= similarity * (size[other] + size[i] - both)]
                 other = other[(signed[other] == signed[i]).mean(axis=1) >= least]
                 a.append(np.minimum(node[other], node[i]))
                 b.append(np.maximum(node[other], node[i]))
@@ -214,7 +219,7 @@ def _across(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Reco
     for batch in batches:
         if not len(batch):
             continue
-        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "block", "sent", "_node", "component")]
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "block", "sent", "_node", "component", "size", "shared")]
         new.append(_signature_matrix(batch.column("signature")))
         held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
         other = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
@@ -241,6 +246,22 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        each = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("elements")]
+        nodes = np.repeat(batch.column("_node").to_numpy(), [len(x) for x in each])
+        yield pa.RecordBatch.from_pydict({"_node": pa.array(nodes), "element": pa.array(np.concatenate([np.zeros(0, np.int64), *each]))})
+
+
+def _sizes(sets: DataFrame) -> DataFrame:
+    """_node, size and shared: a set's elements, and those of them that another of the sets has too."""
+    elements = sets.mapInArrow(_elements, "_node long, element long")
+    alone = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.first("_node").alias("_node")).filter("n = 1")
+    alone = alone.groupBy("_node").agg(F.count(F.lit(1)).alias("alone"))
+    rows = sets.select("_node", F.expr("length(elements) div 8").alias("size")).join(alone, "_node", "left")
+    return rows.select("_node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
 def _verified(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -312,12 +333,14 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, r
     placed = written(placed.join(hub, "bucket"), "placed")
     apart = placed.groupBy("bucket").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("apart")).filter("apart = 1").select("bucket")
     placed = written(placed.join(apart, "bucket", "left_semi"), "apart")
+    sizes = written(_sizes(sets.join(placed.select("_node").distinct(), "_node", "left_semi")), "sizes")
+    placed = placed.join(sizes.filter(F.col("shared") >= similarity * F.col("size")), "_node")  # others have no partner
     blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = placed.select("bucket", F.pmod(F.xxhash64("_node", "bucket"), blocks).cast("int").alias("block"), F.lit(False).alias("sent"), "_node", "component")
-    sent = placed.filter("component <> main").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("sent"), "_node", "component")
-    rows_ = dealt.union(sent).join(signs.select("_node", "signature"), "_node").select("bucket", "block", "sent", "_node", "component", "signature")
+    dealt = placed.select("bucket", F.pmod(F.xxhash64("_node", "bucket"), blocks).cast("int").alias("block"), F.lit(False).alias("sent"), "_node", "component", "size", "shared")
+    sent = placed.filter("component <> main").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("sent"), "_node", "component", "size", "shared")
+    rows_ = dealt.union(sent).join(signs.select("_node", "signature"), "_node").select("bucket", "block", "sent", "_node", "component", "size", "shared", "signature")
     rows_ = rows_.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-    rest = rows_.mapInArrow(lambda b: _across(b, agree), "a long, b long").distinct()
+    rest = rows_.mapInArrow(lambda b: _across(b, agree, similarity), "a long, b long").distinct()
     return found.union(written(verified(rest), "links"))
 
 
@@ -332,7 +355,7 @@ def classes(docs: DataFrame, **options) -> DataFrame:
     joined = components(links(docs, **options))
     known = rows.filter("_node is not null").join(joined, "_node", "left").withColumn("component", F.coalesce("component", "_node"))
     known = written(known.select("_id", "_text", "doc_id", "component"), "members")
-    named = known.groupBy("component").agg(F.min("doc_id").alias("class_id"))
+    named = written(known.groupBy("component").agg(F.min("doc_id").alias("class_id")), "named")
     known = known.join(named, "component").select("_id", "_text", "doc_id", "component", "class_id")
     alone = rows.filter("_node is null").select("_id", "_text", "doc_id", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("class_id"))
     return known.union(alone)
