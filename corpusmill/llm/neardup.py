@@ -9,9 +9,12 @@ of the lowest rank. Two texts agree in a coordinate with the probability of
 their weighted Jaccard similarity. Ranks are searched upwards from a range that
 should fill all coordinates, so a text costs about one hash an element.
 
-Signatures are cut into bands; texts that share a band meet in a bucket. A
-bucket is dealt into blocks of bounded size plus its hub (the text that shares
-most bands with others).
+Signatures are cut into bands; texts that share a band meet in a bucket. Every
+text of a bucket is compared with its hub (the text that shares most bands with
+others). Those that the hub's class doesn't take in are dealt into blocks of
+bounded size and each is sent to all of them: first for its best partner of each
+block, then, with the classes these made, for all partners of other classes
+whose spread (counts of elements by hash) leaves room for enough in common.
 
 Equal texts are one node from the start: they are folded by hash before
 anything else and unfolded at the end.
@@ -41,6 +44,8 @@ BANDS, ROWS = 20, 4
 #: Of the signature's coordinates; at similarity 0.8 fewer agree once in 20,000 pairs.
 AGREE = 0.6
 BLOCK = 96
+#: Cells of a spread.
+CELLS = 128
 
 
 def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -192,14 +197,14 @@ def _agreeing(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Re
             yield batch.select(["a", "b"]).filter(pa.array(same >= least))
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: float, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of (bucket, block): agreeing pairs of a sent row and a dealt one of another component.
+def _across(batches: Iterator[pa.RecordBatch], least: float, similarity: float, best: bool) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of (bucket, block): agreeing pairs of a sent row and a dealt one of another component; if `best`, one for each sent row.
 
-    At most min(shared) of two sets' elements can be in both, which rules out most pairs.
+    At most min(shared) of two sets' elements can be in both, and at most the cells' lesser counts.
     """
 
     def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
-        bucket, block, sent, node, component, size, shared, signed = columns
+        bucket, block, sent, node, component, size, shared, signed, spread = columns
         edge = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])))
         a, b = [], []
         for first, last in zip(edge, np.append(edge[1:], len(bucket)), strict=True):
@@ -209,7 +214,12 @@ def _across(batches: Iterator[pa.RecordBatch], least: float, similarity: float)
                 other = dealt[component[dealt] != component[i]]
                 both = np.minimum(shared[other], shared[i])
                 other = other[both >= similarity * (size[other] + size[i] - both)]
-                other = other[(signed[other] == signed[i]).mean(axis=1) >= least]
+                both = np.minimum(spread[other], spread[i]).sum(axis=1, dtype=np.int64)
+                other = other[both >= similarity * (size[other] + size[i] - both)]
+                same = (signed[other] == signed[i]).mean(axis=1)
+                other, same = other[same >= least], same[same >= least]
+                if best and len(other):
+                    other = other[[np.lexsort((node[other], -same))[0]]]
                 a.append(np.minimum(node[other], node[i]))
                 b.append(np.maximum(node[other], node[i]))
         none = [np.zeros(0, np.int64)]
@@ -221,6 +231,7 @@ def _across(batches: Iterator[pa.RecordBatch], least: float, similarity: float)
             continue
         new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "block", "sent", "_node", "component", "size", "shared")]
         new.append(_signature_matrix(batch.column("signature")))
+        new.append(_signature_matrix(batch.column("spread")))
         held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
         other = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
         if len(other):
@@ -238,9 +249,11 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for first, last in chunks(at):
             row, element, _ = weighted(*shingles(Words(raw, at, first, last, tables)))
             ends = np.searchsorted(row, np.arange(last - first + 1))
+            spread = np.bincount(row * CELLS + (element % np.uint64(CELLS)).astype(np.int64), minlength=(last - first) * CELLS).astype(np.uint32)
             yield pa.RecordBatch.from_pydict(
                 {
                     "_node": batch.column("_node").slice(first, last - first),
+                    "spread": pa.array([x.tobytes() for x in spread.reshape(-1, CELLS)], pa.binary()),
                     "elements": pa.array([element[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
                 }
             )
@@ -313,7 +326,7 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, r
     nodes = written(live.select("_node").distinct(), "nodes")
     signs = written(signed.join(nodes, "_node", "left_semi"), "signs")
     reps = written(signs.select("_node", "_id"), "reps")
-    sets = keyed.join(small(reps), ["_node", "_id"], "left_semi").select("_node", "text").mapInArrow(_shingle_sets, "_node long, elements binary")
+    sets = keyed.join(small(reps), ["_node", "_id"], "left_semi").select("_node", "text").mapInArrow(_shingle_sets, "_node long, spread binary, elements binary")
     sets = written(sets, "sets")
     ends = lambda df, c: (df.select(F.col("_node").alias("a"), F.col(c).alias(f"{c}_a")), df.select(F.col("_node").alias("b"), F.col(c).alias(f"{c}_b")))
 
@@ -327,21 +340,31 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, r
     to_hub = to_hub.join(sign_a, "a").join(sign_b, "b").mapInArrow(lambda b: _agreeing(b, agree), "a long, b long")
     found = written(verified(to_hub), "links")
 
-    joined = components(found)
-    placed = live.join(joined, "_node", "left").withColumn("component", F.coalesce("component", "_node"))
-    hub = hubs.join(joined.withColumnRenamed("_node", "hub"), "hub", "left").select("bucket", F.coalesce("component", "hub").alias("main"))
-    placed = written(placed.join(hub, "bucket"), "placed")
-    apart = placed.groupBy("bucket").agg(F.max((F.col("component") != F.col("main")).cast("int")).alias("apart")).filter("apart = 1").select("bucket")
-    placed = written(placed.join(apart, "bucket", "left_semi"), "apart")
-    sizes = written(_sizes(sets.join(placed.select("_node").distinct(), "_node", "left_semi")), "sizes")
-    placed = placed.join(sizes.filter(F.col("shared") >= similarity * F.col("size")), "_node")  # others have no partner
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = placed.select("bucket", F.pmod(F.xxhash64("_node", "bucket"), blocks).cast("int").alias("block"), F.lit(False).alias("sent"), "_node", "component", "size", "shared")
-    sent = placed.filter("component <> main").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("sent"), "_node", "component", "size", "shared")
-    rows_ = dealt.union(sent).join(signs.select("_node", "signature"), "_node").select("bucket", "block", "sent", "_node", "component", "size", "shared", "signature")
-    rows_ = rows_.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
-    rest = rows_.mapInArrow(lambda b: _across(b, agree, similarity), "a long, b long").distinct()
-    return found.union(written(verified(rest), "links"))
+    def apart() -> DataFrame:
+        """bucket, n, _node, component, main of buckets that hold texts outside the hub's component."""
+        joined = written(components(found), "joined")
+        placed = live.join(joined, "_node", "left").withColumn("component", F.coalesce("component", "_node"))
+        hub = hubs.join(joined.withColumnRenamed("_node", "hub"), "hub", "left").select("bucket", F.coalesce("component", "hub").alias("main"))
+        placed = written(placed.join(hub, "bucket"), "placed")
+        some = placed.filter("component <> main").select("bucket").distinct()
+        return written(placed.join(some, "bucket", "left_semi"), "apart")
+
+    sizes = None
+    for best in (True, False):
+        placed = apart()
+        if sizes is None:
+            sizes = written(_sizes(sets.select("_node", "elements").join(placed.select("_node").distinct(), "_node", "left_semi")), "sizes")
+        placed = placed.join(sizes.filter(F.col("shared") >= similarity * F.col("size")), "_node")  # others have no partner
+        blocks = F.ceil(F.col("n") / block).cast("int")
+        known = ["_node", "component", "size", "shared"]
+        dealt = placed.select("bucket", F.pmod(F.xxhash64("_node", "bucket"), blocks).cast("int").alias("block"), F.lit(False).alias("sent"), *known)
+        sent = placed.filter("component <> main").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("sent"), *known)
+        rows_ = dealt.union(sent).join(signs.select("_node", "signature"), "_node").join(sets.select("_node", "spread"), "_node")
+        rows_ = rows_.select("bucket", "block", "sent", *known, "signature", "spread")
+        rows_ = rows_.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+        more = rows_.mapInArrow(lambda b, best=best: _across(b, agree, similarity, best), "a long, b long").distinct()
+        found = found.union(written(verified(more), "links"))
+    return found
 
 
 def node():
