@@ -1,19 +1,22 @@
 """Keyword and vector search of a stated query set, with fallback from one to the other.
 
-Queries go against rows in blocks: a block is one small row, a row of the corpus
-meets each block once and yields its hits, and hits are reduced to the best of
-each query before they are shuffled.
+The query set is small and known when the plan is built: a row of the corpus
+meets all of it at once and yields its hits, and hits are reduced to the best of
+each query before they are shuffled. Keyword terms go into one automaton, so a
+text is read once however many queries there are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.data import cosine, keyword_relevance, relevance
 from ..functions.text import query_terms
 
-BLOCK = 64
 BROADCAST_BYTES = 16 << 20
 SIMILARITY = 0.25
 
@@ -26,12 +29,24 @@ def _small(df: DataFrame) -> DataFrame:
 
 def keyword_hits(rows: DataFrame, content: str, queries: DataFrame) -> DataFrame:
     """rows with query_id for each query (query_id, query) of which a term stands in `content`; queries without terms find nothing."""
-    known = queries.select("query_id", query_terms(F.col("query")).alias("terms")).filter("size(terms) > 0")
-    blocks = known.groupBy(F.pmod(F.xxhash64("query_id"), F.ceil(F.lit(queries.count() / BLOCK)).cast("long")).alias("block")).agg(F.collect_list(F.struct("query_id", "terms")).alias("queries"))
-    lower = rows.withColumn("_lower", F.lower(F.coalesce(F.col(content), F.lit(""))))
-    met = lower.crossJoin(_small(blocks.drop("block")))
-    hit = F.filter("queries", lambda q: F.exists(q["terms"], lambda t: F.contains(F.col("_lower"), t)))
-    return met.select(*rows.columns, F.explode(F.transform(hit, lambda q: q["query_id"])).alias("query_id"))
+    known = queries.select(F.col("query_id").cast("long"), query_terms(F.col("query")).alias("terms")).collect()  # the stated queries, six terms each
+    of: dict[str, list[int]] = {}
+    for r in known:
+        for term in r["terms"] or []:
+            of.setdefault(term, []).append(r["query_id"])
+
+    @F.pandas_udf("array<long>")
+    def hits(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for term, ids in of.items():
+            found.add_word(term, ids)
+        found.make_automaton()
+        for texts in columns:
+            yield pd.Series([sorted({i for _, ids in found.iter(t) for i in ids}) if t and of else [] for t in texts], dtype=object)
+
+    return rows.select("*", F.explode(hits(F.lower(F.coalesce(F.col(content), F.lit(""))))).alias("query_id"))
 
 
 def keyword_best(rows: DataFrame, key: str, content: str, queries: DataFrame, scope: list[str] | None = None) -> DataFrame:

@@ -49,12 +49,13 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def seed_rows(texts: DataFrame, collections: DataFrame) -> DataFrame:
     """file_texts() with the collection each lies in and what its name tells: language, standard, edition."""
-    inside = F.contains(F.col("path"), F.concat(F.lit("/"), F.col("c.path"), F.lit("/")))
-    rows = texts.filter("status = 'ok'").alias("t").join(F.broadcast(collections.alias("c")), inside)
+    roots = collections.select(F.col("id").alias("collection_id"), F.col("path").alias("root"), "languages", "standards", "chunk_size", "chunk_overlap")
+    inside = F.contains(F.col("path"), F.concat(F.lit("/"), F.col("root"), F.lit("/")))
+    rows = texts.filter("status = 'ok'").join(F.broadcast(roots), inside)  # a manifest's entries
     name = F.col("name")
     return rows.select(
-        F.col("c.id").alias("collection_id"),
-        F.col("t.path").alias("source_path"),
+        "collection_id",
+        F.col("path").alias("source_path"),
         "text",
         file_language(name, F.coalesce(F.get("languages", F.lit(0)), F.lit("en"))).alias("language"),
         file_standard(name, F.col("standards")).alias("standard"),
