@@ -2,12 +2,11 @@
 
 A LineRuns store holds, by line key, in how many documents the line occurs and
 the largest doc_id that holds it. It is a set of runs: Parquet tables of line
-hashes that are range-partitioned and sorted. A new batch of documents is
-aggregated to its own keys, merge-joined against the runs (an anti-join tells the
-keys that are new, an inner join those to be raised) and added as a run of the
-lowest level; when a level has `fanout` runs they are merged into one run of the
-next. After the last batch every document's lines are looked up in the merged
-runs.
+hashes that are bucketed and sorted. A new batch of documents is aggregated to
+its own keys and merge-anti-joined with the runs: keys that no run has become a
+run of the lowest level, the others raise the counts of those that have them. When
+a level has `fanout` runs they are merged into one run of the next. After the last
+batch every document's lines are looked up in the runs.
 
 A line's key is the line without white space (space, tab to CR) at both ends and
 with A-Z in lower case, held as two 64-bit hashes. Keys under `least_chars` code
@@ -22,6 +21,8 @@ no rows give no rows. Of other columns, those named by the caller are passed on.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,46 +51,68 @@ def document_keys(least_chars: int = LEAST_CHARS) -> Column:
 
 
 class LineRuns:
-    """Runs of line keys in a shared folder; `levels` names the runs of each level, newest last."""
+    """Runs of line keys; `levels` names the tables of each level, newest last.
+
+    A run is a table that is bucketed and sorted by key, so a batch meets it in a
+    merge join that shuffles nothing of the run. No two runs share a key: what a
+    batch tells about keys of older runs is kept in `raises`, which is small.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT) -> None:
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT, buckets: int | None = None) -> None:
         self.spark, self.folder, self.fanout = spark, folder or scratch_path(spark, "runs"), fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
-        self._made = 0
+        self.raises: list[str] = []
+
+    def _sorted(self, rows: DataFrame) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        write = rows.write.option("path", f"{self.folder}/{name}").option("compression", "zstd")
+        write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        return name
 
-    def _add(self, run: DataFrame, level: int) -> None:
-        path = f"{self.folder}/level={level}/run-{self._made}"
-        self._made += 1
-        run.repartition("h1").sortWithinPartitions("h1", "h2").write.option("compression", "zstd").parquet(path)
+    def _push(self, name: str, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
 
-    def _merged(self, paths: list[str]) -> DataFrame:
-        runs = [self.spark.read.schema(RUN).parquet(p) for p in paths]
-        every = runs[0]
-        for r in runs[1:]:
-            every = every.union(r)
-        return every if len(runs) == 1 else every.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("holder").alias("holder"))
+    def _union(self, names: list[str]) -> DataFrame:
+        every = self.spark.createDataFrame([], RUN) if not names else self.spark.table(names[0])
+        for name in names[1:]:
+            every = every.union(self.spark.table(name))
+        return every
 
-    def current(self) -> DataFrame:
-        """All keys, merged over the runs."""
-        paths = [p for level in self.levels for p in level]
-        return self._merged(paths) if paths else self.spark.createDataFrame([], RUN)
+    def runs(self) -> list[str]:
+        return [name for level in self.levels for name in level]
+
+    def unseen(self, keys: DataFrame) -> DataFrame:
+        """Rows of keys whose line is in no run."""
+        for name in self.runs():
+            keys = keys.join(self.spark.table(name).select("h1", "h2"), ["h1", "h2"], "left_anti")
+        return keys
 
     def ingest(self, keys: DataFrame) -> None:
         """Add a batch: h1, h2, holder rows, one a document and key."""
-        own = keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("holder").alias("holder"))
-        self._add(own, 0)
+        own = self._sorted(keys.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("holder").alias("holder")))
+        if self.runs():
+            batch, own = self.spark.table(own), self._sorted(self.unseen(self.spark.table(own)))
+            self.raises.append(self._sorted(batch.join(self.spark.table(own).select("h1", "h2"), ["h1", "h2"], "left_anti")))
+        self._push(own, 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            paths, self.levels[level] = self.levels[level], []
-            self._add(self._merged(paths), level + 1)
+            names, self.levels[level] = self.levels[level], []
+            self._push(self._sorted(self._union(names).repartition(self.buckets, "h1", "h2")), level + 1)
             level += 1
 
-    def unseen(self, keys: DataFrame) -> DataFrame:
-        """Rows of keys whose line is in no run."""
-        return keys.join(self.current(), ["h1", "h2"], "left_anti")
+    def current(self) -> DataFrame:
+        """All keys with their document count and largest holder."""
+        more = self._union(self.raises).groupBy("h1", "h2").agg(F.sum("n").alias("_n"), F.max("holder").alias("_holder"))
+        found = self.spark.createDataFrame([], RUN)
+        for name in self.runs():
+            raised = self.spark.table(name).join(more, ["h1", "h2"], "left")
+            found = found.union(
+                raised.select("h1", "h2", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), F.greatest("holder", "_holder").alias("holder"))
+            )
+        return found
 
     def recurring(self, least: int = LEAST_DOCUMENTS) -> DataFrame:
         return self.current().filter(F.col("n") >= least).select("h1", "h2", "holder")
