@@ -342,3 +342,18 @@ def test_language_held_out_accuracy(spark):
     held = language.identify(docs_, language.dictionaries(docs_), ["doc_id", "lang"]).filter(language.held_out())
     right = held.selectExpr("avg(cast(lang = lang_pred as int))").first()[0]
     assert right > 0.97
+
+
+def test_language_rejects_mixed_and_unknown(spark):
+    """Half-and-half texts and random letters are rejected, clean texts are kept, short ones too."""
+    r = random.Random(17)
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    prose = {lang: [x["text"] for x in docs_.filter(f"lang = '{lang}' and length(text) > 1500").orderBy("doc_id").limit(20).collect()] for lang in ("en", "de")}
+    mixed = [f"{a[:n]} {b[:n]}" for a, b in zip(prose["en"], prose["de"], strict=True) for n in (200, 500, 1500)]
+    unknown = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(n)) for n in (40, 100, 400) for _ in range(20)]
+    clean = [x[:n] for own in prose.values() for x in own for n in (80, 500, 1500)]
+    kinds = [("mixed", mixed), ("unknown", unknown), ("clean", clean)]
+    texts = spark.createDataFrame([(kind, t) for kind, own in kinds for t in own], "kind string, text string")
+    found = language.identify(texts, language.dictionaries(docs_), ["kind"]).groupBy("kind").agg({"rejected": "count_if", "*": "count"}).collect()
+    share = {x["kind"]: x["count_if(rejected)"] / x["count(1)"] for x in found}
+    assert share["mixed"] > 0.9 and share["unknown"] > 0.9 and share["clean"] < 0.1
