@@ -1,7 +1,9 @@
 """Near-duplicate classes by DartMinHash signatures.
 
-A text's elements are its five-word shingles (all words of a shorter text),
-weighted 1 + log2(count). Each element throws hashed darts into unit cells of
+A text's elements are its five-word shingles (all words of a shorter text), each
+of weight 1 however often it is said: links are decided on sets of shingles, so
+signatures estimate the similarity of sets too, and a text said twice still
+meets itself. Each element throws hashed darts into unit cells of
 weight x rank: a Poisson number of darts a cell, each with a place in the cell
 and one of the signature's coordinates, all functions of the element's hash.
 Darts that land inside the element's weight count; each coordinate keeps the one
@@ -154,8 +156,8 @@ def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
         raw, at = text_buffer(batch.column("text"))
         for first, last in chunks(at):
             row, found = shingles(Words(raw, at, first, last, tables))
-            row, element, count = weighted(row, found)
-            signed = signatures(row, element, 1 + np.log2(count), last - first, k)
+            row, element, _ = weighted(row, found)
+            signed = signatures(row, element, np.ones(len(row)), last - first, k)
             has = np.flatnonzero(np.bincount(row, minlength=last - first))
             yield pa.RecordBatch.from_pydict(
                 {

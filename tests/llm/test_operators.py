@@ -131,6 +131,18 @@ def test_near_duplicates_of_a_large_group(spark, tmp_path_factory):
     assert found == brute.classes([(i, t) for i, t in enumerate(texts)])
 
 
+def test_near_duplicates_that_repeat_themselves(spark, tmp_path_factory):
+    """The same set of shingles said once, twice or thrice, whole or in part, is one class."""
+    r = random.Random(23)
+    texts = []
+    for _ in range(8):
+        body = words(200, r)
+        chorus = " ".join(body.split(" ")[60:160])
+        texts += [body, f"{body} {body}", f"{body} {body} {body}", f"{body} {chorus} {chorus} {chorus}"]
+    found = {x["doc_id"]: x["class_id"] for x in rows_of(neardup.op2_dart_minhash(spark, saved(spark, [(i, t, "en", "s", 1, "", "") for i, t in enumerate(texts)], tmp_path_factory)))}
+    assert found == brute.classes(list(enumerate(texts))) == {i: i - i % 4 for i in range(len(texts))}
+
+
 def test_signatures_estimate_weighted_similarity():
     r = np.random.default_rng(5)
     k = 400
