@@ -292,6 +292,19 @@ def test_perplexity_bands(spark):
     assert [i for i, kept in found.items() if not kept] == [len(texts)]
 
 
+def test_perplexity_bands_reject_spam_and_menus(spark):
+    """Most symbol spam and most menus among the documents labelled bad go at the default width; the good ones stay."""
+    folder = "/root/testdata/sf0.01"
+    docs_ = spark.read.parquet(f"{folder}/documents.parquet")
+    found = quality.assess(docs_).filter("not base_failed").select("doc_id", "kept").join(docs_.select("doc_id", "text"), "doc_id")
+    found = [(x["quality"], x["text"], x["kept"]) for x in found.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()]
+    kinds = {"spam": lambda q, t: q == 0 and "&&&" in t, "menu": lambda q, t: q == 0 and " | " in t, "good": lambda q, t: q == 1}
+    kept = {kind: [k for q, t, k in found if of(q, t)] for kind, of in kinds.items()}
+    assert len(kept["spam"]) > 5 and len(kept["menu"]) > 5
+    share = {kind: sum(own) / len(own) for kind, own in kept.items()}
+    assert share["spam"] < 0.5 and share["menu"] < 0.5 and share["good"] > 0.97
+
+
 def test_kneser_ney_is_a_distribution():
     counts = np.zeros(quality.CODES, np.int64)
     r = np.random.default_rng(2)
