@@ -1,16 +1,24 @@
 """Personal data and the terms that give it away.
 
-Base spans (email, ip, card, phone) are found by pattern and checked by value.
-On top, an information-theoretic measure finds terms that disclose a protected
-entity, here a personal value that recurs in the corpus: with document
-frequencies over all documents, a term t near occurrences of e carries
+Base spans (email, ip, card, phone) are found by pattern and checked by value; so
+are secrets (keys and tokens: long runs of letters and digits). On top, an
+information-theoretic measure finds terms that disclose a protected entity. With
+document frequencies over all documents, a term t carries
 pmi(t; e) = log2(N df(t, e) / (df(t) df(e))) bits of e's information content
-ic(e) = log2(N / df(e)). Near e, a term whose share pmi/ic reaches `remove` is
-removed, one that reaches `generalise` is replaced by a general word; pairs seen
-in fewer than `support` documents are no evidence.
+ic(e) = log2(N / df(e)). In documents that hold e, a term whose share pmi/ic
+reaches `remove` is removed, one that reaches `generalise` is replaced by what
+kind of word it is and what it gives away.
 
-A value's neighbourhood is `reach` code points before and after it, so the pairs
-counted grow with the text and not with values times words.
+Protected entities are, first, each kind of value: most values are unique, so
+what can be learned of them is which words stand beside such a value. There,
+evidence is the number of different values a term was seen with, so that copies
+of a text count once. Second, each value that recurs, where evidence is the
+number of different texts; values that occur in the same documents are one
+entity. Pairs of less than `support` evidence are no evidence. df(t, e) counts the
+documents that hold e and say t outside of values, anywhere in the text; df(t)
+those that say t.
+
+Words are runs of two or more letters and digits, A-Z in lower case.
 
 The patterns are written so that Java's matcher neither recurses nor rescans:
 single separators inside digit runs and single dots inside domains are first
@@ -19,7 +27,7 @@ plain character runs; a run that can't begin a match is skipped whole.
 
 Defined cases: null text is empty; repeated rows count repeatedly and get equal
 results; spans of a kind don't overlap, a disclosing term never overlaps a base
-span; no rows give no rows. Only doc_id and text are read.
+span or a secret; no rows give no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import small, table, text_key, written
 
 KINDS = ("email", "ip", "card", "phone")
-REACH = 60
+GUARDED = (*KINDS, "secret")
 SUPPORT = 5
 GENERALISE, REMOVE = 0.8, 0.95
 MARK = "\ue000"
@@ -42,9 +50,12 @@ PATTERNS = {
     "ip": (None, r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": (r"(?<=[0-9])[\x20-](?=[0-9])", rf"[0-9][0-9{MARK}]++"),
     "phone": (None, r"\+[0-9][\x20().0-9-]+[0-9]"),
+    "secret": (None, r"(?:(?<![A-Za-z0-9_-])|\G)[A-Za-z0-9_-]{32,}+"),
 }
 #: What a text must hold to be searched for a kind at all.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "secret": None}
+WORD = r"[\p{L}\p{N}]{2,}+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _digits(value: Column) -> Column:
@@ -72,6 +83,8 @@ def _valid(kind: str, value: Column) -> Column:
         return F.when(F.length(digits).between(16, 19), _luhn(digits)).otherwise(F.lit(False))
     if kind == "phone":
         return F.length(digits).between(8, 15)
+    if kind == "secret":
+        return (F.length(digits) >= 6) & (F.length(F.regexp_replace(value, "[^A-Za-z]", "")) >= 4)
     return F.lit(True)
 
 
@@ -83,8 +96,8 @@ def _entity(kind: str, s: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.lower(s["value"]))
 
 
-def _placed(found: Column, between: Column, marked: str) -> Column:
-    """start, end, value, before, after of each match, from the matches and the text between them."""
+def _placed(found: Column, between: Column) -> Column:
+    """start, end, value of each match, from the matches and the text between them."""
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
     walk = F.aggregate(
         F.transform(found, lambda m, i: F.struct(F.length(m).alias("m"), F.length(F.get(between, i)).alias("p"))),
@@ -95,22 +108,12 @@ def _placed(found: Column, between: Column, marked: str) -> Column:
         ),
         lambda s: s["out"],
     )
-    plain = lambda c: F.replace(c, F.lit(MARK), F.lit(marked)) if marked else c
-    return F.transform(
-        F.arrays_zip(walk.alias("w"), found.alias("v")),
-        lambda z, i: F.struct(
-            z["w"]["start"].alias("start"),
-            z["w"]["end"].alias("end"),
-            z["v"].alias("value"),
-            plain(F.right(F.get(between, i), F.lit(REACH))).alias("before"),
-            plain(F.left(F.get(between, i + 1), F.lit(REACH))).alias("after"),
-        ),
-    )
+    return F.transform(F.arrays_zip(walk.alias("w"), found.alias("v")), lambda z: F.struct(z["w"]["start"].alias("start"), z["w"]["end"].alias("end"), z["v"].alias("value")))
 
 
 def matches(df: DataFrame) -> DataFrame:
-    """Adds a column of spans for each kind: start, end (code points), value, before, after."""
-    for kind in KINDS:
+    """Adds a column of spans for each kind: start, end (code points), value."""
+    for kind in GUARDED:
         mark, pattern = PATTERNS[kind]
         text = F.when(F.contains("text", F.lit(NEEDS[kind])), F.col("text")) if NEEDS[kind] else F.col("text")
         if mark:
@@ -119,94 +122,124 @@ def matches(df: DataFrame) -> DataFrame:
         df = df.withColumn("_found", F.coalesce(F.regexp_extract_all("_marked", F.lit(pattern), F.lit(0)), F.array().cast("array<string>")))
         between = F.when(F.size("_found") > 0, F.split("_marked", pattern, -1))
         df = df.withColumn("_between", between)
-        spans = _placed(F.col("_found"), F.col("_between"), "." if kind == "email" else " ")
-        df = df.withColumn(kind, F.filter(spans, _checked(kind))).drop("_marked", "_found", "_between")
+        df = df.withColumn(kind, F.filter(_placed(F.col("_found"), F.col("_between")), _checked(kind))).drop("_marked", "_found", "_between")
     return df
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, _id, _text and a column of spans for each kind."""
+    """doc_id, _id, _text, a column of spans for each kind and the text of rows that have any (null: none)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key(), F.coalesce("text", F.lit("")).alias("text"))
-    return matches(rows).drop("text")
+    any_of = F.size(F.concat(*GUARDED)) > 0
+    return matches(rows).withColumn("text", F.when(any_of, F.col("text")))
 
 
-WORD = r"\p{L}{4,}"
+def edited(text: Column, marks: Column, pad: str) -> Column:
+    """The text with each mark (start, end, by) replaced; where marks overlap, the later one's rest is filled with `pad`."""
 
+    def step(a, m):
+        fresh = F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, m["start"] - a["at"]), m["by"]))
+        rest = F.concat(a["out"], F.array(F.repeat(F.lit(pad), F.greatest(F.lit(0), m["end"] - a["at"]))))
+        return F.struct(F.greatest(a["at"], m["end"]).alias("at"), F.when(m["start"] >= a["at"], fresh).otherwise(rest).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(F.array_sort(marks), start, step, lambda a: F.array_join(F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, F.length(text)))), ""))
+
+
+def _masked() -> Column:
+    """The text in lower case with blanks for all values, of equal length."""
+    blank = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.repeat(F.lit(" "), s["end"] - s["start"]).alias("by"))
+    return F.translate(edited(F.col("text"), F.concat(*[F.transform(k, blank) for k in GUARDED]), " "), UPPER, LOWER)
 
-def _near(base: DataFrame) -> DataFrame:
-    """_id, _text, entity, term, start, end: words in the neighbourhood of values."""
-    of = lambda k: lambda s: F.struct(_entity(k, s).alias("entity"), s["start"].alias("s"), s["end"].alias("e"), s["before"].alias("before"), s["after"].alias("after"))
-    spans = F.concat(*[F.transform(k, of(k)) for k in KINDS])
-    rows = base.select("_id", "_text", F.explode(spans).alias("x")).select("_id", "_text", "x.*")
-    # words that the cut ran through are left out
-    cut = F.when(F.length("before") == REACH, F.length(F.regexp_extract("before", r"^\p{L}*", 0))).otherwise(0)
-    rows = rows.withColumn("cut", cut).withColumn("after", F.when(F.length("after") == REACH, F.regexp_replace("after", r"\p{L}*$", "")).otherwise(F.col("after")))
-    sides = F.array(
-        F.struct((F.col("s") - F.length("before") + F.col("cut")).alias("at"), F.substring(F.col("before"), F.col("cut") + 1, F.lit(REACH)).alias("side")),
-        F.struct(F.col("e").alias("at"), F.col("after").alias("side")),
-    )
-    rows = rows.select("_id", "_text", "entity", F.explode(sides).alias("y")).select("_id", "_text", "entity", "y.at", "y.side")
-    rows = rows.withColumn("words", F.regexp_extract_all("side", F.lit(WORD), F.lit(0))).filter("size(words) > 0")
-    rows = rows.withColumn("placed", _placed(F.col("words"), F.split("side", WORD, -1), ""))
-    rows = rows.select("_id", "_text", "entity", "at", F.explode("placed").alias("p"))
-    return rows.select("_id", "_text", "entity", F.lower("p.value").alias("term"), (F.col("at") + F.col("p.start")).alias("start"), (F.col("at") + F.col("p.end")).alias("end"))
 
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
 
-def disclosing(docs: DataFrame, base: DataFrame, near: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """entity, term, share: the terms that give entities away."""
-    total = base.count()
+
+def said(base: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """_id, _text, masked, words and entities (entity, kind, evidence) of rows with values."""
+    rows = base.filter("text is not null")
     of = lambda k: lambda s: _entity(k, s)
-    each = F.concat(*[F.transform(k, of(k)) for k in KINDS])
-    entities = base.select(F.explode(F.array_distinct(each)).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_e")).filter(F.col("df_e") >= support)
-    pairs = near.select("_id", "_text", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("df_te")).filter(F.col("df_te") >= support)
-    pairs = written(pairs.join(entities, "entity"), "pairs")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    frequencies = words.join(small(written(pairs.select("term").distinct(), "terms")), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
-    rated = pairs.join(frequencies, "term")
+    each = F.array_distinct(F.concat(*[F.transform(k, of(k)) for k in GUARDED]))
+    values = written(rows.select("_id", "_text", F.explode(each).alias("value")), "values")
+    # by text first: a value that a third of all rows hold is summed in parts
+    told = values.groupBy("value", "_text").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("_id", "_text")).alias("in"))
+    told = told.groupBy("value").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.bit_xor("in").alias("in")).filter(F.col("texts") >= support)
+    named = told.select("value", F.concat_ws(":", F.lit("value"), F.col("n").cast("string"), F.hex("in")).alias("entity"), F.split_part("value", F.lit(":"), F.lit(1)).alias("kind"))
+    own = values.join(small(written(named, "recurring")), "value").select("_id", "_text", F.struct("entity", "kind", F.col("_text").alias("evidence")).alias("x"))
+    own = own.groupBy("_id", "_text").agg(F.collect_set("x").alias("recurring"))
+    kinds = F.array(*[F.when(F.size(k) > 0, F.struct(F.lit(k).alias("entity"), F.lit(k).alias("kind"), F.array_min(F.transform(k, lambda s: F.xxhash64(F.lower(s["value"])))).alias("evidence"))) for k in GUARDED])
+    rows = rows.select("_id", "_text", _masked().alias("masked"), F.filter(kinds, lambda x: x.isNotNull()).alias("kinds")).join(small(written(own, "own")), ["_id", "_text"], "left")
+    every = F.concat("kinds", F.coalesce("recurring", F.array().cast("array<struct<entity:string,kind:string,evidence:bigint>>")))
+    return rows.select("_id", "_text", "masked", _terms(F.col("masked")).alias("words"), every.alias("entities"))
+
+
+def _pairs(told: DataFrame) -> DataFrame:
+    rows = told.select("_id", "_text", F.explode("words").alias("term"), "entities")
+    return rows.select("_id", "_text", "term", F.explode("entities").alias("e")).select("_id", "_text", "term", "e.entity", "e.kind", "e.evidence")
+
+
+def disclosing(docs: DataFrame, told: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """entity, kind, term, share: the terms that give entities away."""
+    total = docs.count()
+    entities = told.select(F.explode("entities.entity").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
+    pairs = _pairs(told).groupBy("entity", "kind", "term", "evidence").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.groupBy("entity", "term").agg(F.min("kind").alias("kind"), F.sum("n").alias("df_te"), F.count_distinct("evidence").alias("seen")).filter(F.col("seen") >= support)
+    pairs = written(pairs.join(small(written(entities, "entities")), "entity"), "pairs")
+    # all words are counted before they meet the terms: the join has a row a term
+    words = docs.select(F.explode(_terms(F.translate("text", UPPER, LOWER))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_t"))
+    rated = pairs.join(words, "term")
     pmi = F.log2(F.lit(float(total)) * F.col("df_te") / (F.col("df_t") * F.col("df_e")))
     ic = F.log2(F.lit(float(total)) / F.col("df_e"))
-    return rated.select("entity", "term", F.when(ic > 0, pmi / ic).alias("share")).filter(F.col("share") >= generalise)
+    return rated.select("entity", "kind", "term", F.when(ic > 0, pmi / ic).alias("share")).filter(F.col("share") >= generalise)
+
 
+TERM = "array<struct<start:int,end:int,term:string,share:double,kind:string>>"
+EDGE = r"[\p{L}\p{N}]"
 
-def find(docs: DataFrame) -> DataFrame:
-    """doc_id, _id, _text, a column of spans for each kind, and terms: start, end, share."""
+
+def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+    """doc_id, _id, _text, a column of spans for each kind, terms (start, end, term, share, kind), and text of rows that have values."""
     base = written(base_spans(docs), "base")
-    near = written(_near(base), "near")
-    rated = written(disclosing(docs, base, near), "rated")
-    found = near.join(small(rated), ["entity", "term"]).groupBy("_id", "_text", "start", "end").agg(F.max("share").alias("share"))
-    found = found.groupBy("_id", "_text").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms"))
-    rows = base.join(small(written(found, "found")), ["_id", "_text"], "left")
-    every = F.concat(*KINDS)
-    free = F.filter("terms", lambda t: ~F.exists(every, lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
-    return rows.withColumn("terms", F.coalesce(free, F.array().cast("array<struct<start:int,end:int,share:double>>")))
+    told = written(said(base, support), "said")
+    rated = written(disclosing(docs, told, support, generalise), "rated")
+    hits = _pairs(told).join(small(rated), ["entity", "kind", "term"]).groupBy("_id", "_text", "term").agg(F.max(F.struct("share", "kind")).alias("m"))
+    hits = hits.groupBy("_id", "_text").agg(F.map_from_entries(F.collect_list(F.struct("term", "m"))).alias("known"))  # a text's own words
+    places = told.select("_id", "_text", "masked").dropDuplicates(["_id", "_text"]).join(small(written(hits, "hits")), ["_id", "_text"])
+    places = places.withColumn("pattern", F.concat(F.lit(f"(?<!{EDGE})(?:"), F.array_join(F.array_sort(F.map_keys("known")), "|"), F.lit(f")(?!{EDGE})")))
+    spans = _placed(F.regexp_extract_all("masked", F.col("pattern"), F.lit(0)), F.split("masked", F.col("pattern"), -1))
+    known = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("term"), F.col("known")[s["value"]]["share"].alias("share"), F.col("known")[s["value"]]["kind"].alias("kind")))
+    places = written(places.select("_id", "_text", known.alias("terms")), "places")
+    return base.join(small(places), ["_id", "_text"], "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERM)))
+
+
+def cleaned(remove: float = REMOVE) -> Column:
+    """The text of a row of `find`: values become their kind; terms go or become a word of their kind and what it gives away."""
+    by = lambda k: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{k}>").alias("by"))
+    shape = lambda t: F.when(t["term"].rlike(r"\p{N}"), "code").otherwise("word")
+    general = lambda t: F.concat(F.lit("<"), shape(t), F.lit(" of "), t["kind"], F.lit(">"))
+    marks = [F.transform(k, by(k)) for k in GUARDED]
+    marks.append(F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["share"] >= remove, "").otherwise(general(t)).alias("by"))))
+    return edited(F.col("text"), F.concat(*marks), "")
 
 
 def sanitise(docs: DataFrame, remove: float = REMOVE) -> DataFrame:
     """doc_id and text with values replaced by their kind, disclosing terms removed or generalised."""
-    texts = docs.select(*text_key(), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["_id", "_text"])
-    rows = find(docs).join(texts, ["_id", "_text"])
-    by = lambda k: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{k}>").alias("by"))
-    marks = [F.transform(k, by(k)) for k in KINDS]
-    marks.append(F.transform("terms", lambda t: F.struct(t["start"], t["end"], F.when(t["share"] >= remove, "").otherwise("<term>").alias("by"))))
-    edited = F.aggregate(
-        F.array_sort(F.concat(*marks)),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, m: F.when(m["start"] >= a["at"], F.struct(m["end"].alias("at"), F.concat(a["out"], F.substring("text", a["at"] + 1, m["start"] - a["at"]), m["by"]).alias("out"))).otherwise(
-            F.struct(F.greatest(a["at"], m["end"]).alias("at"), a["out"].alias("out"))
-        ),
-        lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))),
-    )
-    return rows.select("doc_id", edited.alias("text"))
+    new = find(docs).filter("text is not null").select("_id", "_text", cleaned(remove).alias("new")).dropDuplicates(["_id", "_text"])
+    rows = docs.select("doc_id", *text_key(), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.join(small(written(new, "new")), ["_id", "_text"], "left").select("doc_id", F.coalesce("new", "text").alias("text"))
 
 
 def op5_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and digest, and of the method: all spans, removed and generalised terms, and the cleaned text's digest (null: unchanged)."""
     rows = find(table(spark, sf_dir, "documents"))
     told = lambda k, c: F.transform(c, lambda s: F.concat_ws(":", F.lit(k), s["start"].cast("string"), s["end"].cast("string")))
     base = F.concat(*[told(k, k) for k in KINDS])
+    removed, general = F.filter("terms", lambda t: t["share"] >= REMOVE), F.filter("terms", lambda t: t["share"] < REMOVE)
     return rows.select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, told("term", "terms")), ",").alias("spans"),
-        F.size("terms").cast("long").alias("n_terms"),
+        F.array_join(F.concat(base, told("secret", "secret"), told("removed", removed), told("generalised", general)), ",").alias("spans"),
+        *[F.size(c).cast("long").alias(n) for c, n in (("secret", "n_secret"), ("terms", "n_terms"), (removed, "n_removed"), (general, "n_generalised"))],
+        F.when(F.col("text").isNotNull(), F.sha2(cleaned().cast("binary"), 256)).alias("cleaned_sha256"),
     )

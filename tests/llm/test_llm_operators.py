@@ -226,15 +226,44 @@ def test_private_spans(spark, docs, tmp_path_factory):
 
 
 def test_disclosing_terms(spark):
-    """A name that stands only beside one address gives it away; common words don't."""
-    texts = [f"please write to Zanzibert at zan@corp.example about matter{i} soon" for i in range(6)]
-    texts += [f"please think about matter{i} and write soon" for i in range(200)]
+    """A name that stands only in texts with one address gives it away, wherever it stands; common words don't."""
+    texts = [f"Zanzibert was here. {'please ' * 30} write to him at zan@corp.example about matter{i} soon" for i in range(6)]
+    texts += [f"please think about matter{i} and write at home to him soon, who was here" for i in range(200)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     found = {r["doc_id"]: r for r in privacy.find(df).collect()}
     assert [texts[0][t["start"] : t["end"]] for t in found[0]["terms"]] == ["Zanzibert"]
     assert not found[10]["terms"]
     clean = {r["doc_id"]: r["text"] for r in privacy.sanitise(df).collect()}
-    assert clean[0] == "please write to  at <email> about matter0 soon" and clean[10] == texts[10]
+    assert clean[0] == texts[0].replace("Zanzibert", "").replace("zan@corp.example", "<email>") and clean[10] == texts[10]
+
+
+def test_disclosing_terms_equal_brute_force(spark, tmp_path_factory):
+    """Words beside kinds of values, recurring values, copies that are no evidence, words that are generalised, overlaps."""
+    r = random.Random(31)
+    texts: list[str | None] = [None, "", "Ünïque 42"]
+    for i in range(40):
+        texts.append(f"{words(8, r)} Token = \"{r.getrandbits(160):040x}\" {words(5, r)}")
+        texts.append(f"{words(8, r)} dial phone{i % 3} +1 ({i:03d}) 555-{i:04d} {words(5, r)}")
+    texts += [f"copied rare words beside 4111 1111 1111 1111 {words(2, random.Random(1))}"] * 8
+    texts += [f"the Zanzibert desk{i % 2} zan@corp.example, bob@corp.example {words(4, r)}" for i in range(7)]
+    texts += [f"dial {words(6, r)} desk1 Zanzibert's" if i < 4 else words(20, r) for i in range(300)]
+    texts += ["a" * 20 + "+12345678901234567890123456789012345@x.yz and 12.12.12.12.12", "secret " * 4000 + "x1" * 5000]
+    rows = [(i, t, None, None, None, "", "") for i, t in enumerate(texts)]
+    told = brute.disclosing(list(enumerate(texts)))
+    found = {x["doc_id"]: x for x in rows_of(privacy.op5_disclosure(spark, saved(spark, rows, tmp_path_factory)))}
+    for i, text in enumerate(texts):
+        assert [s for s in found[i]["spans"].split(",") if s] == brute.private(text) + told[i]
+        assert found[i]["n_removed"] + found[i]["n_generalised"] == found[i]["n_terms"] == sum(not s.startswith("secret") for s in told[i])
+    assert any(x["n_generalised"] for x in found.values()) and any(x["n_removed"] for x in found.values())
+
+
+def test_disclosing_terms_of_the_tables(spark):
+    """The word that stands before keys is found in the given documents."""
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {x["doc_id"]: x for x in privacy.op5_disclosure(spark, "/root/testdata/sf0.01").collect()}
+    told = brute.disclosing([(x["doc_id"], x["text"]) for x in docs_.collect()])
+    assert sum(x["n_terms"] for x in found.values()) > 0
+    assert all(found[i]["spans"].endswith(",".join(own)) for i, own in told.items())
 
 
 def test_lines(spark, docs):
