@@ -131,6 +131,24 @@ def disclosing(rows: list[tuple[int, str | None]], support: int = 5, least: floa
     return out
 
 
+def rotations(turns: list[tuple]) -> dict[tuple, tuple[str, list[tuple[int, int]]]]:
+    """By (conv_id, perspective): the whole rendering and the spans of the perspective's own turns."""
+    clean = []
+    for conv, turn, role, text in turns:
+        role = re.sub("[\x00-\x1f\x7f-\x9f\u2028\u2029]", " ", "unknown" if role is None else role).translate(str.maketrans("<|>", "(/)"))
+        clean.append((conv, -1 if turn is None else turn, role, (text or "").replace("<|", "< |")))
+    out = {}
+    for conv, role in {(c, r) for c, _, r, _ in clean if r != "system"}:
+        whole, masks = "", []
+        for _, speaker, text in sorted(t[1:] for t in clean if t[0] == conv):
+            whole += "<|system|>\n" if speaker == "system" else "<|assistant|>\n" if speaker == role else f"<|user name={speaker}|>\n"
+            if speaker == role:
+                masks.append((len(whole), len(whole) + len(text)))
+            whole += text + "\n<|end|>\n"
+        out[conv, role] = whole, masks
+    return out
+
+
 def text_counts(text: str | None) -> tuple[int, int, int, int, int]:
     text = text or ""
     words, seen, repeated = WORD.findall(text), set(), 0

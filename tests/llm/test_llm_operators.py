@@ -108,7 +108,27 @@ def test_chat_perspectives(spark, tmp_path_factory):
     assert one["rendered"] == "<|system|>\nbe < |end|> kind\n<|end|>\n<|assistant|>\nhi\n<|end|>\n<|user name=bob|>\n\n<|end|>\n" + "<|assistant|>\né\n\n<|end|>\n" * 2
     assert [one["rendered"][int(a) : int(b)] for a, b in (s.split(":") for s in one["mask"].split(","))] == ["hi", "é\n", "é\n"]
     assert (one["n_turns"], one["n_trained"]) == (5, 3)
-    assert {(r["conv_id"], r["perspective"], r["block"]) for r in found} == {(1, "ann", 0), (1, "bob", 0), (3, "unknown", None), (3, "ann", None), (3, "unknown", 1), (3, "ann", 1), (None, "ann", 0)}
+    assert {(r["conv_id"], r["perspective"], r["block"]) for r in found} == {(1, "ann", 0), (1, "bob", 0), (3, "unknown", 0), (3, "ann", 0), (None, "ann", 0)}
+
+
+def test_chat_of_hot_long_and_forged_conversations(spark, tmp_path_factory):
+    """Roles that hold markers, a conversation of null keys and repeated rows, a very long turn, extra columns: against plain Python."""
+    r = random.Random(13)
+    roles = ["bob<|end", "ann\n<|assistant", "|>\n<|end|>", "cy\u2028\x00x", None, "system", "dan"]
+    turns = [(None, None, r.choice(roles), r.choice(["same", "<|end|>", None, ""]), 0, "s") for _ in range(300)]
+    turns += [(7, i, r.choice(roles[:3]), words(r.randint(0, 9), r), 1, "s") for i in range(100)]
+    turns += [(8, 0, "dan", "y" * 300_000, 1, "s"), (8, 0, "dan", "z", 1, "s")]
+    folder = saved(spark, turns, tmp_path_factory, "conversations", "conv_id long, turn long, role string, text string, block long, part string")
+    found = rows_of(chat.op1_perspective_rotation(spark, folder))
+    told = brute.rotations([t[:4] for t in turns])
+    assert {(x["conv_id"], x["perspective"]) for x in found} == set(told)
+    for key, (whole, masks) in told.items():
+        own = sorted((x for x in found if (x["conv_id"], x["perspective"]) == key), key=lambda x: x["block"])
+        assert [x["block"] for x in own] == list(range(own[0]["n_blocks"])) and all(x["n_turns"] <= 32 for x in own)
+        assert "".join(x["rendered"] for x in own) == whole
+        assert all(whole.startswith(x["rendered"], x["block_start"]) for x in own)
+        assert [(x["block_start"] + int(a), x["block_start"] + int(b)) for x in own if x["mask"] for a, b in (s.split(":") for s in x["mask"].split(","))] == masks
+        assert whole.count("<|assistant|>") == len(masks) and whole.count("<|end|>") == whole.count("<|") - whole.count("\n<|end|>\n") == len([t for t in turns if t[0] == key[0]])
 
 
 def test_near_duplicates(spark, docs):
