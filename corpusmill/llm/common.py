@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured bytes stay under this.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
+#: Ways that the rows of a key are dealt in a lookup that is too large to broadcast.
+SALTS = 16
 
 _unset: dict[str, str] = {}
 
@@ -19,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir. Where that is unset, one in the warehouse; a machine's own folder only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         app = spark.sparkContext.applicationId
         if app not in _unset:
-            _unset[app] = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+            if spark.sparkContext.master.startswith("local"):
+                _unset[app] = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+            else:
+                _unset[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/_scratch-{app}"
             spark.sparkContext.setCheckpointDir(_unset[app])
         folder = _unset[app]
     return folder.rstrip("/")
@@ -41,19 +46,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast if the measured size is under `limit`; else leave a shuffled join.
-
-    `df` should be a written table: it is read once here to be measured.
-    """
+def measured(df: DataFrame) -> int:
+    """About the bytes of a table's rows. `df` should be a written table: it is read once here."""
     width = F.lit(16 * len(df.columns))
     for name, kind in df.dtypes:
-        if kind == "string":
+        if kind in ("string", "binary"):
             width = width + F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0))
         elif kind.startswith("array"):
             width = width + 64 * F.coalesce(F.size(F.col(f"`{name}`")), F.lit(0))
-    size = df.select(width.alias("w")).agg(F.sum("w")).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
+    return df.select(width.alias("w")).agg(F.sum("w")).first()[0] or 0
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast if the measured size is under `limit`; else leave a shuffled join."""
+    return F.broadcast(df) if measured(df) <= limit else df
+
+
+def lookup(rows: DataFrame, known: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """rows joined with a written table of one row a key, of which any may be held by a large share of rows.
+
+    Broadcast if it is small; else each key is repeated SALTS times and the rows of a key are dealt among these.
+    """
+    if measured(known) <= limit:
+        return rows.join(F.broadcast(known), keys, how)
+    rest = [F.col(f"`{c}`") for c in rows.columns if c not in keys]
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int"))
+    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(salted, [*keys, "_salt"], how).drop("_salt")
 
 
 def text_key() -> list[Column]:

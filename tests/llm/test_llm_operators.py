@@ -316,11 +316,51 @@ def test_warc(spark, tmp_path_factory):
     assert order == sorted(order) and len(found) == len(pages)
 
 
+def test_warc_times_are_utc(spark, tmp_path_factory):
+    """Across a change of clocks in another time zone, at the ends of long, and with a very long payload and clashing columns."""
+    import datetime
+
+    big = 2**63 - 1
+    at = 1710054000 - warc.EPOCH  # New York's clocks go forward
+    pages = [(i, "http://a.example/", f"{i}", "x", 0) for i in (0, 1, at - 1, at, at + 3600, big, -big)] + [(5, "http://b.example", "z" * 3_000_000, "x", 0)]
+    folder = saved(spark, pages, tmp_path_factory, "pages", "page_id long, url string, html string, digest string, bytes long")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found = {x["page_id"]: x for x in rows_of(warc.op7_warc_history(spark, folder))}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    for i in (0, 1, at - 1, at, at + 3600):
+        assert found[i]["captured"] == datetime.datetime.fromtimestamp(warc.EPOCH + i, datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    assert (found[big]["captured"], found[-big]["captured"]) == ("9999-12-31T23:59:59Z", "0001-01-01T00:00:00Z")
+    assert found[5]["payload_bytes"] == 3_000_000
+
+
+def test_warc_runs_merge_across_archives(spark, tmp_path):
+    """Small archives and ranges: the history is in one order, and an offset finds its record."""
+    import gzip
+    import io
+
+    r = random.Random(2)
+    pages = spark.createDataFrame([(i, f"http://h{r.randint(0, 5)}.example/{r.randint(0, 3)}", f"body {i}") for i in range(200)], "page_id long, url string, html string")
+    rows, _ = warc.typed(pages)
+    warc.write_archives(rows, str(tmp_path / "w"), 17)
+    runs = warc.written(warc.read_archives(spark, str(tmp_path / "w")), "runs")
+    found = rows_of(warc.merge_runs(runs, 20))
+    key = lambda x: (x["url_key"], x["captured"], x["page_id"])
+    assert [key(x) for x in found] == sorted(map(key, found)) and len({x["archive"] for x in found}) >= 12
+    for x in found[::20]:
+        data = gzip.decompress((tmp_path / "w" / x["archive"]).read_bytes())
+        _, headers, body = next(warc.records(io.BytesIO(data[x["offset"] :])))
+        assert body.decode() == f"body {x['page_id']}" and headers["WARC-Date"] == x["captured"]
+
+
 @pytest.mark.parametrize("runs", [0, 1, 2, 3, 7, 8])
 def test_loser_tree(runs):
     r = random.Random(runs)
-    lists = [sorted((str(r.randint(0, 9)), str(r.randint(0, 9)), r.randint(0, 99)) for _ in range(r.randint(0, 20))) for _ in range(runs)]
-    assert list(warc.LoserTree(lists)) == sorted(x for own in lists for x in own)
+    row = lambda: (str(r.randint(0, 9)), str(r.randint(0, 9)), r.choice([None, r.randint(0, 99)]), 0, "", "", None, str(r.randint(0, 3)), r.randint(0, 9))
+    lists = [sorted((row() for _ in range(r.randint(0, 20))), key=warc.rank) for _ in range(runs)]
+    assert list(map(warc.rank, warc.LoserTree(lists))) == sorted(warc.rank(x) for own in lists for x in own)
 
 
 def test_quality_counts(spark, docs):
