@@ -6,10 +6,10 @@ corpus so that similar documents are neighbours. The ordered documents' ids are
 one stream that is cut every `capacity` ids, so only the last sequence has
 padding.
 
-The stream's offsets come from sums over curve cells (the key's first 12 bits):
-a cell that holds more rows than its share is dealt further by doc_id, the cells'
-sums are added up in order, and each cell is then cut on its own. So no task
-sees more than a cell's share and nothing is ordered in one place.
+The order is by range of (Hilbert key, doc_id, content), in ranges of about
+`RANGE_BYTES` of ids however large the corpus is, so a key that many documents
+share is many ranges. Each range counts its ids as it is written, the ranges' sums
+are added up in order, and then every document can be cut on its own.
 
 Words are encoded once and kept: white space never joins two pieces of this
 tokenizer's pattern, so a text's ids are its words' ids in order. Tested against
@@ -40,7 +40,9 @@ from .textkernel import chunks, mix, text_buffer
 CAPACITY = 2048
 END_ID = 1
 DIMENSIONS, BITS = 3, 10
-CELL_BITS = 12
+RANGE_BYTES = 32 << 20
+#: Marks that rows of one key, doc_id and content are dealt by.
+SALTS = 64
 CACHED_WORDS = 800_000
 
 
@@ -204,6 +206,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     if path not in store:
         store[path] = WordEncoder(path)
     encoder = store[path]
+    given = 0
     for batch in batches:
         raw, at = text_buffer(batch.column("text"))
         data = memoryview(raw)
@@ -217,51 +220,65 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
                     "curve": pa.array(curve_keys(mean)),
                     "n": pa.array(count + 1),
                     "content": pa.array(np.array([zlib.crc32(x.tobytes()) for x in whole], np.int64)),
+                    "salt": pa.array((given + np.arange(last - first)) % SALTS),
                     "ids": pa.array([x.tobytes() for x in whole], pa.binary()),
                 }
             )
+            given += last - first
 
 
+ORDERED = "range long, before long, doc_id long, curve long, n long, ids binary"
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, curve long"
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a range in order, with its number and the ids before each in it."""
+    from pyspark import TaskContext
+
+    number, filled = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.column("n").to_numpy()
+        ends = filled + np.cumsum(n)
+        kept = {c: batch.column(c) for c in ("doc_id", "curve", "n", "ids")}
+        yield pa.RecordBatch.from_pydict({"range": pa.array(np.full(len(n), number, np.int64)), "before": pa.array(ends - n), **kept})
+        filled = int(ends[-1]) if len(n) else filled
+
+
 def _cut(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
-    """Pieces of rows in order of cell; `base` is the stream's offset at the start of the row's cell."""
-    cell, filled = None, 0
+    """Pieces of rows; `at` is the stream's offset of the row's first id."""
+    names = [x.split()[0] for x in PIECE.split(", ")]
     for batch in batches:
         rows: list[tuple] = []
-        columns = [batch.column(c).to_pylist() for c in ("cell", "base", "doc_id", "n", "curve")]
-        for c, base, doc, n, curve, ids in zip(*columns, batch.column("ids"), strict=True):
-            if c != cell:
-                cell, filled = c, 0
-            at, start = base + filled, 0
+        columns = [batch.column(c).to_pylist() for c in ("at", "doc_id", "n", "curve")]
+        for at, doc, n, curve, ids in zip(*columns, batch.column("ids"), strict=True):
+            start = 0
             own = np.frombuffer(ids.as_buffer(), np.uint16).astype("<u4")
             while start < n:
                 length = min(n - start, capacity - (at + start) % capacity)
                 rows.append((doc, start, length, zlib.crc32(own[start : start + length]), n, (at + start) // capacity, (at + start) % capacity, curve))
                 start += length
-            filled += n
         if rows:
-            names = [x.split()[0] for x in PIECE.split(", ")]
             yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(names, zip(*rows, strict=True), strict=True)})
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, cells_a_share: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, curve."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    coded = rows.mapInArrow(lambda b: _encoded(b, path), "doc_id long, curve long, n long, content long, ids binary")
+    coded = rows.mapInArrow(lambda b: _encoded(b, path), "doc_id long, curve long, n long, content long, salt long, ids binary")
     coded = written(coded, "encoded")
-    share = max(1, coded.count() // cells_a_share)
-    coded = coded.withColumn("part", F.shiftright("curve", DIMENSIONS * BITS - CELL_BITS))
-    parts = coded.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / share).alias("ways"))  # at most 2**CELL_BITS rows
-    dealt = coded.join(small(written(parts, "parts")), "part")
-    dealt = dealt.withColumn("way", F.pmod(F.xxhash64("doc_id", "content"), "ways"))
-    cells = written(dealt.groupBy("part", "way").agg(F.sum("n").alias("n")), "cells")
-    order = Window.orderBy("part", "way")
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = written(cells.select("part", "way", F.row_number().over(order).cast("long").alias("cell"), before.alias("base")), "bases")
-    placed = dealt.join(small(bases), ["part", "way"]).select("cell", "base", "doc_id", "n", "curve", "content", "ids")
-    placed = placed.repartition("cell").sortWithinPartitions("cell", "curve", "doc_id", "content")
+    total = coded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranges = max(spark.sparkContext.defaultParallelism, -(-2 * total // range_bytes))
+    order = ["curve", "doc_id", "content", "salt"]
+    ordered = coded.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    ordered = written(ordered.mapInArrow(_counted, ORDERED), "ordered")
+    sums = written(ordered.groupBy("range").agg(F.sum("n").alias("n")).withColumn("block", F.shiftright("range", 12)), "sums")
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = sums.groupBy("block").agg(F.sum("n").alias("n"))  # a row for 4096 ranges
+    blocks = blocks.select("block", upto(Window.orderBy("block")).alias("first"))
+    bases = sums.join(small(written(blocks, "blocks")), "block")
+    bases = written(bases.select("range", (F.col("first") + upto(Window.partitionBy("block").orderBy("range"))).alias("base")), "bases")
+    placed = ordered.join(small(bases), "range").select((F.col("base") + F.col("before")).alias("at"), "doc_id", "n", "curve", "ids")
     return placed.mapInArrow(lambda b: _cut(b, capacity), PIECE)
 
 
