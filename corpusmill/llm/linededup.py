@@ -6,7 +6,8 @@ hashes that are bucketed and sorted. A new batch of documents is aggregated to
 its own keys and merge-anti-joined with the runs: keys that no run has become a
 run of the lowest level, the others raise the counts of those that have them. When
 a level has `fanout` runs they are merged into one run of the next. After the last
-batch every document's lines are looked up in the runs.
+batch every document's lines are looked up in the keys that recur, which are
+broadcast if they are few and dealt with the lines of a hot key if not.
 
 A line's key is the line without white space (space, tab to CR) at both ends and
 with A-Z in lower case, held as two 64-bit hashes. Keys under `least_chars` code
@@ -26,7 +27,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, table, text_key
+from .common import lookup, scratch_path, table, text_key, written
 
 LEAST_CHARS = 20
 LEAST_DOCUMENTS = 3
@@ -63,11 +64,13 @@ class LineRuns:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
         self.raises: list[str] = []
+        self.made: list[str] = []
 
     def _sorted(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         write = rows.write.option("path", f"{self.folder}/{name}").option("compression", "zstd")
         write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        self.made.append(name)
         return name
 
     def _push(self, name: str, level: int) -> None:
@@ -114,6 +117,12 @@ class LineRuns:
             )
         return found
 
+    def close(self) -> None:
+        """Takes the runs' tables out of the catalogue; their files stay in the store's folder."""
+        for name in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.made, self.levels, self.raises = [], [], []
+
     def recurring(self, least: int = LEAST_DOCUMENTS) -> DataFrame:
         return self.current().filter(F.col("n") >= least).select("h1", "h2", "holder")
 
@@ -129,9 +138,13 @@ def dedup_lines(docs: DataFrame, keep: list[str], batches: int = BATCHES, least_
     kind = "_id long, _text long, holder long, h1 long, h2 long, batch int"
     lines = spark.read.schema(kind).parquet(path)
     runs = LineRuns(spark)
-    for b in range(batches):
-        runs.ingest(lines.filter(F.col("batch") == b).select("h1", "h2", "holder"))
-    doomed = lines.join(runs.recurring(least_documents).withColumnRenamed("holder", "largest"), ["h1", "h2"])
+    try:
+        for b in range(batches):
+            runs.ingest(lines.filter(F.col("batch") == b).select("h1", "h2", "holder"))
+        recurring = written(runs.recurring(least_documents).withColumnRenamed("holder", "largest"), "recurring")
+    finally:
+        runs.close()
+    doomed = lookup(lines, recurring, ["h1", "h2"])
     doomed = doomed.filter(~F.coalesce(F.col("holder") == F.col("largest"), F.col("largest").isNull()))
     doomed = doomed.groupBy("_id", "_text").agg(F.collect_set("h1").alias("doomed"))
     joined = rows.join(doomed, ["_id", "_text"], "left")
