@@ -175,3 +175,26 @@ def contamination(text: str | None, items: list[tuple[int, str | None]]) -> tupl
                 hit.update(range(i, i + size))
                 found.add(str(item))
     return len(words), len(hit), sorted(found)
+
+
+def proximity(rows: list[tuple[int | None, str | None]], items: list[tuple[int, str | None]], slop: int = 5) -> dict[int | None, tuple[int, list[str]]]:
+    """By doc_id: places and items of windows whose two rarest terms stand within slop of their distance, in any order."""
+    said = {i: DECONTAMINATION_WORD.findall(lower(t or "")) for i, t in rows}
+    times = Counter(w for own in said.values() for w in own)
+    pairs = set()
+    for item, body in items:
+        w = DECONTAMINATION_WORD.findall(lower(body or ""))
+        size = min(13, len(w))
+        for i in range(len(w) - size + 1) if w else ():
+            window = w[i : i + size]
+            if size > 1 and all(times[x] for x in window):
+                a, b = sorted(range(size), key=lambda k: (times[window[k]], k))[:2]
+                pairs.add((window[a], window[b], b - a, str(item)))
+    out = {}
+    for i, own in said.items():
+        at = {}
+        for p, w in enumerate(own):
+            at.setdefault(w, []).append(p)
+        found = {(min(p, q), item) for a, b, want, item in pairs for p in at.get(a, ()) for q in at.get(b, ()) if p != q and abs(q - p - want) <= slop}
+        out[i] = len({p for p, _ in found}), sorted({item for _, item in found})
+    return out

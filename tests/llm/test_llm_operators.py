@@ -222,6 +222,23 @@ def test_packing_round_trip(spark, docs):
         at += p["length"]
 
 
+def test_packing_over_many_ranges(spark, tmp_path_factory):
+    """Ranges far smaller than the corpus, a third of all rows equal: one gapless stream in order of the curve."""
+    import public_tokenizers
+
+    r = random.Random(6)
+    rows = [(None, "same text", None) for _ in range(60)] + [(i, words(r.randint(0, 300), r), None) for i in range(120)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string, n string")
+    found = rows_of(packing.pack(docs_, public_tokenizers.path("word_bpe_49k.json"), 100, 2000))
+    stream = sorted(found, key=lambda p: (p["sequence_id"], p["offset"]))
+    at = 0
+    for p in stream:
+        assert p["sequence_id"] * 100 + p["offset"] == at
+        at += p["length"]
+    curves = [p["curve"] for p in stream]
+    assert curves == sorted(curves) and len([p for p in found if p["doc_id"] is None and p["start"] == 0]) == 60
+
+
 def test_hilbert_neighbours():
     side = np.arange(8)
     points = np.stack(np.meshgrid(side, side, side, indexing="ij"), -1).reshape(-1, 3)
@@ -300,6 +317,18 @@ def test_line_runs_level_up(spark):
     assert {(r["h1"], r["n"], r["holder"]) for r in runs.current().collect()} == {(0, 1, 0), (1, 2, 1), (2, 3, 2), (3, 3, 3), (4, 3, 4), (5, 2, 4), (6, 1, 4)}
     probe = spark.createDataFrame([(6, 6), (7, 7)], "h1 long, h2 long")
     assert [r["h1"] for r in runs.unseen(probe).collect()] == [7]
+    runs.close()
+    assert not spark.sql("SHOW TABLES LIKE 'line_run*'").collect()
+
+
+def test_lookup_deals_hot_keys(spark):
+    """The salted join gives what the broadcast one gives."""
+    from corpusmill.llm.common import lookup
+
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)], "k long, v long")
+    known = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c")], "k long, w string")
+    for how in ("inner", "left"):
+        assert sorted(lookup(rows, known, ["k"], how, limit=-1).collect(), key=repr) == sorted(lookup(rows, known, ["k"], how).collect(), key=repr)
 
 
 def test_warc(spark, tmp_path_factory):
@@ -404,22 +433,29 @@ def test_kneser_ney_is_a_distribution():
     assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
 
 
-def test_contamination(spark, tmp_path_factory):
+@pytest.mark.parametrize("shared", [1, decontaminate.SHARED])
+def test_contamination(spark, tmp_path_factory, shared):
+    """Exact windows and proximity, with the windows of a rarest term that many share looked up one by one or by place."""
     r = random.Random(9)
-    items = [(0, words(30, r)), (1, words(5, r)), (2, "..."), (3, None), (4, words(30, r)), (14, "Ünïque TERM"), (None, words(20, r))]
+    items = [(0, words(30, r)), (1, words(5, r)), (2, "..."), (3, None), (4, words(30, r)), (14, "Ünïque TERM"), (None, words(20, r)), (6, "the an the an " * 8)]
     items.append((5, items[0][1]))
-    texts = [None, "", "...", items[0][1], "pre " + items[0][1].upper() + " post", words(50, r) + " " + items[1][1], " ".join(items[4][1].split()[3:16]), " ".join(items[4][1].split()[3:15]), "an ünïque term " + words(40, r), "Ünïque TERM", words(400, r), items[6][1] + " " + items[4][1] + " " + items[4][1]]
+    moved = items[4][1].split()
+    texts = [None, "", "...", items[0][1], "pre " + items[0][1].upper() + " post", words(50, r) + " " + items[1][1], " ".join(moved[3:16]), " ".join(moved[3:15]), "an ünïque term " + words(40, r), "Ünïque TERM", words(400, r), items[6][1] + " " + items[4][1] + " " + items[4][1]]
+    texts += [" ".join([*moved[:9], "put", "in", *moved[9:20], "more", *moved[20:]]), " ".join(reversed(moved)), "term ünïque", "the an " * 300]
     rows = [(i, t, None, None, None, "", "") for i, t in enumerate(texts)] + [(None, items[0][1], None, None, None, "", "")]
     folder = saved(spark, rows, tmp_path_factory)
-    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    found = rows_of(decontaminate.op9_positional_index(spark, folder))
+    spark.createDataFrame([(*x, "clash", 1) for x in items], "item_id long, text string, term string, window int").write.parquet(f"{folder}/benchmark.parquet")
+    docs_, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+    found = rows_of(decontaminate.contamination(docs_, bench, ["doc_id"], shared=shared))
     named = [("null" if i is None else i, t) for i, t in items]
-    assert len(found) == len(rows)
+    near = brute.proximity([(x[0], x[1]) for x in rows], named)
+    assert len(found) == len(rows) and any(n > 0 for n, _ in near.values())
     for f in found:
         text = next(t for i, t, *_ in rows if i == f["doc_id"])
         n, hit, own = brute.contamination(text, named)
-        assert (f["n_words"], f["n_hit"], f["n_items"], f["items_sha256"]) == (n, hit, len(own), brute.sha256(",".join(own)))
+        assert (f["n_words"], f["n_hit"], f["items"]) == (n, hit, own)
         assert f["contaminated"] == (hit > 0 and 20 * hit >= n)
+        assert (f["n_near"], f["near_items"]) == near[f["doc_id"]]
 
 
 def test_proximity(spark):
@@ -428,9 +464,9 @@ def test_proximity(spark):
     moved = [*body[:6], "inserted", "twice", *body[6:]]
     docs_ = spark.createDataFrame([(1, " ".join(body)), (2, " ".join(moved)), (3, "rarest " + "x " * 40 + "seldom")], "doc_id long, text string")
     items = spark.createDataFrame([(1, " ".join(body))], "item_id long, text string")
-    near = {r["_id"] for r in decontaminate.proximity(docs_, items, slop=3).collect()}
-    assert {1, 2} <= near
-    assert {r["_id"] for r in decontaminate.occurrences(docs_, items).collect()} == {1}
+    index = decontaminate.Index(docs_, items)
+    assert {r["_id"] for r in index.proximity(slop=3).collect()} == {1, 2}
+    assert {r["_id"] for r in index.occurrences().collect()} == {1}
 
 
 def test_language(spark, tmp_path_factory):
