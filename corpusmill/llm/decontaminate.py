@@ -192,7 +192,7 @@ o AS (SELECT g.doc_id, g.i, g.k, v.item_id FROM g JOIN v USING (k, s)),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM o) GROUP BY doc_id),
 t AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM o) GROUP BY doc_id)
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM o) GROUP BY doc_id),
 tok AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM d),
 df AS (SELECT term, count(*) AS df FROM tok GROUP BY term),
 vt AS (SELECT s, unnest(string_split(s, ' ')) AS term, generate_subscripts(string_split(s, ' '), 1) AS off FROM (SELECT DISTINCT s FROM v)),
