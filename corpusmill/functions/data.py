@@ -17,6 +17,11 @@ def tolerant_map(raw: Column) -> Column:
     return F.coalesce(F.from_json(raw, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
+def has_key(raw: Column, key: str) -> Column:
+    """Whether a JSON object has a value other than null for a key."""
+    return F.get_json_object(raw, f"$.{key}").isNotNull()
+
+
 def first_object(text: Column) -> Column:
     """From the first brace to the last, null unless that is valid JSON; a truncated reply isn't salvaged."""
     span = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))

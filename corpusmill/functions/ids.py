@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 LEGACY_COLLECTION = "iso-standards"
 MAX_LEVELS, LEVEL_BASE = 5, 100
+ID_TOKEN = r"^\d{1,2}(?:\.\d{1,2}){0,4}[.)]?$"
 
 
 def standard_id(name: Column) -> Column:
@@ -121,5 +122,14 @@ def truthy(value: Column) -> Column:
     return F.lower(F.trim(value)).isin("true", "1", "yes", "on")
 
 
+def is_admin(roles: Column, admins: list[str]) -> Column:
+    return F.coalesce(F.arrays_overlap(roles, F.array(*[F.lit(r) for r in admins])), F.lit(False))
+
+
+def iso_time(ts: Column) -> Column:
+    """UTC if the session is; microseconds only where there are any."""
+    return F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+
+
 def display_name(name: Column, email: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(name), F.lit("")), F.split_part(email, F.lit("@"), F.lit(1)))

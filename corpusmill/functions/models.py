@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DIMENSIONS = 64
@@ -32,17 +33,71 @@ def hashed(texts: list[str]) -> list[list[float]]:
     return out
 
 
-def tried(backend: Callable[[list[str]], list], texts: list[str], failed: object, attempts: int = ATTEMPTS, wait: float = WAIT_SECONDS) -> list:
+class ModelError(Exception):
+    """A reply that asking again won't mend."""
+
+
+class RateLimited(Exception):
+    """Asked too often: wait longer."""
+
+
+def answered(backend: Callable[[list[str]], list], texts: list[str], attempts: int = ATTEMPTS, wait: float = WAIT_SECONDS) -> tuple[list | None, str, int]:
+    """The backend's results, how the call ended (ok, error, refused, limited) and the attempts it took."""
+    status = "error"
     for n in range(attempts):
+        pause = wait * 2**n
         try:
             found = backend(texts)
             if len(found) == len(texts):
-                return found
+                return found, "ok", n + 1
+        except ModelError:
+            return None, "refused", n + 1
+        except RateLimited:
+            status, pause = "limited", 2.5 * wait * (n + 1)
         except (OSError, ValueError, RuntimeError):
-            pass
+            status = "error"
         if n + 1 < attempts:
-            time.sleep(wait * 2**n)
-    return [failed] * len(texts)
+            time.sleep(pause)
+    return None, status, attempts
+
+
+def tried(backend: Callable[[list[str]], list], texts: list[str], failed: object, attempts: int = ATTEMPTS, wait: float = WAIT_SECONDS) -> list:
+    found, _, _ = answered(backend, texts, attempts, wait)
+    return [failed] * len(texts) if found is None else found
+
+
+#: The model a task is sent to where nothing else is configured.
+MODELS = {"parse": "parser-default", "extract": "extractor-default", "translate": "translator-default", "map": "mapper-default", "embed": "embedder-default"}
+
+
+def model_of(task: str, settings: dict[str, str] | None = None) -> str:
+    """The model configured for a task, its default, or the one for mapping."""
+    return (settings or {}).get(task) or MODELS.get(task) or MODELS["map"]
+
+
+def caller(backend: Callable[[list[str]], list], batch: int = 8, **retry):
+    """A column function: text to reply (null: failed or empty), status, attempts and seconds of its call."""
+
+    @F.pandas_udf("reply string, status string, attempts int, seconds double")
+    def call(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in columns:
+            own, rows = texts.fillna("").tolist(), []
+            for i in range(0, len(own), batch):
+                asked, began = own[i : i + batch], time.monotonic()
+                found, status, attempts = answered(backend, asked, **retry)
+                took = (time.monotonic() - began) / len(asked)
+                for reply in found or [None] * len(asked):
+                    empty = found is not None and not str(reply or "").strip()
+                    rows.append((None if empty else reply, "empty" if empty else status, attempts, took))
+            yield pd.DataFrame(rows, columns=["reply", "status", "attempts", "seconds"])
+
+    return call
+
+
+def call_log(calls: DataFrame, labels: list[str]) -> DataFrame:
+    """labels, status, n, attempts and seconds of rows with `call` as `caller` gives it."""
+    rows = calls.groupBy(*labels, F.col("call.status").alias("status"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("call.attempts").alias("attempts"), F.sum("call.seconds").alias("seconds"))
 
 
 def embedder(backend: Callable[[list[str]], list] = hashed, batch: int = 16, dimensions: int = DIMENSIONS, **retry):

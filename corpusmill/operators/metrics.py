@@ -60,6 +60,33 @@ def or_zero(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.agg(F.coalesce(F.sum(value), F.lit(0)).alias(name))
 
 
+def labelled(samples: DataFrame, label: str, value: str) -> DataFrame:
+    """All series under one value of a label."""
+    return samples.withColumn(label, F.lit(value))
+
+
+def instant(samples: DataFrame, labels: list[str], at: Column, lookback: str = "5 minutes", ts: str = "ts", order: str = "event_id", value: str = "value") -> DataFrame:
+    """labels and the last value of each series in the lookback before a moment; no time."""
+    near = (F.col(ts) <= at) & (F.col(ts) > at - F.expr(f"INTERVAL {lookback}"))
+    return latest(samples.filter(near), labels, ts, order, value)
+
+
+def ranged(samples: DataFrame, labels: list[str], step: str, ts: str = "ts", order: str = "event_id", value: str = "value") -> DataFrame:
+    """start, labels and the last value of each series in each step."""
+    return latest(samples.withColumn("start", F.window(ts, step)["start"]), [*labels, "start"], ts, order, value)
+
+
+def lifetime(samples: DataFrame, labels: list[str], by: list[str], value: str = "value", **at: str) -> DataFrame:
+    """by and the sum of its counters as they stand last."""
+    return latest(samples, labels, value=value, **at).groupBy(*by).agg(F.sum(value).alias(value))
+
+
+def ratio_on(top: DataFrame, bottom: DataFrame, labels: list[str], value: str = "value") -> DataFrame:
+    """labels and the clamped ratio of series that both sides have."""
+    both = top.join(bottom.withColumnRenamed(value, "_b"), labels)
+    return both.select(*labels, clamped_ratio(F.col(value).cast("double"), F.col("_b").cast("double")).alias("ratio"))
+
+
 def clamped_ratio(a: Column, b: Column) -> Column:
     return F.least(F.lit(1.0), a / F.greatest(F.lit(1.0), b))
 
@@ -71,6 +98,11 @@ def histogram(samples: DataFrame, labels: list[str], value: str = "value", bound
     return counts.select(*labels, F.explode(cells).alias("c")).select(*labels, "c.le", "c.n")
 
 
+def histogram_totals(samples: DataFrame, labels: list[str], value: str = "value") -> DataFrame:
+    """labels, sum and count of a histogram."""
+    return samples.groupBy(*labels).agg(F.sum(value).alias("sum"), F.count(value).alias("count"))
+
+
 def matches(label: Column, pattern: str) -> Column:
     """A matcher holds for the whole label."""
     return label.rlike(f"^(?:{pattern})$")

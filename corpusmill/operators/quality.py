@@ -31,11 +31,16 @@ def systematic(df: DataFrame, key: str, size: int = 20) -> DataFrame:
     return rows.filter((F.col("row") % step == 0) & (F.col("row") / step < size)).drop("_n")
 
 
-def validate(docs: DataFrame, chunks: DataFrame, key: str, text: str, size: int = 20) -> DataFrame:
-    """One row on an import: do sampled sections have chunks, and do the chunks hold the sections' word pairs?"""
-    sample = systematic(docs.filter(~blank(F.col(text))).select(key, text), key, size)
+def sampled(docs: DataFrame, key: str, text: str, size: int = 20) -> DataFrame:
+    """A systematic sample of the rows with a text. Keys alone are numbered; the texts are then read by the keys, which are `size` at most."""
+    keys = systematic(docs.filter(~blank(F.col(text))).select(key), key, size)
+    return docs.filter(F.col(key).isin([r[key] for r in keys.select(key).collect()]))
+
+
+def validate(sample: DataFrame, chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """One row on an import: do the sampled sections have chunks, and do the chunks hold the sections' word pairs?"""
     said = chunks.join(F.broadcast(sample.select(key)), key, "left_semi").groupBy(key).agg(F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda c: c["content"]), " ")).alias("_said"))
-    rows = sample.join(said, key, "left").withColumn("_pairs", key_bigrams(F.col(text)))
+    rows = sample.select(key, text).join(said, key, "left").withColumn("_pairs", key_bigrams(F.col(text)))
     found = F.when(F.col("_said").isNotNull(), F.size(F.filter("_pairs", lambda p: F.contains(F.col("_said"), p)))).otherwise(0)
     rows = rows.withColumn("_found", found).withColumn("_asked", F.when(F.col("_said").isNotNull(), F.size("_pairs")).otherwise(0))
     sums = rows.agg(F.count(F.lit(1)).alias("n_sampled"), F.count("_said").alias("n_found"), F.coalesce(F.sum("_asked"), F.lit(0)).alias("n_phrases"), F.coalesce(F.sum("_found"), F.lit(0)).alias("n_phrases_found"))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.data import cosine, keyword_relevance, relevance
+from ..functions.data import dot, keyword_relevance, normalised, relevance
 from ..functions.text import query_terms
 
 BROADCAST_BYTES = 16 << 20
@@ -29,7 +29,11 @@ def _small(df: DataFrame) -> DataFrame:
 
 def keyword_hits(rows: DataFrame, content: str, queries: DataFrame) -> DataFrame:
     """rows with query_id for each query (query_id, query) of which a term stands in `content`; queries without terms find nothing."""
-    known = queries.select(F.col("query_id").cast("long"), query_terms(F.col("query")).alias("terms")).collect()  # the stated queries, six terms each
+    stated = queries.select(F.col("query_id").cast("long"), query_terms(F.col("query")).alias("terms"))
+    size = stated.agg(F.sum(F.octet_length(F.array_join("terms", " ")) + 50)).first()[0] or 0
+    if size > BROADCAST_BYTES:
+        raise ValueError(f"the queries' terms are {size} bytes; ask them in parts of at most {BROADCAST_BYTES}")
+    known = stated.collect()  # of the size just measured
     of: dict[str, list[int]] = {}
     for r in known:
         for term in r["terms"] or []:
@@ -72,7 +76,9 @@ def vector_topk(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: i
     scope = [F.col(f"_r_{a}") == F.col(f"_q_{b}") for a, b in on.items()]
     left = rows.filter(F.col(vector).isNotNull()).select(F.col(key), F.col(vector).alias("_v"), *[F.col(a).alias(f"_r_{a}") for a in on])
     right = queries.select("query_id", F.col("query").alias("_q"), *[F.col(b).alias(f"_q_{b}") for b in on.values()])
-    met = left.join(_small(right), scope).select("query_id", key, cosine(F.col("_v"), F.col("_q")).alias("similarity"))
+    left = left.withColumn("_v", normalised(F.col("_v"))).filter("_v is not null")  # a vector's length once, not once a pair
+    right = right.withColumn("_q", normalised(F.col("_q"))).filter("_q is not null")
+    met = left.join(_small(right), scope).select("query_id", key, dot(F.col("_v"), F.col("_q")).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
     return met.filter("similarity is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

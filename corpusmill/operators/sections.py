@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import ancestor_ids, normal_id, parent_id, sort_key
-from ..functions.text import BARE_ID, blank, heading, lead_of, prepared, strip, title_of, without_junk
+from ..functions.text import blank, heading, lead_of, prepared, repaired_words, strip, title_of, without_junk
+from .structure import reflowed
 
 
 def lines(docs: DataFrame, key: str, text: Column) -> DataFrame:
@@ -35,18 +36,17 @@ def joined_next(rows: DataFrame, key: str, opens: Column, order: str = "line_no"
 
 def parse(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, position, clause_id, title, body, sort_order of every numbered section."""
-    rows = lines(docs, key, prepared(F.coalesce(F.col(text), F.lit(""))))
-    rows = joined_next(rows.filter(~blank(F.col("line"))), key, strip(F.col("line")).rlike(BARE_ID))
+    rows = reflowed(docs, key, prepared(F.coalesce(F.col(text), F.lit(""))))
     rows = carried(rows.withColumn("own", heading(F.col("line"))), key, F.col("own")).filter("head is not null")
     said = F.when(F.col("own").isNotNull(), lead_of(F.col("own.title"))).otherwise(strip(F.col("line")))
     sections = rows.groupBy(key, "section").agg(F.first("head").alias("head"), F.array_sort(F.collect_list(F.struct("line_no", said.alias("said")))).alias("body"))
-    body = F.array_join(F.filter(F.transform("body", lambda b: b["said"]), lambda s: s != ""), "\n")
+    body = F.array_join(F.filter(F.transform("body", lambda b: b["said"]), lambda s: s != ""), "\n\n")
     return sections.select(
         key,
         F.col("section").alias("position"),
         F.col("head.id").alias("clause_id"),
         title_of(F.col("head.title")).alias("title"),
-        without_junk(body).alias("body"),
+        repaired_words(without_junk(body)).alias("body"),
         sort_key(F.col("head.id")).alias("sort_order"),
     )
 

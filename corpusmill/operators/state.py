@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.data import merged_json
+from ..functions.ids import sort_key
 
 
 def last_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -51,6 +52,31 @@ def cascade(children: DataFrame, parents: DataFrame, foreign: str, key: str) ->
     return children.join(parents.select(F.col(key).alias(foreign)).distinct(), foreign, "left_semi")
 
 
+def purge_keys(old: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Without the rows of the listed keys."""
+    return old.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def update_where(old: DataFrame, hit: Column, values: dict[str, Column]) -> DataFrame:
+    """Rows that `hit` holds for get new values; null is no hit."""
+    return old.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def rescaled(sections: DataFrame, below: int = 1_000_000) -> DataFrame:
+    """Sort orders of the older, smaller scale are computed anew; running it again changes nothing."""
+    return update_where(sections, F.col("sort_order") < below, {"sort_order": sort_key(F.col("clause_id"))})
+
+
+def seeded(old: DataFrame, seed: DataFrame, keys: list[str], kept: tuple[str, ...] = ("source",)) -> DataFrame:
+    """A seed's rows overwrite all but the `kept` columns of old ones; loading it again changes nothing."""
+    return upsert_columns(old, seed, keys, [c for c in old.columns if c not in (*keys, *kept)])
+
+
+def with_defaults(rows: DataFrame) -> DataFrame:
+    """created_at and updated_at, now where they are missing."""
+    return with_column(with_column(rows, "created_at", F.current_timestamp()), "updated_at", F.current_timestamp())
+
+
 def merge_patch(df: DataFrame, column: str, patch: Column) -> DataFrame:
     return df.withColumn(column, F.to_json(merged_json(F.col(column), patch)))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import series, tables, text
+from . import repair, series, tables, text
 
-MODULES = (text, tables, series)
+MODULES = (text, tables, series, repair)
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import data, ids
@@ -57,10 +57,10 @@ def set_level_fallback(spark, folder):
     return first.unionByName(rows.filter("lang = 'en'").join(first.select("source"), "source", "left_anti")).withColumn("fallback", F.col("lang") != "es")
 
 
-@query(r"""WITH f AS (SELECT source, max(text) FILTER (WHERE lang = 'de' AND doc_id % 2 = 0) AS a, max(text) FILTER (WHERE lang = 'en') AS b FROM documents GROUP BY source)
+@query(r"""WITH f AS (SELECT source, max(text) FILTER (WHERE lang = 'de' AND n_chars > 1000) AS a, max(text) FILTER (WHERE lang = 'en') AS b FROM documents GROUP BY source)
 SELECT source, md5(coalesce(nullif(trim(a), ''), b, '')) AS body_md5, coalesce(trim(a), '') = '' AS fallback FROM f""")
 def row_level_fallback(spark, folder):
-    rows = table(spark, folder, "documents").groupBy("source").agg(F.max(F.when((F.col("lang") == "de") & (F.col("doc_id") % 2 == 0), F.col("text"))).alias("a"), F.max(F.when(F.col("lang") == "en", F.col("text"))).alias("b"))
+    rows = table(spark, folder, "documents").groupBy("source").agg(F.max(F.when((F.col("lang") == "de") & (F.col("n_chars") > 1000), F.col("text"))).alias("a"), F.max(F.when(F.col("lang") == "en", F.col("text"))).alias("b"))
     a = F.trim("a")
     return rows.select("source", F.md5(F.coalesce(F.nullif(a, F.lit("")), "b", F.lit("")).cast("binary")).alias("body_md5"), (F.coalesce(a, F.lit("")) == "").alias("fallback"))
 
@@ -134,18 +134,14 @@ def ordered_concat(spark, folder):
     return rows.select("conv_id", F.md5(F.lower(F.array_join(F.transform("t", lambda x: x["text"]), " ")).cast("binary")).alias("said_md5"))
 
 
-@query("""SELECT source, count(*)::BIGINT AS n_sections, coalesce(sum(length(trim(text))), 0)::BIGINT AS n_chars, count(*) FILTER (WHERE length(text) > 1000)::BIGINT AS n_long,
-  count(*) >= 40 AND count(*) FILTER (WHERE length(text) > 1000) >= 12 AND coalesce(sum(length(trim(text))), 0) >= 4000 AS ok FROM documents GROUP BY source""")
-def quality_gate(spark, folder):
-    rows = table(spark, folder, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_sections"), F.coalesce(F.sum(F.length(F.trim("text"))), F.lit(0)).alias("n_chars"), F.count_if(F.length("text") > 1000).alias("n_long"))
-    return rows.withColumn("ok", (F.col("n_sections") >= 40) & (F.col("n_long") >= 12) & (F.col("n_chars") >= 4000))
-
-
-@query("""WITH k AS (SELECT left(text, 40) AS k, * FROM documents)
-SELECT k AS clause_id, min(doc_id) AS position, arg_min(source, doc_id) AS title, min(n_chars) AS sort_order, (count(*) - 1)::BIGINT AS n_warnings FROM k GROUP BY k""")
+@query("""WITH k AS (SELECT lang AS scope, coalesce(md5(text), '') AS clause_id, * FROM documents)
+SELECT scope, clause_id, min(doc_id) AS position, arg_min(source, doc_id) AS title, md5(coalesce(arg_min(text, doc_id) FILTER (WHERE trim(text, E' \\t\\r\\n\\f\\v') <> ''), '')) AS body_md5,
+  min(n_chars) AS sort_order, (count(*) - 1)::BIGINT AS n_warnings FROM k GROUP BY scope, clause_id""")
 def first_wins_dedupe(spark, folder):
-    rows = table(spark, folder, "documents").select(F.left("text", F.lit(40)).alias("clause_id"), F.col("doc_id").alias("position"), F.col("source").alias("title"), F.col("n_chars").alias("sort_order"))
-    return rows.groupBy("clause_id").agg(F.min("position").alias("position"), F.min_by("title", "position").alias("title"), F.min("sort_order").alias("sort_order"), (F.count(F.lit(1)) - 1).alias("n_warnings"))
+    """Documents of a language keyed by their whole text: the first one's place and source stand, repeats are counted."""
+    rows = table(spark, folder, "documents").select(F.col("lang").alias("scope"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")).alias("clause_id"), F.col("doc_id").alias("position"), F.col("source").alias("title"), F.col("text").alias("body"), F.col("n_chars").alias("sort_order"))
+    found = sections.first_wins(rows, ["scope"])
+    return found.select("scope", "clause_id", "position", "title", F.md5(F.col("body").cast("binary")).alias("body_md5"), "sort_order", "n_warnings")
 
 
 @query("""SELECT conv_id, turn, count(*) FILTER (WHERE contains(lower(text), w))::BIGINT AS n_terms, bool_or(contains(lower(text), w)) AS allowed
@@ -159,11 +155,11 @@ def guardrail_filter(spark, folder):
 
 def _snapshots(spark, folder) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars")
-    return docs.filter("doc_id % 3 <> 0"), docs.filter("doc_id % 2 = 0").withColumn("n_chars", F.col("n_chars") + 1).withColumn("source", F.when(F.col("doc_id") % 4 == 0, F.col("source")))
+    return docs.filter("lang <> 'es'"), docs.filter("source like 'src1%'").withColumn("n_chars", F.col("n_chars") + 1).withColumn("source", F.when(F.col("lang") != "de", F.col("source")))
 
 
-OLD_NEW = """o AS (SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id % 3 <> 0),
-n AS (SELECT doc_id, lang, CASE WHEN doc_id % 4 = 0 THEN source END AS source, n_chars + 1 AS n_chars FROM documents WHERE doc_id % 2 = 0)"""
+OLD_NEW = """o AS (SELECT doc_id, lang, source, n_chars FROM documents WHERE lang <> 'es'),
+n AS (SELECT doc_id, lang, CASE WHEN lang <> 'de' THEN source END AS source, n_chars + 1 AS n_chars FROM documents WHERE source LIKE 'src1%')"""
 
 
 @query(f"WITH {OLD_NEW} SELECT * FROM n UNION ALL SELECT * FROM o WHERE doc_id NOT IN (SELECT doc_id FROM n)")
@@ -219,11 +215,15 @@ def array_set_ops(spark, folder):
 
 
 def _sets(spark, folder) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, folder, "documents").select((F.col("doc_id") % 200).cast("string").alias("clause_id"), F.col("source").alias("title"), F.substring(F.coalesce("text", F.lit("")), 1, 300).alias("body"), F.col("n_chars").alias("sort_order"), "doc_id")
-    return docs.filter("doc_id < 200").drop("doc_id"), docs.filter("doc_id >= 200 and doc_id < 350").drop("doc_id")
+    """All English documents and all others, each by its place within its language's documents of a source; whole texts are bodies."""
+    own = Window.partitionBy("source", F.col("lang") == "en").orderBy("doc_id")
+    docs = table(spark, folder, "documents").select("source", "lang", "text", "n_chars", F.row_number().over(own).cast("string").alias("clause_id"))
+    rows = docs.select(F.concat("source", F.lit(":"), "clause_id").alias("clause_id"), F.col("source").alias("title"), F.coalesce("text", F.lit("")).alias("body"), F.col("n_chars").alias("sort_order"), (F.col("lang") == "en").alias("en"))
+    return rows.filter("en").drop("en"), rows.filter("not en").drop("en")
 
 
-SETS = "s AS (SELECT (doc_id % 200)::VARCHAR AS clause_id, source AS title, substring(coalesce(text, ''), 1, 300) AS body, n_chars AS sort_order, (doc_id >= 200)::INT AS f FROM documents WHERE doc_id < 350)"
+SETS = """s AS (SELECT source || ':' || row_number() OVER (PARTITION BY source, lang = 'en' ORDER BY doc_id) AS clause_id, source AS title, coalesce(text, '') AS body, n_chars AS sort_order, (lang <> 'en')::INT AS f
+  FROM documents WHERE lang IS NOT NULL)"""
 
 
 @query(f"""WITH {SETS} SELECT clause_id, arg_max(title, (title <> 'src1')::INT * 2 - f) AS title, md5(arg_max(body, length(body) * 2 + f)) AS body_md5, min(sort_order) AS sort_order FROM s GROUP BY clause_id""")
@@ -232,7 +232,7 @@ def merge_clause_sets(spark, folder):
     return rows.select("clause_id", "title", F.md5(F.col("body").cast("binary")).alias("body_md5"), "sort_order")
 
 
-@query(f"""WITH {SETS}, c AS (SELECT sum(length(trim(body, E' \\t\\n'))) FILTER (WHERE f = 0) AS l, sum(length(trim(body, E' \\t\\n'))) FILTER (WHERE f = 1) AS o, count(*) FILTER (WHERE f = 0) AS nl, count(*) FILTER (WHERE f = 1) AS no FROM s)
+@query(f"""WITH {SETS}, c AS (SELECT coalesce(sum(length(trim(body, E' \\t\\n\\r\\f\\v'))) FILTER (WHERE f = 0), 0) AS l, sum(length(trim(body, E' \\t\\n\\r\\f\\v'))) FILTER (WHERE f = 1) AS o, count(*) FILTER (WHERE f = 0) AS nl, count(*) FILTER (WHERE f = 1) AS no FROM s)
 SELECT clause_id, title FROM s, c WHERE f = (coalesce(no >= nl AND o >= l * 0.70, false))::INT""")
 def choose_best_set(spark, folder):
     return sections.choose(*_sets(spark, folder)).select("clause_id", "title")

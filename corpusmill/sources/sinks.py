@@ -32,6 +32,21 @@ def save_report(sheets: dict[str, DataFrame], folder: str) -> None:
         df.write.mode("overwrite").option("header", "true").csv(f"{folder}/{name}")
 
 
+def exportable(projects: DataFrame) -> DataFrame:
+    """Only what was approved may be exported."""
+    return projects.filter(F.col("status") == "approved")
+
+
+def dated(sheets: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The summary with the day of the report."""
+    return sheets | {"summary": sheets["summary"].withColumn("report_date", F.date_format(F.current_date(), "yyyy-MM-dd"))}
+
+
+def completed(rows: DataFrame, folder: str) -> None:
+    """A marker file with the number of rows, written when they are."""
+    rows.agg(F.format_string("rows=%d", F.count(F.lit(1))).alias("value")).coalesce(1).write.mode("overwrite").text(folder)
+
+
 def save_originals(files: DataFrame, folder: str) -> None:
     """Bytes with their size, partitioned by kind."""
     files.withColumn("size_bytes", F.length("content").cast("long")).write.mode("append").partitionBy("kind").parquet(folder)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.ids import edition, file_kind, file_language, file_standard
+from ..functions.ids import content_type, edition, file_kind, file_language, file_standard
+from .docx import docx_text
 
+MANIFEST_BYTES = 16 << 20
 PLAIN = ("txt", "md", "csv", "log", "yaml", "yml", "json")
 SKIPPED = (".gitkeep", ".DS_Store")
 CLAUSE = "clause_id string, title string, body string, text string, sort_order long"
@@ -25,10 +27,30 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def file_texts(found: DataFrame) -> DataFrame:
-    """text and status of files(): `ok`, `binary` for kinds that need a reader of their own; bad bytes are replaced."""
-    plain = F.col("kind").isin(*PLAIN)
-    text = F.when(plain, F.make_valid_utf8(F.col("content").cast("string")))
-    return found.select("path", "name", "kind", text.alias("text"), F.when(plain, "ok").otherwise("binary").alias("status"))
+    """text and status of files(): `ok`, `parse-error` for word-processor files that can't be read, `binary` for kinds without a reader.
+
+    Bad bytes are replaced; valid JSON is laid out with one value a line.
+    """
+    plain, docx = F.col("kind").isin(*PLAIN), F.col("kind") == "docx"
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    laid_out = F.to_json(F.try_parse_json(text), {"pretty": "true"})
+    text = F.when(F.col("kind") == "json", F.coalesce(laid_out, text)).when(plain, text).when(docx, docx_text()(F.when(docx, F.col("content"))))
+    status = F.when(docx & F.col("text").isNull(), "parse-error").when(plain | docx, "ok").otherwise("binary")
+    return found.select("path", "name", "kind", text.alias("text")).withColumn("status", status)
+
+
+def require(found: DataFrame, collections: DataFrame) -> None:
+    """Raises if a collection that isn't optional has no file."""
+    roots = collections.filter("not optional").select("id", "path").withColumnRenamed("path", "root")
+    inside = F.contains(F.col("path"), F.concat(F.lit("/"), F.col("root"), F.lit("/")))
+    empty = [r["id"] for r in roots.join(found.select("path"), inside, "left_anti").orderBy("id").collect()]  # a manifest's entries
+    if empty:
+        raise FileNotFoundError(f"collections without files: {', '.join(empty)}")
+
+
+def blob(originals: DataFrame, id_: int | str, key: str = "id") -> DataFrame:
+    """filename, content_type and file_data of one stored file."""
+    return originals.filter(F.col(key) == id_).select("filename", content_type(F.col("filename")).alias("content_type"), "file_data")
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +73,10 @@ def seed_rows(texts: DataFrame, collections: DataFrame) -> DataFrame:
     """file_texts() with the collection each lies in and what its name tells: language, standard, edition."""
     roots = collections.select(F.col("id").alias("collection_id"), F.col("path").alias("root"), "languages", "standards", "chunk_size", "chunk_overlap")
     inside = F.contains(F.col("path"), F.concat(F.lit("/"), F.col("root"), F.lit("/")))
-    rows = texts.filter("status = 'ok'").join(F.broadcast(roots), inside)  # a manifest's entries
+    size = roots.agg(F.sum(F.length("root") + 100)).first()[0] or 0
+    if size > MANIFEST_BYTES:
+        raise ValueError(f"a manifest of {size} bytes is too large to be sent to all tasks")
+    rows = texts.filter("status = 'ok'").join(F.broadcast(roots), inside)
     name = F.col("name")
     return rows.select(
         "collection_id",
