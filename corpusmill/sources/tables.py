@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,22 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("path", "name", file_kind(F.col("name")).alias("kind"), "content")
 
 
+def laid_out():
+    """A column function: JSON with one value a line; other texts as they are."""
+
+    def pretty(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(json.loads(text), indent=2, ensure_ascii=False)
+        except ValueError:
+            return text
+
+    @F.pandas_udf("string")
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(pretty).astype(object)
+
+    return read
+
+
 def file_texts(found: DataFrame) -> DataFrame:
     """text and status of files(): `ok`, `parse-error` for word-processor files that can't be read, `binary` for kinds without a reader.
 
@@ -33,8 +52,8 @@ def file_texts(found: DataFrame) -> DataFrame:
     """
     plain, docx = F.col("kind").isin(*PLAIN), F.col("kind") == "docx"
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    laid_out = F.to_json(F.try_parse_json(text), {"pretty": "true"})
-    text = F.when(F.col("kind") == "json", F.coalesce(laid_out, text)).when(plain, text).when(docx, docx_text()(F.when(docx, F.col("content"))))
+    is_json = F.col("kind") == "json"
+    text = F.when(is_json, laid_out()(F.when(is_json, text))).when(plain, text).when(docx, docx_text()(F.when(docx, F.col("content"))))
     status = F.when(docx & F.col("text").isNull(), "parse-error").when(plain | docx, "ok").otherwise("binary")
     return found.select("path", "name", "kind", text.alias("text")).withColumn("status", status)
 
