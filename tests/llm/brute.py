@@ -198,3 +198,41 @@ def proximity(rows: list[tuple[int | None, str | None]], items: list[tuple[int,
         found = {(min(p, q), item) for a, b, want, item in pairs for p in at.get(a, ()) for q in at.get(b, ()) if p != q and abs(q - p - want) <= slop}
         out[i] = len({p for p, _ in found}), sorted({item for _, item in found})
     return out
+
+
+def kneser_ney(texts: list[tuple[str | None, str | None]]) -> list[float | None]:
+    """Mean bits a 4-gram of each (text, lang) under its language's modified Kneser-Ney model, by the recursive formula."""
+
+    def grams(text: str | None) -> list[tuple]:
+        data = "".join("0" if c in "0123456789" else " " if c in "\t\n\x0b\x0c\r" else lower(c) for c in text or "").encode("utf-16-le")
+        units = [data[i : i + 2] for i in range(0, len(data), 2)]
+        return [tuple(units[i : i + 4]) for i in range(len(units) - 3)]
+
+    out: list[float | None] = [None] * len(texts)
+    for lang in {x for _, x in texts}:
+        own = [i for i, (_, x) in enumerate(texts) if x == lang]
+        counts = {4: Counter(g for i in own for g in grams(texts[i][0]))}
+        for order in (3, 2, 1):
+            counts[order] = Counter(g[1:] for g in counts[order + 1])
+        discount, total, spare = {}, {}, {}
+        for order, c in counts.items():
+            n = [sum(v == k for v in c.values()) for k in range(5)]
+            y = n[1] / (n[1] + 2 * n[2]) if all(n[1:]) else 0
+            discount[order] = [0] + [min(k, max(0, k - (k + 1) * y * n[k + 1] / n[k])) if all(n[1:]) else k / 2 for k in (1, 2, 3)]
+            for g, v in c.items():
+                total[g[:-1], order] = total.get((g[:-1], order), 0) + v
+                spare[g[:-1], order] = spare.get((g[:-1], order), 0) + discount[order][min(v, 3)]
+
+        def p(g: tuple, counts=counts, discount=discount, total=total, spare=spare) -> float:
+            order = len(g)
+            if order == 0:
+                return 1 / (len(counts[1]) + 1)
+            if (g[:-1], order) not in total:
+                return p(g[1:])
+            v, t = counts[order].get(g, 0), total[g[:-1], order]
+            return (v - discount[order][min(v, 3)]) / t + spare[g[:-1], order] / t * p(g[1:])
+
+        for i in own:
+            if found := grams(texts[i][0]):
+                out[i] = -sum(math.log2(p(g)) for g in found) / len(found)
+    return out

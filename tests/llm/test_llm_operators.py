@@ -423,14 +423,32 @@ def test_perplexity_bands_reject_spam_and_menus(spark):
     assert share["spam"] < 0.5 and share["menu"] < 0.5 and share["good"] > 0.97
 
 
-def test_kneser_ney_is_a_distribution():
-    counts = np.zeros(quality.CODES, np.int64)
-    r = np.random.default_rng(2)
-    np.add.at(counts, r.integers(0, 3000, 20000), 1)
-    model = quality.kneser_ney(counts)
-    assert all((np.diff(seen) > 0).all() for seen, _, _ in model)
-    p = 2.0 ** quality.expanded(model).reshape(-1, quality.SYMBOLS).astype(float)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
+def test_kneser_ney_equals_the_recursion(spark):
+    """Bits of every text, by sorted arrays and by joins, against plain Python; surrogate pairs, short texts, null languages."""
+    r = random.Random(2)
+    texts = [(words(r.randint(1, 60), r), r.choice(["en", "de", None])) for _ in range(80)]
+    texts += [("привет мир " * 3, "ru"), ("\U0001f600\U0001f601 ok \U0001f600", "en"), ("abc", "en"), ("ABCD 12\t99", "de"), ("", None), (None, "en"), *[(words(9, r), "en")] * 3]
+    df = spark.createDataFrame([(i, t, lang, "clash") for i, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string, code string")
+    told = brute.kneser_ney(texts)
+    for limit in (quality.MODEL_BYTES, 0):
+        found = {x["doc_id"]: x["bits"] for x in quality.assess(df, model_bytes=limit).collect()}
+        for i, bits in enumerate(told):
+            assert (found[i] is None and bits is None) or abs(found[i] - bits) < 1e-4
+
+
+def test_garbled_text_goes_in_every_script(spark):
+    """Shuffled letters are rejected and real words stay, whatever the alphabet."""
+    r = random.Random(12)
+    scripts = {"ru": "абвгдежзиклмнопрст", "he": "אבגדהוזחטיכלמנסעפ", "el": "αβγδεζηθικλμνξοπρ", "zh": "的一是不了人我在有他这中大来上国"}
+    rows, garbled = [], set()
+    for lang, letters in scripts.items():
+        known = ["".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(120)]
+        for _ in range(120):
+            rows.append((len(rows), " ".join(r.choice(known) for _ in range(120)), lang))
+        garbled.add(len(rows))
+        rows.append((len(rows), " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 6))) for _ in range(120)), lang))
+    found = {x["doc_id"]: x["kept"] for x in quality.assess(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(found[i] for i in garbled) and sum(not found[i] for i in found if i not in garbled) <= 0.02 * len(rows)
 
 
 @pytest.mark.parametrize("shared", [1, decontaminate.SHARED])
