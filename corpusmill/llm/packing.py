@@ -7,7 +7,7 @@ one stream that is cut every `capacity` ids, so only the last sequence has
 padding.
 
 The order is by range of (Hilbert key, doc_id, content), in ranges of about
-`RANGE_BYTES` of ids however large the corpus is, so a key that many documents
+`RANGE_BYTES` of ids (up to MOST_RANGES of them), so a key that many documents
 share is many ranges. Each range counts its ids as it is written, the ranges' sums
 are added up in order, and then every document can be cut on its own.
 
@@ -40,7 +40,9 @@ from .textkernel import chunks, mix, text_buffer
 CAPACITY = 2048
 END_ID = 1
 DIMENSIONS, BITS = 3, 10
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 8 << 20
+#: Beyond as many ranges they grow instead: half a GB of ids each at 50 TB of ids.
+MOST_RANGES = 100_000
 #: Marks that rows of one key, doc_id and content are dealt by.
 SALTS = 64
 CACHED_WORDS = 800_000
@@ -268,7 +270,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, range_bytes: int
     coded = rows.mapInArrow(lambda b: _encoded(b, path), "doc_id long, curve long, n long, content long, salt long, ids binary")
     coded = written(coded, "encoded")
     total = coded.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    ranges = max(spark.sparkContext.defaultParallelism, -(-2 * total // range_bytes))
+    ranges = max(spark.sparkContext.defaultParallelism, min(MOST_RANGES, -(-2 * total // range_bytes)))
     order = ["curve", "doc_id", "content", "salt"]
     ordered = coded.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     ordered = written(ordered.mapInArrow(_counted, ORDERED), "ordered")
