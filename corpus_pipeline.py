@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and
 returns a DataFrame that is written and read again as the next one's docs.
+
+Defined cases: no rows give no rows, and of other columns than those of documents
+none is passed on. Null texts go at the first stage, as do texts without letters
+or between languages; where no row has a language to learn from, all texts with
+letters stay. A text that lost all its lines is empty from then on and, like other
+equal texts, stays once. Of rows that are equal in doc_id and text one stays.
 """
 
 from __future__ import annotations
@@ -18,9 +24,12 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those between two languages."""
+    """Drops documents without letters and those between two languages; without any labelled row only the former."""
     docs = docs.select(*COLUMNS)
-    found = language.identify(docs, language.dictionaries(docs), COLUMNS)
+    content = language.dictionaries(docs)
+    if not content:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    found = language.identify(docs, content, COLUMNS)
     return found.filter(~F.col("rejected")).select(*COLUMNS)
 
 
