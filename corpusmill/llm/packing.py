@@ -22,6 +22,7 @@ content; no rows give no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import zlib
@@ -31,6 +32,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,8 @@ MOST_RANGES = 100_000
 #: Marks that rows of one key, doc_id and content are dealt by.
 SALTS = 64
 CACHED_WORDS = 800_000
+#: Letters between ASCII marks other than apostrophes (which begin pieces such as 's) and spaces.
+MARKED = re.compile(r"([!-&(-/:-@\[-`{-~]*)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def worker_store() -> dict:
@@ -94,34 +98,43 @@ class WordEncoder:
         self.flat, self.start, self.length = Grown(np.zeros(0, np.uint16)), Grown(np.zeros(0, np.int64)), Grown(np.zeros(0, np.int64))
         self.vector = Grown(np.zeros((0, DIMENSIONS), np.float32))
 
-    def whole(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint16)
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
+        """Takes words in that aren't known: letters in one text, letters next to marks by their pieces, others alone."""
         known = self.codes
-        closed = [w for w in words if w[-1] in b".," and w[-2:-1].isalpha()]  # a word and one mark, which are two pieces
-        plain = words.difference(closed)
-        plain.update([w[:-1] for w in closed], [w[-1:] for w in closed])
-        plain = {w for w in plain if w not in known}
-        letters = [w for w in plain if w.isalpha()]  # ASCII: one piece each
-        for w in plain.difference(letters):
-            text = w.decode("utf-8", "replace")
-            if text.isalpha() and text.lower() == text and is_normalized("NFC", text):
-                letters.append(w)
+        joined = b" ".join(words).decode("utf-8", "replace")
+        calm = joined.lower() == joined and is_normalized("NFC", joined)
+        letters, pieces, rest = [], {}, []
+        for word, text in zip(words, joined.split(" "), strict=True):
+            if not calm and not (text.lower() == text and is_normalized("NFC", text)):
+                rest.append(word)
+            elif text.isalpha():  # one piece
+                letters.append(word)
+            elif (found := MARKED.fullmatch(text)) and found[2].isalpha():  # two or three pieces
+                pieces[word] = [x.encode() for x in found.groups() if x]
+            else:
+                rest.append(word)
+        own = set(letters)
+        for x in set(chain.from_iterable(pieces.values())):
+            if x not in known and x not in own:
+                (letters if x[:1].isalpha() or x[0] >= 128 else rest).append(x)
         if letters:
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(letters).decode()], add_special_tokens=False)[0].ids, np.uint16)
             length = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
             if len(length) == len(letters):
                 self._put(letters, ids, length)
             else:
-                letters = []
-        if rest := list(plain.difference(letters)):
+                rest += letters
+        if rest := list(set(rest).difference(known)):
             each = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)]
             self._put(rest, np.array([i for ids in each for i in ids], np.uint16), np.array([len(ids) for ids in each], np.int64))
-        if closed:
-            both = np.array([[known[w[:-1]], known[w[-1:]]] for w in closed])
-            start, length = self.start.now()[both], self.length.now()[both]
-            self._put(closed, self.flat.now()[spans(start.reshape(-1), length.reshape(-1))], length.sum(axis=1))
+        if pieces:
+            code = np.fromiter((known[x] for x in chain.from_iterable(pieces.values())), np.int64)
+            many = np.fromiter(map(len, pieces.values()), np.int64, len(pieces))
+            start, length = self.start.now()[code], self.length.now()[code]
+            self._put(list(pieces), self.flat.now()[spans(start, length)], np.add.reduceat(length, np.cumsum(many) - many))
 
     def _put(self, words: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
         self.codes.update(zip(words, range(self.start.size, self.start.size + len(words)), strict=True))
@@ -136,33 +149,32 @@ class WordEncoder:
         self.length.add(length)
         self.flat.add(ids)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, ids per text, mean vector per text."""
-        split, odd = [], {}
-        for i, text in enumerate(texts):
-            if b"<|" in text:  # may hold a special token, which case folding would make or break
-                odd[i] = text
-                split.append([])
-            else:
-                split.append(text.lower().split())
-        new = {w for w in set().union(*split) if w not in self.codes}
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, ids per text, mean vector per text; a null is an empty text."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring(texts, "<|")  # may hold a special token, which case folding would make or break
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(odd, "", texts)))
+        words, text = pc.list_flatten(split), pc.list_parent_indices(split)
+        some = pc.greater(pc.binary_length(words), 0)
+        words, text = words.filter(some).dictionary_encode(), text.filter(some).to_numpy()
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), " ")[0].as_buffer().to_pybytes().split()
+        new = [w for w in names if w not in self.codes]
         if len(self.codes) + len(new) > CACHED_WORDS:
             self.clear()
-            new = set().union(*split)
+            new = names
         if new:
             self.learn(new)
-        per_text = np.array([len(w) for w in split], np.int64)
-        code = np.fromiter(map(self.codes.__getitem__, chain.from_iterable(split)), np.int64, int(per_text.sum()))
-        text = np.repeat(np.arange(len(texts)), per_text)
+        code = np.fromiter(map(self.codes.__getitem__, names), np.int64, len(names))[words.indices.to_numpy()]
         size = self.length.now()[code]
         ids = self.flat.now()[spans(self.start.now()[code], size)]
         count = np.bincount(text, size, len(texts)).astype(np.int64)
         vector = self.vector.now()
+        per_text = np.bincount(text, minlength=len(texts))
         mean = np.stack([np.bincount(text, vector[code, d], len(texts)) for d in range(DIMENSIONS)], axis=1) / np.maximum(1, per_text)[:, None]
-        if odd:
+        if pc.any(odd).as_py():
             parts = np.split(ids, np.cumsum(count)[:-1])
-            for i, raw in odd.items():
-                parts[i] = self.whole(raw)
+            for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)):
+                parts[i] = self.whole(texts[i].as_py())
                 count[i] = len(parts[i])
             ids = np.concatenate(parts)
         return ids, count, mean
@@ -210,10 +222,9 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     encoder = store[path]
     given = 0
     for batch in batches:
-        raw, at = text_buffer(batch.column("text"))
-        data = memoryview(raw)
+        _, at = text_buffer(batch.column("text"))
         for first, last in chunks(at, 1 << 20):
-            ids, count, mean = encoder.encode([bytes(data[at[i] : at[i + 1]]) for i in range(first, last)])
+            ids, count, mean = encoder.encode(batch.column("text").slice(first, last - first))
             ends = np.concatenate([[0], np.cumsum(count)])
             whole = [np.append(ids[i:j], np.uint16(END_ID)) for i, j in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_pydict(
