@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def merged_json(base: Column, patch: Column) -> Column:
     """Shallow merge of two JSON objects; the patch's keys win. Values are texts."""
@@ -45,7 +47,7 @@ def norm(v: Column) -> Column:
 
 
 def normalised(v: Column) -> Column:
-    return F.when(norm(v) > 0, F.transform(v, lambda x: x / norm(v)))
+    return let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)))  # a length in the inner function would be taken for each value
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,15 +20,13 @@ from ..functions.data import dot, keyword_relevance, normalised, relevance
 from ..functions.text import query_terms
 
 BROADCAST_BYTES = 16 << 20
+#: Similarities held at once when a batch of rows meets the stated queries.
+CELLS = 1 << 22
+#: Far above the rounding of a product of two vectors of length one.
+ROUNDING = 1e-9
 SIMILARITY = 0.25
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast if its measured size allows it, else left to a shuffle."""
-    size = df.select(F.length(F.to_json(F.struct("*"))).alias("n")).agg(F.sum("n")).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def keyword_hits(rows: DataFrame, content: str, queries: DataFrame) -> DataFrame:
     """rows with query_id for each query (query_id, query) of which a term stands in `content`; queries without terms find nothing."""
     stated = queries.select(F.col("query_id").cast("long"), query_terms(F.col("query")).alias("terms"))
@@ -68,19 +68,60 @@ def keyword_topk(rows: DataFrame, key: str, content: str, queries: DataFrame, k:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def vector_topk(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int, on: dict[str, str]) -> DataFrame:
+def _grouped(scope: list[pa.Array], vectors: pa.Array) -> dict[tuple, tuple[np.ndarray, np.ndarray]]:
+    """Places and matrix of the vectors of each scope and length."""
+    start = vectors.offsets.to_numpy()
+    flat, length = vectors.values.to_numpy(zero_copy_only=False), np.diff(start)
+    groups: dict[tuple, list[int]] = {}
+    for i, at in enumerate(zip(*[c.to_pylist() for c in scope], length.tolist(), strict=True)):
+        groups.setdefault(at, []).append(i)
+    return {at: (np.array(rows), flat[start[rows][:, None] + np.arange(at[-1])]) for at, rows in groups.items()}
+
+
+def _nearest(batches: Iterator[pa.RecordBatch], key: str, stated: pa.Table, k: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a row and a query of its scope, without those that k rows of the same batch surpass."""
+    stated = stated.combine_chunks().to_batches()[0]
+    asked = _grouped(stated.columns[2:], stated.column("_q"))
+    for batch in batches:
+        for at, (rows, vectors) in _grouped(batch.columns[2:], batch.column("_v")).items():
+            if at not in asked:
+                continue
+            ids, queries = asked[at]
+            n, step = len(rows), max(1, CELLS // len(rows))
+            for first in range(0, len(ids), step):
+                some = queries[first : first + step]
+                near = vectors @ some.T
+                least = np.partition(near, n - min(k, n), axis=0)[n - min(k, n)] - ROUNDING
+                r, q = np.nonzero(~(near < least))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        stated.column("query_id").take(pa.array(ids[first + q])),
+                        batch.column(key).take(pa.array(rows[r])),
+                        pa.array((vectors[r] * some[q]).sum(axis=1)),  # the same for equal vectors, wherever they stand
+                    ],
+                    ["query_id", key, "similarity"],
+                )
+
+
+def vector_topk(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int, on: dict[str, str], limit: int = BROADCAST_BYTES) -> DataFrame:
     """query_id, key, rank, similarity of the k nearest rows in each query's scope.
 
-    queries: query_id, query (a vector) and scope columns; `on` maps a column of rows to one of queries. The zero vector finds nothing.
+    queries: query_id, query (a vector) and scope columns; `on` maps a column of rows to one of queries. The zero vector finds nothing,
+    nor does a null scope. Queries of up to `limit` bytes go to every task, which multiplies matrices; more are joined by scope.
     """
-    scope = [F.col(f"_r_{a}") == F.col(f"_q_{b}") for a, b in on.items()]
-    left = rows.filter(F.col(vector).isNotNull()).select(F.col(key), F.col(vector).alias("_v"), *[F.col(a).alias(f"_r_{a}") for a in on])
-    right = queries.select("query_id", F.col("query").alias("_q"), *[F.col(b).alias(f"_q_{b}") for b in on.values()])
-    left = left.withColumn("_v", normalised(F.col("_v"))).filter("_v is not null")  # a vector's length once, not once a pair
-    right = right.withColumn("_q", normalised(F.col("_q"))).filter("_q is not null")
-    met = left.join(_small(right), scope).select("query_id", key, dot(F.col("_v"), F.col("_q")).alias("similarity"))
+    left = rows.select(F.col(key), normalised(F.col(vector)).alias("_v"), *[F.col(a).alias(f"_r_{a}") for a in on])  # lengths once, not once a pair
+    right = queries.select("query_id", normalised(F.col("query")).alias("_q"), *[F.col(b).alias(f"_q_{b}") for b in on.values()])
+    left, right = left.dropna(subset=[c for c in left.columns if c != key]), right.dropna(subset=[c for c in right.columns if c != "query_id"])
+    size = right.agg(F.sum(8 * F.size("_q") + 64 * (1 + len(on)))).first()[0] or 0
+    if 0 < size <= limit:
+        stated = right.toArrow()  # of the size just measured
+        kinds = f"query_id {dict(right.dtypes)['query_id']}, `{key}` {dict(left.dtypes)[key]}, similarity double"
+        met = left.mapInArrow(lambda b: _nearest(b, key, stated, k), kinds)
+    else:
+        scope = [F.col(f"_r_{a}") == F.col(f"_q_{b}") for a, b in on.items()]
+        met = left.join(right, scope).select("query_id", key, dot(F.col("_v"), F.col("_q")).alias("similarity")).filter("similarity is not null")
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    return met.filter("similarity is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def with_fallback(vector: DataFrame, keyword: DataFrame, least: float = SIMILARITY) -> DataFrame:

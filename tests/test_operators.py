@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +87,31 @@ def test_search_scope(spark):
     assert [r["id"] for r in rows.filter(search.in_scope(F.col("c"), F.col("s"), F.col("l"), "A1", "en")).orderBy("id").collect()] == [1, 2]
 
 
+def test_vector_search_both_ways(spark, monkeypatch):
+    draw = np.random.default_rng(5)
+    vectors = draw.normal(size=(300, 8))
+    vectors[40:60] = vectors[7]  # ties
+    vectors[70] = 0
+    rows = [(i, v.tolist(), f"s{i % 3}" if i % 11 else None) for i, v in enumerate(vectors)]
+    rows += [(300, None, "s1"), (301, [1.0, 2.0], "s1"), (302, [1.0, None, *[0.0] * 6], "s1"), (303, [], "s1")]
+    df = spark.createDataFrame(rows, "id long, v array<double>, s string").repartition(4)
+    queries = df.filter("id % 7 = 0").select(F.col("id").cast("int").alias("query_id"), F.col("v").alias("query"), F.col("s").alias("scope"))
+    monkeypatch.setattr(search, "CELLS", 64)  # few queries at once
+    met = search.vector_topk(df, "id", "v", queries, 4, {"s": "scope"})
+    assert dict(met.dtypes) == {"query_id": "int", "id": "bigint", "similarity": "double", "rank": "int"}
+    by_matrix = {(r["query_id"], r["rank"]): (r["id"], round(r["similarity"], 9)) for r in met.collect()}
+    by_join = {(r["query_id"], r["rank"]): (r["id"], round(r["similarity"], 9)) for r in search.vector_topk(df, "id", "v", queries, 4, {"s": "scope"}, limit=0).collect()}
+    whole = {r[0]: (np.array(r[1]), r[2]) for r in rows if r[1] and len(r[1]) in (2, 8) and None not in r[1] and any(r[1]) and r[2]}
+    told = {}
+    for q in (i for i in whole if i % 7 == 0):
+        v, scope = whole[q]
+        near = [(-float(v @ w / np.sqrt(v @ v) / np.sqrt(w @ w)), i) for i, (w, s) in whole.items() if s == scope and len(w) == len(v)]
+        near = sorted((round(x, 12), i) for x, i in near)[:4]
+        told |= {(q, n): (i, round(-x, 9)) for n, (x, i) in enumerate(near, 1)}
+    assert by_matrix == by_join == told
+    assert search.vector_topk(df, "id", "v", queries.filter("false"), 4, {"s": "scope"}).count() == 0
+
+
 def test_plans_combine_before_the_shuffle(spark, capsys):
     docs = spark.createDataFrame([(1, "onth station")], "doc_id long, text string")
     queries = spark.createDataFrame([(1, "station master")], "query_id long, query string")
