@@ -14,21 +14,22 @@ BUCKET = 10_000
 def numbered(df: DataFrame, key: str, bucket: int = BUCKET) -> DataFrame:
     """Gapless `row` from 0 in order of a unique integer key.
 
-    Buckets of keys are numbered from their counts, so no task sees more than a bucket.
+    Buckets of keys are numbered from their counts, and those are added up in blocks of 4096, so no task sees more than a bucket
+    of rows, or a row for 4096 buckets.
     """
+    upto = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     df = df.withColumn("_bucket", F.floor(F.col(key) / bucket))
-    counts = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    counts = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", F.shiftright("_bucket", 12))
+    blocks = counts.groupBy("_block").agg(F.sum("_n").alias("_n")).select("_block", upto(Window.orderBy("_block")).alias("_first"))
+    starts = counts.join(blocks, "_block").select("_bucket", (F.col("_first") + upto(Window.partitionBy("_block").orderBy("_bucket"))).alias("_start"))
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1
     return df.withColumn("_own", own).join(starts, "_bucket").withColumn("row", (F.col("_own") + F.col("_start")).cast("long")).drop("_bucket", "_own", "_start")
 
 
 def systematic(df: DataFrame, key: str, size: int = 20) -> DataFrame:
     """Every n div size-th row by key, `size` of them at most."""
-    step = F.greatest(F.lit(1), F.expr(f"_n div {size}"))
-    rows = numbered(df, key).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("_n"))))
-    return rows.filter((F.col("row") % step == 0) & (F.col("row") / step < size)).drop("_n")
+    step = max(1, df.count() // size)
+    return numbered(df, key).filter((F.col("row") % step == 0) & (F.col("row") < step * size))
 
 
 def sampled(docs: DataFrame, key: str, text: str, size: int = 20) -> DataFrame:
