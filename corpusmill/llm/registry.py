@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, language, linededup, neardup, packing, privacy, quality, sharding, warc
+from . import chat, decontaminate, importance, language, linededup, neardup, packing, privacy, quality, sharding, warc
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op5_disclosure": privacy.op5_disclosure,
         "op8_kneser_ney_quality": quality.op8_kneser_ney_quality,
         "op3_feistel_shards": sharding.op3_feistel_shards,
+        "op11_crc_ring": importance.op11_crc_ring,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_perspective_rotation": chat.ORACLE,
         "op6_levelled_line_runs": linededup.ORACLE,
         "op9_positional_index": decontaminate.ORACLE,
+        "op11_crc_ring": importance.ORACLE,
     }
