@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, importance, language, linededup, neardup, packing, privacy, quality, sharding, warc
+from . import chat, decontaminate, importance, language, linededup, neardup, packing, privacy, quality, sharding, spelling, warc
 
 
 def queries() -> dict:
@@ -21,6 +21,7 @@ def queries() -> dict:
         "op8_kneser_ney_quality": quality.op8_kneser_ney_quality,
         "op3_feistel_shards": sharding.op3_feistel_shards,
         "op11_crc_ring": importance.op11_crc_ring,
+        "op12_errata_trie": spelling.op12_errata_trie,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_levelled_line_runs": linededup.ORACLE,
         "op9_positional_index": decontaminate.ORACLE,
         "op11_crc_ring": importance.ORACLE,
+        "op12_errata_trie": spelling.ORACLE,
     }
