@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, importance, language, linededup, neardup, packing, privacy, quality, sharding, spelling, warc
+from . import chat, decontaminate, importance, language, linededup, neardup, packing, privacy, quality, sharding, spelling, subword, warc
 
 
 def queries() -> dict:
@@ -22,6 +22,7 @@ def queries() -> dict:
         "op3_feistel_shards": sharding.op3_feistel_shards,
         "op11_crc_ring": importance.op11_crc_ring,
         "op12_errata_trie": spelling.op12_errata_trie,
+        "op13_subword_quality": subword.op13_subword_quality,
     }
 
 
