@@ -29,71 +29,121 @@ DOTS = r"^[.\s…·‧]+$"
 MARKED = r"^#{1,6}\s+(.*\S)\s*$"
 SENTENCE_END = r"(?<=[.!?…])\s+"
 WRAPPED_CHARS = 48
+#: Code points that are kept of a paragraph under way: more than any title has.
+TAIL = 200
 
 
 def _named(id_: Column, title: Column) -> Column:
     """The heading line of an id and a title that stood on a line of its own; null if it isn't one."""
-    line = F.concat(F.regexp_replace(id_, r"^\.+|\.+$", ""), F.lit(" "), title)
-    return let(line, lambda whole: F.when(title_like(title) & heading(whole).isNotNull(), whole))
+    line = F.concat(id_, F.lit(" "), title)
+    return let(line, lambda whole: F.when((title != "") & title_like(title) & heading(whole).isNotNull(), whole))
+
+
+def _undotted(id_: Column) -> Column:
+    return F.regexp_replace(id_, r"^\.+|\.+$", "")
+
+
+def _line(raw: Column) -> Column:
+    """struct(kind, line) of a raw line."""
+
+    def kind(line: Column) -> Column:
+        marked = F.regexp_extract(line, MARKED, 1)
+        mark = let(marked, lambda m: F.when((m != "") & heading(m).isNull(), m))
+        told = F.when(heading(line).isNotNull(), "head").when(line.rlike(BARE_ID), "id").when(line.rlike(JUNK_LINE), "junk").otherwise("text")
+        as_mark = lambda m: F.when(m.isNotNull(), F.struct(F.lit("mark").alias("kind"), m.alias("line"))).otherwise(F.struct(told.alias("kind"), line.alias("line")))
+        return F.when(line == "", F.struct(F.lit("gap").alias("kind"), line.alias("line"))).otherwise(let(mark, as_mark))
+
+    return let(strip(raw), lambda s: let(F.when(s.rlike(DOTS), "").otherwise(strip(F.regexp_replace(s, r"^\.+", ""))), kind))
+
+
+def _state(out, tail="", hebrew=False, bare=False, mark="") -> Column:
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(out.alias("out"), *[as_column(v).alias(n) for n, v in (("tail", tail), ("hebrew", hebrew), ("bare", bare), ("mark", mark))])
+
+
+def _with(out: Column, s: Column, fresh: bool = True, drop: Column | None = None) -> Column:
+    """Another piece: of a logical line of its own, or of the last one, of whose end `drop` code points go."""
+    return F.concat(out, F.array(F.struct(F.lit(fresh).alias("fresh"), s.alias("s"), (F.lit(0) if drop is None else drop).alias("drop"))))
+
+
+def _next(a: Column, x: Column) -> Column:
+    """What is known after one more line. An id that waits for its title is `bare` and not told yet; of a paragraph under way the end is kept."""
+    line, is_open = x["line"], (a["tail"] != "") & ~a["bare"]
+    told = F.when(a["bare"], _with(a["out"], a["tail"])).otherwise(a["out"])
+
+    def identified(t: Column) -> Column:
+        """t: the headings that a mark, the last sentence and the whole of the open paragraph would make of the id."""
+        found = F.coalesce(t["mark"], t["last"], t["whole"])
+        cut = F.when(t["mark"].isNull() & found.isNotNull(), F.length(t["sentence"]))
+        cut = F.when(t["mark"].isNull() & t["last"].isNull(), F.when(found.isNotNull(), F.length(a["tail"]))).otherwise(cut)
+        left = F.when(cut.isNotNull(), _with(told, F.lit(""), False, cut)).otherwise(told)
+        rest = F.when(t["mark"].isNull(), a["mark"]).otherwise("")
+        return F.when(found.isNotNull(), _state(_with(left, found), mark=rest)).otherwise(_state(told, _undotted(line), bare=True, mark=rest))
+
+    def of_id() -> Column:
+        id_, takes = _undotted(line), is_open & a["hebrew"]
+        sentence = F.when(takes, F.element_at(F.split(a["tail"], SENTENCE_END), -1)).otherwise("")
+        options = F.struct(sentence.alias("sentence"), _named(id_, a["mark"]).alias("mark"), let(sentence, lambda t: _named(id_, t)).alias("last"), F.when(takes & (F.length(a["tail"]) < TAIL), _named(id_, a["tail"])).alias("whole"))
+        return let(options, identified)
+
+    def of_text() -> Column:
+        begins = _state(_with(a["out"], line), F.right(line, F.lit(TAIL)), line.rlike(f"[{HEBREW}]"), mark=a["mark"])
+        small = line.rlike(r"^\p{Ll}")
+        goes_on = lambda piece: _state(_with(a["out"], piece, False), F.right(F.concat(a["tail"], piece), F.lit(TAIL)), a["hebrew"] | line.rlike(f"[{HEBREW}]"), mark=a["mark"])
+        wrapped = F.when(small & a["tail"].rlike(r"(?:^|\s)\p{L}{1,4}$"), goes_on(line)).when(small | (F.length(line) < WRAPPED_CHARS), goes_on(F.concat(F.lit(" "), line)))
+        return F.when(is_open, F.coalesce(wrapped, begins)).otherwise(begins)
+
+    def after_id(whole: Column) -> Column:
+        placeholder = F.concat(a["tail"], F.lit(" Clause "), a["tail"])
+        body = _state(_with(_with(a["out"], placeholder), line), F.right(line, F.lit(TAIL)), line.rlike(f"[{HEBREW}]"), mark=a["mark"])
+        return F.when(whole.isNotNull(), _state(_with(a["out"], whole), mark=a["mark"])).otherwise(body)
+
+    kind = x["kind"]
+    return (
+        F.when(kind == "mark", _state(a["out"], a["tail"], a["hebrew"], a["bare"], line))
+        .when(kind == "gap", F.when(a["bare"], a).otherwise(_state(a["out"], mark=a["mark"])))
+        .when(kind == "head", _state(_with(told, line)))
+        .when(kind == "id", of_id())
+        .when(a["bare"], let(_named(a["tail"], line), after_id))
+        .when(kind == "junk", _state(a["out"], mark=a["mark"]))
+        .otherwise(of_text())
+    )
+
+
+def _cut_at(items: Column, opens) -> Column:
+    """The runs of an array that begin at items which `opens`; the first run holds what comes before them, and may be empty."""
+    at = F.filter(F.transform(items, lambda x, i: F.when(opens(x), i)), lambda i: i.isNotNull())
+    cuts = F.concat(F.array(F.lit(0)), at, F.array(F.size(items)))
+    return let(cuts, lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.slice(items, F.get(c, i) + 1, F.get(c, i + 1) - F.get(c, i))))
+
+
+def _logical(lines: Column) -> Column:
+    """The logical lines of a run of lines of which the first alone may be a heading."""
+    none = F.array().cast("array<struct<fresh:boolean,s:string,drop:int>>")
+    pieces = F.aggregate(lines, _state(none), _next, lambda a: F.when(a["bare"], _with(a["out"], a["tail"])).otherwise(a["out"]))
+
+    def joined(unit: Column) -> Column:
+        whole = F.array_join(F.transform(unit, lambda p: p["s"]), "")
+        cut = F.element_at(unit, -1)["drop"]
+        left = F.regexp_replace(strip(F.substring(whole, F.lit(1), F.length(whole) - cut)), SENTENCE_END, " ")
+        return F.when(cut > 0, left).otherwise(whole)
+
+    return let(pieces, lambda p: F.transform(F.filter(_cut_at(p, lambda x: x["fresh"]), lambda u: F.size(u) > 0), joined))
 
 
 def reflowed(docs: DataFrame, key: str, text: Column) -> DataFrame:
     """key, line_no, line: logical lines of extracted text.
 
-    An id on a line of its own takes its title from a marked heading before it, from the Hebrew line before it (where
-    titles come first), or from the next line, and a placeholder otherwise. Wrapped lines are joined; page chrome is dropped.
+    An id on a line of its own takes its title from a marked heading before it, from the Hebrew paragraph before it (where
+    titles come first; its last sentence or all of it), or from the next line; where that is none it is told with a placeholder, and what follows
+    is its body. Wrapped lines are joined by what was joined so far; page chrome ends a paragraph and is dropped.
+
+    One pass over a text's lines that carries the open paragraph's end, a waiting id and the last mark, restarted at every
+    heading, since nothing is carried past one. No shuffle; a text's lines are handled by the row that holds it.
     """
-    rows = docs.select(key, F.posexplode(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1)).alias("line_no", "line"))
-    rows = rows.withColumn("line", strip(F.col("line")))
-    rows = rows.withColumn("line", F.when(F.col("line").rlike(DOTS), "").otherwise(strip(F.regexp_replace("line", r"^\.+", ""))))
-    own = Window.partitionBy(key).orderBy("line_no")
-    rows = rows.withColumn("gap", F.coalesce(F.lag("line").over(own) == "", F.lit(True))).filter("line <> ''")
-    marked = F.nullif(F.regexp_extract("line", MARKED, 1), F.lit(""))
-    kind = (
-        F.when(heading(F.col("line")).isNotNull(), "head")
-        .when(marked.isNotNull(), "mark")
-        .when(F.col("line").rlike(BARE_ID), "id")
-        .when(F.col("line").rlike(JUNK_LINE), "junk")
-        .otherwise("text")
-    )
-    rows = rows.withColumn("kind", kind)
-    opened = F.coalesce(F.sum(F.col("kind").isin("head", "id").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("since", opened)
-    last_mark = F.last(F.when(F.col("kind") == "mark", marked), ignorenulls=True).over(Window.partitionBy(key, "since").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("mark", last_mark).filter("kind <> 'mark'")
-
-    # a stretch where ids and single lines alternate: what it begins with tells whether titles come first
-    rows = rows.withColumn("before", F.lag(F.struct("kind", "line")).over(own)).withColumn("after", F.lead(F.struct("kind", "line")).over(own))
-    both = F.col("kind").isin("id", "text") & F.col("before.kind").isin("id", "text") & (F.col("kind") != F.col("before.kind"))
-    rows = rows.withColumn("stretch", F.sum((~F.coalesce(both, F.lit(False))).cast("int")).over(own))
-    rows = rows.withColumn("leads", F.first("kind").over(Window.partitionBy(key, "stretch").orderBy("line_no")))
-    is_id = F.col("kind") == "id"
-    tail = F.element_at(F.split(F.col("before.line"), SENTENCE_END), -1)
-    first = is_id & (F.col("leads") == "text") & (F.col("before.kind") == "text") & F.col("before.line").rlike(f"[{HEBREW}]")
-    rows = rows.withColumn("marked", F.when(is_id, _named(F.col("line"), F.col("mark"))))
-    rows = rows.withColumn("from_before", F.when(first & F.col("marked").isNull(), _named(F.col("line"), tail)))
-    claimed = F.coalesce(F.lead(F.col("from_before").isNotNull(), 2).over(own), F.lit(False))
-    free = is_id & F.col("marked").isNull() & F.col("from_before").isNull() & (F.col("after.kind") == "text") & ~claimed
-    rows = rows.withColumn("from_after", F.when(free, _named(F.col("line"), F.col("after.line"))))
-    taken = F.coalesce(F.lag(F.col("from_after").isNotNull()).over(own), F.lit(False))
-    gives = F.coalesce(F.lead(F.col("from_before").isNotNull()).over(own), F.lit(False))
-    rows = rows.withColumn("taken", taken).withColumn("gives", gives).filter("not taken")
-    sentences = F.split("line", SENTENCE_END)
-    rest = F.array_join(F.slice(sentences, F.lit(1), F.size(sentences) - 1), " ")
-    bare = F.regexp_replace("line", r"^\.+|\.+$", "")
-    placeholder = F.when(F.col("after.kind") == "text", F.concat(bare, F.lit(" Clause "), bare)).otherwise(bare)
-    line = F.when(is_id, F.coalesce("marked", "from_before", "from_after", placeholder)).when(F.col("gives"), rest).otherwise(F.col("line"))
-    rows = rows.withColumn("line", line).filter("line <> ''")
-
-    before = F.lag(F.struct("kind", "line")).over(own)
-    rows = rows.withColumn("before", before)
-    small = F.col("line").rlike(r"^\p{Ll}")
-    wraps = (F.col("kind") == "text") & (F.col("before.kind") == "text") & ~F.col("gap") & (small | (F.length("line") < WRAPPED_CHARS))
-    split_word = small & F.col("before.line").rlike(r"(?:^|\s)\p{L}{1,4}$")
-    said = F.when(F.coalesce(wraps, F.lit(False)), F.concat(F.when(split_word, "").otherwise(" "), F.col("line"))).otherwise(F.col("line"))
-    rows = rows.withColumn("said", said).withColumn("unit", F.sum((~F.coalesce(wraps, F.lit(False))).cast("int")).over(own)).filter("kind <> 'junk'")
-    units = rows.groupBy(key, "unit").agg(F.min("line_no").alias("line_no"), F.array_sort(F.collect_list(F.struct("line_no", "said"))).alias("p"))
-    return units.select(key, "line_no", F.array_join(F.transform("p", lambda x: x["said"]), "").alias("line"))
+    lines = F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1), _line)
+    runs = docs.select(key, lines.alias("_lines")).select(key, F.flatten(F.transform(_cut_at(F.col("_lines"), lambda x: x["kind"] == "head"), _logical)).alias("_said"))
+    return runs.select(key, F.posexplode(F.filter("_said", lambda s: s != "")).alias("line_no", "line"))
 
 
 def promoted(sections: DataFrame, scope: list[str]) -> DataFrame:
