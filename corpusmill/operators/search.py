@@ -136,6 +136,16 @@ def with_fallback(vector: DataFrame, keyword: DataFrame, least: float = SIMILARI
     )
 
 
+def auto_mapped(vector: DataFrame, keyword: DataFrame, known: DataFrame, severity: str = "minor") -> DataFrame:
+    """finding, clause, branch, relevance_pct, severity, inserted: a proposal for each finding, by its vector hit or else its keyword hit.
+
+    vector and keyword as for with_fallback, one hit a query; known (finding): findings that have a mapping, which stays.
+    """
+    found = with_fallback(vector, keyword).withColumnsRenamed({"query_id": "finding", "hit": "clause"})
+    mapped = known.select("finding").distinct().withColumn("_known", F.lit(True))
+    return found.join(mapped, "finding", "left").withColumn("severity", F.lit(severity)).withColumn("inserted", F.col("_known").isNull()).drop("_known")
+
+
 def in_scope(collection: Column, standard: Column, language: Column, name: str, lang: str) -> Column:
     """Rows of a standard's own collection or the shared older one, of that standard and language."""
     own = f"iso-standards-{name}"

@@ -9,7 +9,9 @@ from ..functions import data, ids
 from ..functions import text as tx
 from ..functions.models import embedder
 from ..operators import chunks, quality, search, sections
+from ..operators.vector_index import VectorIndex
 from ..sources.tables import table
+from ..storage import scratch, scratch_path
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -126,6 +128,52 @@ def search_with_fallback(spark, folder):
     return search.with_fallback(near, asked.join(best, "item_id").select("query_id", "hit"))
 
 
+INDEXED = """exact AS (
+  SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS r, s AS similarity
+  FROM (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q))"""
+
+
+def _indexed(spark, folder, probes: int | None) -> DataFrame:
+    """A stored index of all vectors, and every fiftieth asked. The index is removed when its answers are written."""
+    rows = table(spark, folder, "embeddings")
+    queries = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    with scratch(spark, "index") as path:
+        index = VectorIndex.build(rows, "vec_id", "embedding", path, lists=20)
+        if probes == 0:
+            some = rows.filter("vec_id % 50 = 25").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+            probes = index.probes_for("vec_id", "embedding", some, 10)
+        out = scratch_path(spark, "answers")
+        index.search("vec_id", "embedding", queries, 10, probes=probes).write.parquet(out)
+    return spark.read.parquet(out).select("query_id", "vec_id", "rank", F.round("similarity", 5).alias("similarity"))
+
+
+@query(f"WITH {INDEXED} SELECT query_id, r::INT AS rank, round(similarity, 5) AS similarity FROM exact WHERE r <= 10")
+def vector_index_exact(spark, folder):
+    """All lists of the index probed: the exact answer, by similarity."""
+    return _indexed(spark, folder, None).drop("vec_id")
+
+
+@query()
+def vector_index_topk(spark, folder):
+    """The nearest lists alone, as many as other queries needed for 95 % of their exact hits."""
+    return _indexed(spark, folder, 0)
+
+
+@query(f"""WITH {NEAR.format(shift=1, k=1)}, {TERMS}, qs AS (SELECT item_id, list(w) AS ws FROM terms GROUP BY item_id),
+h AS (SELECT item_id, doc_id, length(text) AS n FROM qs JOIN documents ON len(list_filter(ws, lambda x: contains(lower(text), x))) > 0),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, doc_id) AS r FROM h) WHERE r = 1),
+v AS (SELECT query_id AS finding, 'vector' AS branch, vec_id AS clause, least(95, greatest(50, round_even(similarity * 100, 0)::INT)) AS relevance_pct FROM near WHERE similarity >= 0.25),
+a AS (SELECT * FROM v UNION ALL SELECT q.query_id, 'keyword', b.doc_id, 58 FROM q JOIN b ON q.query_id % 40 = b.item_id WHERE q.query_id NOT IN (SELECT finding FROM v))
+SELECT *, 'minor' AS severity, finding % 100 <> 0 AS inserted FROM a""")
+def auto_map_vectors(spark, folder):
+    """Findings mapped to sections by vectors first and by keywords where those find nothing; what is mapped already is proposed but not inserted."""
+    near = _near(spark, folder, 1, 1).withColumnRenamed("vec_id", "hit")
+    best = search.keyword_best(_docs(spark, folder), "doc_id", "text", _items(spark, folder)).select(F.col("query_id").alias("item_id"), F.col("doc_id").alias("hit"))
+    asked = table(spark, folder, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), (F.col("vec_id") % 40).alias("item_id"))
+    known = asked.filter("query_id % 100 = 0").select(F.col("query_id").alias("finding"))
+    return search.auto_mapped(near, asked.join(best, "item_id").select("query_id", "hit"), known)
+
+
 @query(f"""
 WITH {TERMS}, q AS (SELECT item_id, list(w) AS ws FROM terms GROUP BY item_id),
 h AS (SELECT item_id, doc_id, length(text) AS n FROM q JOIN documents ON lang = 'en' AND len(list_filter(ws, lambda x: contains(lower(text), x))) > 0)

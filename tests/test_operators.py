@@ -194,16 +194,3 @@ def test_counter_stream(spark, tmp_path):
     found = {(r["start"], r["event_type"]): r["n"] for r in spark.table("windows").collect()}
     own = {(r["start"], r["event_type"]): r["n"] for r in rows.groupBy(F.window("ts", "1 hour")["start"].alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert found and all(own[k] == n for k, n in found.items()) and max(k[0] for k in found) < late
-
-
-def test_ttl_jobs(spark, tmp_path):
-    kind = "job_id long, ts timestamp, status string"
-    stream = spark.readStream.schema(kind).parquet(str(tmp_path))
-    q = None
-    for rows in ([(1, "2024-01-01 00:00:00", "queued"), (2, "2024-01-01 00:00:00", "queued")], [(1, "2024-01-01 01:00:00", "ready")], [(3, "2024-01-01 06:00:00", "queued")], [(3, "2024-01-01 06:00:01", "ready")]):
-        spark.createDataFrame(rows, "job_id long, ts string, status string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path))
-        q = q or jobs.ttl_jobs(stream).writeStream.format("memory").queryName("jobs").outputMode("append").start()
-        q.processAllAvailable()
-    q.stop()
-    found = [(r["job_id"], r["status"], r["expired"]) for r in spark.table("jobs").collect()]
-    assert {(1, "ready", True), (2, "queued", True)} <= set(found) and (3, "ready", False) in found
