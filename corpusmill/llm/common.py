@@ -2,43 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch_path
+
 #: A side is broadcast only when its measured bytes stay under this.
 BROADCAST_BYTES = 16 << 20
 #: Ways that the rows of a key are dealt in a lookup that is too large to broadcast.
 SALTS = 16
 
-_unset: dict[str, str] = {}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, one in the warehouse; a machine's own folder only in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        app = spark.sparkContext.applicationId
-        if app not in _unset:
-            if spark.sparkContext.master.startswith("local"):
-                _unset[app] = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-            else:
-                _unset[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + f"/_scratch-{app}"
-            spark.sparkContext.setCheckpointDir(_unset[app])
-        folder = _unset[app]
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/corpusmill/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and fixes the rows."""
     path = scratch_path(df.sparkSession, name)

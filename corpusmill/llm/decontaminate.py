@@ -64,7 +64,7 @@ def anchors(docs: DataFrame, windows: DataFrame, count: int = ANCHORS) -> DataFr
     """window, size, off, term, rank, n: the rarest terms of windows all of whose terms occur."""
     terms = windows.select("window", F.size("words").alias("size"), F.posexplode("words").alias("off", "term"))
     vocabulary = written(terms.select("term").distinct(), "vocabulary")
-    seen = tokens(docs).select("term").join(small(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    seen = lookup(tokens(docs), vocabulary, ["term"]).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     ranked = terms.join(written(seen, "frequencies"), "term", "left")
     own = Window.partitionBy("window")
     ranked = ranked.withColumn("absent", F.max(F.col("df").isNull().cast("int")).over(own)).filter("absent = 0")
@@ -132,8 +132,8 @@ class Index:
         return near.filter(F.abs(F.col("gap") - F.col("want")) <= slop).select("_id", "_text", "pos", "items")
 
 
-def contamination(docs: DataFrame, items: DataFrame, keep: list[str], size: int = WINDOW, slop: int = SLOP, shared: int = SHARED) -> DataFrame:
-    """Columns `keep` of docs, n_words, n_hit, n_items, items and contaminated; n_near and near_items of proximity matches, exact ones among them."""
+def contamination(docs: DataFrame, items: DataFrame, keep: list[str], size: int = WINDOW, slop: int | None = SLOP, shared: int = SHARED) -> DataFrame:
+    """Columns `keep` of docs, n_words, n_hit, n_items, items and contaminated; n_near and near_items of proximity matches, exact ones among them (slop None: without these)."""
     index = Index(docs, items, size, shared)
     found = written(index.occurrences(), "occurrences")
     covered = F.aggregate(
@@ -147,14 +147,17 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], size: int
     )
     named = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
     hits = found.groupBy("_id", "_text").agg(F.collect_set(F.struct("start", "end")).alias("places"), named("items").alias("items"))
-    near = written(index.proximity(slop), "near").groupBy("_id", "_text").agg(F.count_distinct("pos").alias("n_near"), named("items").alias("near_items"))
-    hits = near.join(hits.select("_id", "_text", covered.alias("n_hit"), "items"), ["_id", "_text"], "full")
+    hits = hits.select("_id", "_text", covered.alias("n_hit"), "items")
+    if slop is not None:
+        near = written(index.proximity(slop), "near").groupBy("_id", "_text").agg(F.count_distinct("pos").alias("n_near"), named("items").alias("near_items"))
+        hits = near.join(hits, ["_id", "_text"], "full")
     hits = written(hits, "hits")
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], *text_key(), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     rows = rows.join(small(hits), ["_id", "_text"], "left")
-    for c in ("n_hit", "n_near"):
+    more = ["n_near", "near_items"] if slop is not None else []
+    for c in {"n_hit", "n_near"} & {"n_hit", *more}:
         rows = rows.withColumn(c, F.coalesce(c, F.lit(0)))
-    for c in ("items", "near_items"):
+    for c in {"items", "near_items"} & {"items", *more}:
         rows = rows.withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
     return rows.select(
         *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
@@ -163,8 +166,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: list[str], size: int
         F.size("items").cast("long").alias("n_items"),
         "items",
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
-        "n_near",
-        "near_items",
+        *more,
     )
 
 

@@ -8,7 +8,8 @@ row at most (law `rows`).
 
 Defined cases: a null text counts 0 bytes and has the checksum of no bytes; null
 and repeated doc_ids are numbered like others, ties ordered by checksum and size
-(rows equal in all three are interchangeable); no rows give no rows; only doc_id
+(rows equal in all three are interchangeable: they are counted, numbered as one
+and dealt out again in blocks); no rows give no rows; only doc_id
 and text are read, so extra columns don't matter.
 """
 
@@ -24,6 +25,8 @@ from .common import small, table, written
 SEED = 20240229
 ROUNDS = 4
 MASK = 0xFFFFFFFF
+#: Rows of one key that are numbered together.
+BLOCK_ROWS = 100_000
 
 
 def halves(n: int) -> tuple[int, int]:
@@ -82,32 +85,42 @@ def permuted(number: Column, n: int, walks: int, seed: int = SEED) -> Column:
     return F.aggregate(again, place, lambda p, _: F.when(p < n, p).otherwise(feistel(p, n, seed)))
 
 
-def row_numbers(df: DataFrame, order: list[Column], bucket: Column, buckets: int, out: str) -> tuple[DataFrame, int]:
-    """Gapless numbers by (bucket, order), and the row count.
+def numbered(keys: DataFrame, order: list[Column], bucket: Column) -> tuple[DataFrame, int]:
+    """The first of the gapless numbers of each key's `n` rows, by (bucket, order), and the sum of n.
 
-    Buckets are numbered from counts of one row each, so no task sees more than a bucket.
+    Buckets are numbered from their sums, so no task sees more than a bucket of keys.
     """
-    df = df.withColumn("_bucket", bucket)
-    counts = written(df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    keys = keys.withColumn("_bucket", bucket)
+    counts = written(keys.groupBy("_bucket").agg(F.sum("n").alias("_n")), "counts")
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = written(counts.select("_bucket", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")), "starts")
-    n = starts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)).cast("long") - 1
-    df = df.withColumn("_own", own).join(small(starts.drop("_n")), "_bucket")
-    return df.withColumn(out, F.col("_own") + F.col("_start")).drop("_own", "_start", "_bucket"), n
+    total = starts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys = keys.withColumn("_own", own).join(small(starts.drop("_n")), "_bucket")
+    return keys.withColumn("first", F.col("_own") + F.col("_start")).drop("_own", "_start", "_bucket"), total
 
 
-def shard(docs: DataFrame, shards: int = 40, seed: int = SEED, bucket_rows: int = 100_000) -> DataFrame:
+def unfolded(keys: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+    """`row`: a row for each of a key's numbers first .. first + n - 1. Keys of more than a block of rows are dealt by block before they become rows."""
+    many = keys.filter(F.col("n") > block)
+    parts = many.withColumn("_at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(block).cast("long"))))
+    parts = parts.withColumn("first", F.col("first") + F.col("_at")).withColumn("n", F.least(F.lit(block).cast("long"), F.col("n") - F.col("_at"))).drop("_at")
+    each = keys.filter(F.col("n") <= block).unionByName(parts.repartition("first"))
+    return each.withColumn("row", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))).drop("first", "n")
+
+
+def shard(docs: DataFrame, shards: int = 40, seed: int = SEED, bucket_rows: int = 100_000, block: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, row, place, shard, slot of each row."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
     )
-    buckets = max(1024, docs.count() // bucket_rows)
+    keys = written(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n")), "keys")  # equal rows are interchangeable
+    buckets = max(1024, keys.count() // bucket_rows)
     bucket = F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets))
-    rows, n = row_numbers(rows, [F.col(c).asc_nulls_first() for c in ("doc_id", "text_crc32", "size")], bucket, buckets, "row")
-    placed = rows.withColumn("place", permuted(F.col("row"), max(1, n), walk_length(docs.sparkSession, n, seed) if n else 0, seed))
+    keys, n = numbered(keys, [F.col(c).asc_nulls_first() for c in ("doc_id", "text_crc32", "size")], bucket)
+    placed = unfolded(keys, block).withColumn("place", permuted(F.col("row"), max(1, n), walk_length(docs.sparkSession, n, seed) if n else 0, seed))
     return placed.withColumn("shard", (F.col("place") % shards).cast("int")).withColumn("slot", F.expr(f"place div {shards}"))
 
 

@@ -3,8 +3,9 @@
 Writing: one WARC/1.0 record a row; of records with equal payloads of at least
 `least_bytes` bytes that of the largest page_id is a response, the others are
 revisits of it without a body. Archives are gzipped files written by Spark's own
-committer; records a file follow from their mean size, so that an archive has
-about `ARCHIVE_BYTES`. An offset counts the bytes of the unpacked archive.
+committer, by class of payload size: those of up to 64 KB so many a file as their
+mean size asks for, larger ones so many as their largest does, so that an archive has
+about `ARCHIVE_BYTES` and one of large records no more, but for single records of that size. An offset counts the bytes of the unpacked archive.
 
 Reading: every archive is unpacked as a stream and parsed record by record by
 Content-Length, payload digests are computed from the bytes read, and the
@@ -41,6 +42,8 @@ from .common import lookup, scratch_path, table, written
 RECORDS_A_FILE = 5000
 ARCHIVE_BYTES = 64 << 20
 HEADER_BYTES = 400
+#: Payload bytes up to which records share archives, and how many records of the class an archive has (None: by their mean size).
+CLASSES = ((64 << 10, None), (1 << 20, 64), (16 << 20, 4), (1 << 62, 1))
 RANGE_CAPTURES = 100_000
 HELD_ROWS = 1000
 LEAST_BYTES = 0
@@ -57,18 +60,20 @@ def base32_sha1(data: Column) -> Column:
     return F.translate(F.concat(*parts), HEX32, BASE32)
 
 
-def typed(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[DataFrame, int]:
-    """page_id, url, html, bytes, digest and refers_to (null: a response); and the records that make an archive."""
+def typed(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """page_id, url, html, bytes, digest and refers_to (null: a response); and of each class that has records its bytes (over, up to) and records an archive."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
     rows = rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
     told = written(rows.select("page_id", "bytes", "digest"), "digests")
-    mean = told.agg(F.coalesce(F.avg("bytes"), F.lit(0.0))).first()[0] + HEADER_BYTES
+    kind = F.coalesce(*[F.when(F.col("bytes") <= most, i) for i, (most, _) in enumerate(CLASSES)])
+    means = {r["kind"]: r["mean"] + HEADER_BYTES for r in told.groupBy(kind.alias("kind")).agg(F.avg("bytes").alias("mean")).collect()}  # a row a class
+    classes = [(CLASSES[i - 1][0] if i else -1, CLASSES[i][0], CLASSES[i][1] or int(max(1, min(RECORDS_A_FILE, ARCHIVE_BYTES // mean)))) for i, mean in sorted(means.items())]
     first = told.filter(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n"))
     first = written(first.filter("n > 1").drop("n"), "repeated")
     rows = lookup(rows, first, ["digest", "bytes"], "left")
     rows = rows.withColumn("refers_to", F.when(F.coalesce(F.col("page_id") != F.col("largest"), F.col("largest").isNotNull()), F.col("largest"))).drop("largest")
-    return rows, int(max(1, min(RECORDS_A_FILE, ARCHIVE_BYTES // mean)))
+    return rows, classes
 
 
 def utc(seconds: Column) -> Column:
@@ -100,7 +105,7 @@ def write_archives(rows: DataFrame, folder: str, records_a_file: int) -> None:
         body,
         F.lit("\r\n\r"),  # the text writer adds the last line feed
     )
-    rows.select(record.alias("value")).write.option("maxRecordsPerFile", records_a_file).option("compression", "gzip").text(folder)
+    rows.select(record.alias("value")).write.option("maxRecordsPerFile", records_a_file).option("compression", "gzip").mode("append").text(folder)
 
 
 def url_key(url: str | None) -> str:
@@ -241,7 +246,10 @@ def merge_runs(captures: DataFrame, range_captures: int = RANGE_CAPTURES) -> Dat
 
 def op7_warc_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "archives")
-    rows, records_a_file = typed(table(spark, sf_dir, "pages"))
-    write_archives(rows, folder, records_a_file)
+    rows, classes = typed(table(spark, sf_dir, "pages"))
+    for over, most, records_a_file in classes:
+        write_archives(rows.filter((F.col("bytes") > over) & (F.col("bytes") <= most)) if len(classes) > 1 else rows, folder, records_a_file)
+    if not classes:
+        write_archives(rows, folder, 1)
     merged = merge_runs(written(read_archives(spark, folder), "runs"))
     return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")

@@ -278,3 +278,39 @@ def test_sql(spark, query, sql):
     want = con.sql(f"SELECT {', '.join(found.columns)} FROM ({sql})").fetchall()
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(tuple, found.collect()), key=key) == sorted(want, key=key)
+
+
+def test_a_hot_key_is_dealt_in_blocks(spark):
+    from corpusmill.llm import sharding
+
+    rows = [(None, "the same")] * 700 + [(i, f"text {i}") for i in range(300)] + [(5, "text 5")] * 2
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=7, block=64).collect()
+    assert sorted(r["row"] for r in found) == sorted(r["place"] for r in found) == list(range(len(rows)))
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == Counter((i, len(t) + 16, zlib.crc32(t.encode())) for i, t in rows)
+    assert max(Counter(r["shard"] for r in found).values()) - min(Counter(r["shard"] for r in found).values()) <= 1
+    assert all((r["shard"], r["slot"]) == (r["place"] % 7, r["place"] // 7) for r in found)
+
+
+def test_archives_of_large_records(spark, tmp_path, tmp_path_factory):
+    from corpusmill.llm import warc
+
+    folder = str(tmp_path_factory.mktemp("sf"))
+    rows = [(i, f"http://a.org/{i}", str(i) * n) for i, n in enumerate([10] * 40 + [50_000] * 70 + [300_000] * 6 + [None, 0])  if n is not None] + [(900, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    pages.write.parquet(f"{folder}/pages.parquet")
+    typed, classes = warc.typed(pages)
+    assert [c[:2] for c in classes] == [(-1, 64 << 10), (64 << 10, 1 << 20)] and [c[2] for c in classes][1] == 64
+    found = {r["page_id"]: r["payload_bytes"] for r in warc.op7_warc_history(spark, folder).collect()}
+    assert found == {i: len((h or "").encode()) for i, _, h in rows}
+
+
+def test_contamination_without_proximity(spark):
+    from corpusmill.llm import decontaminate
+
+    item = " ".join(f"w{i}" for i in range(15))
+    docs = spark.createDataFrame([(1, f"x {item} y"), (2, "clean"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    plain = decontaminate.contamination(docs, items, ["doc_id"], slop=None)
+    whole_ = decontaminate.contamination(docs, items, ["doc_id"])
+    assert plain.columns == [c for c in whole_.columns if "near" not in c]
+    assert sorted(map(tuple, plain.collect())) == sorted(tuple(r)[:6] for r in whole_.collect())
