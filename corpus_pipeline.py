@@ -47,7 +47,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that a benchmark's passages make up a twentieth of."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), COLUMNS)
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), COLUMNS, slop=None)
     return found.filter(~F.col("contaminated")).select(*COLUMNS)
 
 
