@@ -41,7 +41,13 @@ def sort_key(clause: Column) -> Column:
 
 def natural_key(clause: Column) -> Column:
     """All numeric parts as an array, which orders ids of any depth."""
-    return F.transform(F.filter(F.split(clause, r"\."), lambda p: p.rlike(r"^\d+$")), lambda p: p.cast("long"))
+    return F.transform(F.filter(F.split(clause, r"\."), lambda p: p.rlike(r"^\d+$")), lambda p: p.try_cast("decimal(38,0)"))
+
+
+def sortable(clause: Column) -> Column:
+    """A string that sorts as the numeric parts do, however many and however large: each part's length, in three digits, before it."""
+    parts = F.transform(F.filter(F.split(clause, r"\."), lambda p: p.rlike(r"^\d+$")), lambda p: F.regexp_replace(p, r"^0+(?=\d)", ""))
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.lpad(F.length(p).cast("string"), 3, "0"), p)), "")
 
 
 def depth(clause: Column) -> Column:

@@ -2,14 +2,17 @@
 
 A backend is a plain function from a list of texts to a list of results. It is
 called by batches and retried with growing waits; a batch that keeps failing
-gives the result that stands for failure, never an exception.
+gives the result that stands for failure, never an exception. A task may have several calls
+under way, as many as its `workers`; where one is told to wait, all do.
 """
 
 from __future__ import annotations
 
 import hashlib
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -41,11 +44,27 @@ class RateLimited(Exception):
     """Asked too often: wait longer."""
 
 
-def answered(backend: Callable[[list[str]], list], texts: list[str], attempts: int = ATTEMPTS, wait: float = WAIT_SECONDS) -> tuple[list | None, str, int]:
+class Gate:
+    """What calls at the same time share: none begins before the wait that a rate limit told to one of them is over."""
+
+    def __init__(self) -> None:
+        self.lock, self.until = threading.Lock(), 0.0
+
+    def hold(self, seconds: float) -> None:
+        with self.lock:
+            self.until = max(self.until, time.monotonic() + seconds)
+
+    def passed(self) -> None:
+        while (left := self.until - time.monotonic()) > 0:
+            time.sleep(left)
+
+
+def answered(backend: Callable[[list[str]], list], texts: list[str], attempts: int = ATTEMPTS, wait: float = WAIT_SECONDS, gate: Gate | None = None) -> tuple[list | None, str, int]:
     """The backend's results, how the call ended (ok, error, refused, limited) and the attempts it took."""
-    status = "error"
+    status, gate = "error", gate or Gate()
     for n in range(attempts):
         pause = wait * 2**n
+        gate.passed()
         try:
             found = backend(texts)
             if len(found) == len(texts):
@@ -53,7 +72,8 @@ def answered(backend: Callable[[list[str]], list], texts: list[str], attempts: i
         except ModelError:
             return None, "refused", n + 1
         except RateLimited:
-            status, pause = "limited", 2.5 * wait * (n + 1)
+            status, pause = "limited", 0.0
+            gate.hold(2.5 * wait * (n + 1))
         except (OSError, ValueError, RuntimeError):
             status = "error"
         if n + 1 < attempts:
@@ -61,9 +81,24 @@ def answered(backend: Callable[[list[str]], list], texts: list[str], attempts: i
     return None, status, attempts
 
 
-def tried(backend: Callable[[list[str]], list], texts: list[str], failed: object, attempts: int = ATTEMPTS, wait: float = WAIT_SECONDS) -> list:
-    found, _, _ = answered(backend, texts, attempts, wait)
-    return [failed] * len(texts) if found is None else found
+def in_parts(backend: Callable[[list[str]], list], texts: list[str], batch: int, workers: int = 1, **retry) -> Iterator[tuple[list[str], list | None, str, int, float]]:
+    """Each part of `batch` texts, in order, with what `answered` says of it and its seconds; `workers` calls at most at a time."""
+    parts, gate = [texts[i : i + batch] for i in range(0, len(texts), batch)], Gate()
+
+    def timed(part: list[str]) -> tuple[list[str], list | None, str, int, float]:
+        began = time.monotonic()
+        return (part, *answered(backend, part, gate=gate, **retry), time.monotonic() - began)
+
+    if workers == 1 or len(parts) < 2:
+        yield from map(timed, parts)
+        return
+    with ThreadPoolExecutor(min(workers, len(parts))) as pool:
+        yield from pool.map(timed, parts)
+
+
+def tried(backend: Callable[[list[str]], list], texts: list[str], failed: object, batch: int = 8, workers: int = 1, **retry) -> list:
+    """A result for each text, `failed` where its call came to nothing."""
+    return [v for part, found, *_ in in_parts(backend, texts, batch, workers, **retry) for v in (found or [failed] * len(part))]
 
 
 #: The model a task is sent to where nothing else is configured.
@@ -75,20 +110,17 @@ def model_of(task: str, settings: dict[str, str] | None = None) -> str:
     return (settings or {}).get(task) or MODELS.get(task) or MODELS["map"]
 
 
-def caller(backend: Callable[[list[str]], list], batch: int = 8, **retry):
+def caller(backend: Callable[[list[str]], list], batch: int = 8, workers: int = 1, **retry):
     """A column function: text to reply (null: failed or empty), status, attempts and seconds of its call."""
 
     @F.pandas_udf("reply string, status string, attempts int, seconds double")
     def call(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in columns:
-            own, rows = texts.fillna("").tolist(), []
-            for i in range(0, len(own), batch):
-                asked, began = own[i : i + batch], time.monotonic()
-                found, status, attempts = answered(backend, asked, **retry)
-                took = (time.monotonic() - began) / len(asked)
-                for reply in found or [None] * len(asked):
+            rows = []
+            for part, found, status, attempts, seconds in in_parts(backend, texts.fillna("").tolist(), batch, workers, **retry):
+                for reply in found or [None] * len(part):
                     empty = found is not None and not str(reply or "").strip()
-                    rows.append((None if empty else reply, "empty" if empty else status, attempts, took))
+                    rows.append((None if empty else reply, "empty" if empty else status, attempts, seconds / len(part)))
             yield pd.DataFrame(rows, columns=["reply", "status", "attempts", "seconds"])
 
     return call
@@ -100,26 +132,23 @@ def call_log(calls: DataFrame, labels: list[str]) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum("call.attempts").alias("attempts"), F.sum("call.seconds").alias("seconds"))
 
 
-def embedder(backend: Callable[[list[str]], list] = hashed, batch: int = 16, dimensions: int = DIMENSIONS, **retry):
+def embedder(backend: Callable[[list[str]], list] = hashed, batch: int = 16, dimensions: int = DIMENSIONS, workers: int = 1, **retry):
     """A column function: text to vector; the zero vector where the call failed."""
 
     @F.pandas_udf("array<float>")
     def embed(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in columns:
-            own = texts.fillna("").tolist()
-            found = [v for i in range(0, len(own), batch) for v in tried(backend, own[i : i + batch], [0.0] * dimensions, **retry)]
-            yield pd.Series(found, dtype=object)
+            yield pd.Series(tried(backend, texts.fillna("").tolist(), [0.0] * dimensions, batch, workers, **retry), dtype=object)
 
     return embed
 
 
-def transformer(backend: Callable[[list[str]], list], batch: int = 8, **retry):
+def transformer(backend: Callable[[list[str]], list], batch: int = 8, workers: int = 1, **retry):
     """A column function: text to text; null where the call failed."""
 
     @F.pandas_udf("string")
     def call(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in columns:
-            own = texts.fillna("").tolist()
-            yield pd.Series([v for i in range(0, len(own), batch) for v in tried(backend, own[i : i + batch], None, **retry)], dtype=object)
+            yield pd.Series(tried(backend, texts.fillna("").tolist(), None, batch, workers, **retry), dtype=object)
 
     return call

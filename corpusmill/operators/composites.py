@@ -13,13 +13,16 @@ from ..functions.replies import clauses
 from ..functions.text import blank, hebrew_body, packed, segments, strip, too_short
 from .structure import merged_segments
 
+#: Calls under way at a time in a task.
+TRANSLATING, EXTRACTING = 3, 4
 
-def translated(rows: DataFrame, scope: list[str], backend: Callable[[list[str]], list], source: str, target: str, most: int = 2800, **retry) -> DataFrame:
+
+def translated(rows: DataFrame, scope: list[str], backend: Callable[[list[str]], list], source: str, target: str, most: int = 2800, workers: int = TRANSLATING, **retry) -> DataFrame:
     """scope, clause_id, title, body, error, sort_order: sections translated title first, then body by parts.
 
     A part that fails, comes back empty or much too short makes the whole section an error; such rows have no title and body.
     """
-    call = transformer(backend, **retry)
+    call = transformer(backend, workers=workers, **retry)
     body = F.coalesce("body", F.lit(""))
     rows = rows.withColumn("body", hebrew_body(body) if source == "he" else body)
     if source == target:
@@ -39,13 +42,13 @@ def translated(rows: DataFrame, scope: list[str], backend: Callable[[list[str]],
     return both.select(*scope, "clause_id", keep(F.col("_title")).alias("title"), keep(said).alias("body"), "error", sort_key(F.col("clause_id")).alias("sort_order"))
 
 
-def extracted(docs: DataFrame, key: str, text: str, backend: Callable[[list[str]], list], most: int = 6000, overlap: int = 250, least_preamble: int = 0, nested: bool = True, **retry) -> tuple[DataFrame, DataFrame]:
+def extracted(docs: DataFrame, key: str, text: str, backend: Callable[[list[str]], list], most: int = 6000, overlap: int = 250, least_preamble: int = 0, nested: bool = True, workers: int = EXTRACTING, **retry) -> tuple[DataFrame, DataFrame]:
     """Sections a model finds in texts, segment by segment, and (key, n_segments, n_failed) of texts that gave none.
 
     Failed segments are left out.
     """
     parts = docs.select(key, F.posexplode(segments(F.col(text), most, overlap, least_preamble)).alias("segment", "part")).filter(~blank(F.col("part")))
-    replies = parts.select(key, "segment", clauses(nested)(transformer(backend, **retry)(F.col("part"))).alias("found"))
+    replies = parts.select(key, "segment", clauses(nested)(transformer(backend, workers=workers, **retry)(F.col("part"))).alias("found"))
     items = replies.select(key, "segment", F.posexplode("found").alias("n", "x")).select(key, "segment", "n", "x.*")
     found = merged_segments(items, [key], ["segment", "n"], core_only=nested)
     sums = replies.groupBy(key).agg(F.count(F.lit(1)).alias("n_segments"), F.count_if(F.col("found").isNull()).alias("n_failed"))

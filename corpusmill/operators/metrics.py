@@ -76,6 +76,26 @@ def ranged(samples: DataFrame, labels: list[str], step: str, ts: str = "ts", ord
     return latest(samples.withColumn("start", F.window(ts, step)["start"]), [*labels, "start"], ts, order, value)
 
 
+def stepped(samples: DataFrame, labels: list[str], start: Column, end: Column, step: str, lookback: str = "5 minutes", ts: str = "ts", order: str = "event_id", value: str = "value") -> DataFrame:
+    """at, labels, value: each series on the grid start, start + step, ... up to end; at a step counts the last sample of the lookback before it.
+
+    A sample holds from the first step at or after it until the step before the next sample's, as long as it is fresh. Of the samples between
+    two steps only the last can count, so series are reduced to a sample a step before they are put in order; no grid is joined.
+    """
+    micros = lambda i: F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL {i})")
+    begin, wide, fresh = F.unix_micros(start), micros(step), micros(lookback)
+    first = F.greatest(F.lit(0).cast("long"), F.ceil((F.unix_micros(ts) - begin) / wide).cast("long"))
+    last = F.floor((F.unix_micros(end) - begin) / wide).cast("long")
+    rows = samples.filter((F.col(ts) <= end) & (F.unix_micros(ts) > begin - fresh)).withColumn("_step", first).withColumn("_end", last)
+    rows = rows.groupBy(*labels, "_step", "_end").agg(F.max_by(F.struct(F.col(ts).alias("t"), F.col(value).alias("v")), F.struct(ts, order)).alias("_s"))
+    after = F.lead("_step").over(Window.partitionBy(*labels).orderBy("_step"))
+    held = F.ceil((F.unix_micros("_s.t") + fresh - begin) / wide).cast("long") - 1
+    until = F.least(held, F.coalesce(after - 1, F.col("_end")), F.col("_end"))
+    rows = rows.withColumn("_until", until).filter("_until >= _step")
+    rows = rows.withColumn("_at", F.explode(F.sequence("_step", "_until")))
+    return rows.select(F.timestamp_micros(begin + F.col("_at") * wide).alias("at"), *labels, F.col("_s.v").alias(value))
+
+
 def lifetime(samples: DataFrame, labels: list[str], by: list[str], value: str = "value", **at: str) -> DataFrame:
     """by and the sum of its counters as they stand last."""
     return latest(samples, labels, value=value, **at).groupBy(*by).agg(F.sum(value).alias(value))

@@ -26,6 +26,20 @@ def numbered(df: DataFrame, key: str, bucket: int = BUCKET) -> DataFrame:
     return df.withColumn("_own", own).join(starts, "_bucket").withColumn("row", (F.col("_own") + F.col("_start")).cast("long")).drop("_bucket", "_own", "_start")
 
 
+def ranked(df: DataFrame, order: list[Column], path: str) -> DataFrame:
+    """Gapless `row` from 0 in any order: rows are sorted by range and written to `path`, and each range is numbered from the counts of those before it.
+
+    Rows that are equal in `order` lie in one range; give it something that tells them apart.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33))
+    placed.write.parquet(path)
+    placed = df.sparkSession.read.schema(placed.schema).parquet(path)
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))
+    own = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(starts), "_range").withColumn("row", own + F.col("_start")).drop("_at", "_range", "_start")
+
+
 def systematic(df: DataFrame, key: str, size: int = 20) -> DataFrame:
     """Every n div size-th row by key, `size` of them at most."""
     step = max(1, df.count() // size)

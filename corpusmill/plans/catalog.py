@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import repair, series, tables, text
+from . import indexes, repair, series, tables, text
 
-MODULES = (text, tables, series, repair)
+MODULES = (text, tables, series, repair, indexes)
 
 
 def queries() -> dict:
