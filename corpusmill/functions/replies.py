@@ -35,18 +35,26 @@ def loaded(reply: str | None) -> object:
     return None
 
 
+def _opened(found: object) -> list:
+    """What is inside a value that is no clause itself: of an object with a `clauses` container that alone."""
+    if isinstance(found, dict):
+        told = found.get("clauses")
+        found = [told] if isinstance(told, (list, dict)) else list(found.values())
+    return found if isinstance(found, list) else []
+
+
 def flattened(value: object) -> Iterator[dict]:
-    """The clause objects of any nesting; a `clauses` entry is all there is of its object."""
-    if isinstance(value, list):
-        for x in value:
-            yield from flattened(x)
-    elif isinstance(value, dict):
-        if isinstance(value.get("clauses"), (list, dict)):
-            yield from flattened(value["clauses"])
-        elif all(k in value for k in FIELDS):
-            yield value
+    """The clause objects of any nesting, in the order in which they are written.
+
+    Values wait in a list and are opened one by one, so a reply may be nested as deep as it likes.
+    """
+    waiting = [value]
+    while waiting:
+        found = waiting.pop()
+        if isinstance(found, dict) and found.keys() >= set(FIELDS) and not isinstance(found.get("clauses"), (list, dict)):
+            yield found
         else:
-            yield from flattened([x for x in value.values() if isinstance(x, (list, dict))])
+            waiting += reversed(_opened(found))
 
 
 def wrapped(value: object) -> list[dict]:

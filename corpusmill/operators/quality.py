@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, key_bigrams
+from ..storage import scratch
 
 HIT_RATE, PHRASE_RATE = 0.8, 0.7
 BUCKET = 10_000
@@ -47,9 +48,12 @@ def systematic(df: DataFrame, key: str, size: int = 20) -> DataFrame:
 
 
 def sampled(docs: DataFrame, key: str, text: str, size: int = 20) -> DataFrame:
-    """A systematic sample of the rows with a text. Keys alone are numbered; the texts are then read by the keys, which are `size` at most."""
-    keys = systematic(docs.filter(~blank(F.col(text))).select(key), key, size)
-    return docs.filter(F.col(key).isin([r[key] for r in keys.select(key).collect()]))
+    """A systematic sample of the rows with a text. Keys alone are written and numbered; the texts are then read by the keys, which are `size` at most."""
+    spark = docs.sparkSession
+    with scratch(spark, "keys") as path:
+        docs.filter(~blank(F.col(text))).select(key).write.parquet(path)
+        keys = [r[key] for r in systematic(spark.read.parquet(path), key, size).select(key).collect()]
+    return docs.filter(F.col(key).isin(keys))
 
 
 def validate(sample: DataFrame, chunks: DataFrame, key: str, text: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.data import has_key
-from ..functions.ids import ID_TOKEN, depth, parent_id
+from ..functions.ids import ID_TOKEN, depth, parent_id, sort_key
 from ..functions.text import HEBREW, bad_title, blank, hebrew_body, hebrew_ratio, hebrew_spacing, paragraphs, strip
 
 # Terms of a resume in three languages.
@@ -47,10 +47,10 @@ def distinct_or(rows: DataFrame, column: str, default: str) -> DataFrame:
     return found.unionByName(none).orderBy(column)
 
 
-def by_stage(rows: DataFrame, stages: list[str]) -> DataFrame:
-    """In order of stage, latest version first; unknown stages last."""
+def by_stage(rows: DataFrame, stages: list[str], *ties: str) -> DataFrame:
+    """In order of stage, latest version first, then by `ties`; unknown stages last."""
     order = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(s) for s in stages]), F.col("stage")), F.lit(0)), F.lit(len(stages) + 1))
-    return rows.orderBy(order, F.desc("version"))
+    return rows.orderBy(order, F.desc("version"), *ties)
 
 
 def published(versions: DataFrame, keys: list[str]) -> DataFrame:
@@ -111,7 +111,10 @@ def tokenised(text: Column) -> Column:
 
 
 def viewer_audit(records: DataFrame) -> DataFrame:
-    """language, check, n, ok: counts, introductions, foreign script, fallbacks, tokenised bodies and titles that are body text of viewer records."""
+    """language, check, n, ok: counts, introductions, known titles, foreign script, fallbacks, tokenised bodies and titles that are body text of viewer records.
+
+    Checks of Hebrew titles and bodies are made of Hebrew records alone, the one of foreign script of the others.
+    """
     he = F.col("language") == "he"
     script = F.concat(F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))
     intro = F.col("clause_id") == "0"
@@ -124,12 +127,27 @@ def viewer_audit(records: DataFrame) -> DataFrame:
         F.count_if(intro & F.contains("text", F.lit(" ")) & (F.size(F.split("text", "\n\n")) <= 30)).alias("introduction_words"),
         F.count_if(F.col("clause_id") == "0.1").alias("general"),
         F.count_if(F.col("clause_id").isin("0", "0.1")).alias("front"),
+        F.min_by("clause_id", F.struct(sort_key(F.col("clause_id")), "clause_id")).alias("first"),
+        F.count_if((F.col("clause_id") == "0.1") & (F.col("title") == "כללי")).alias("general_title"),
+        F.count_if((F.col("clause_id") == "5.1.1") & (F.col("title") == "כללי")).alias("leadership_title"),
+        F.count_if((F.col("clause_id") == "5.1.2") & F.contains("title", F.lit("לקוח"))).alias("customer_title"),
+        F.count_if(tokenised(hebrew_body(F.coalesce("text", F.lit(""))))).alias("rejoined"),
         F.count_if(~he & script.rlike(f"[{HEBREW}]")).alias("foreign_script"),
         F.count_if(F.col("fallback")).alias("fallbacks"),
         F.count_if(he & tokenised(F.col("text"))).alias("tokenised"),
         F.count_if(he & ((F.length("title") > 60) | F.col("title").rlike(r"^(?:\( )?הערה"))).alias("body_titles"),
         F.count_if(bad_title(F.col("title")) & blank(F.col("text"))).alias("empty"),
     )
-    least = {"sections": 80, "level3": 30, "introduction": 1, "introduction_title": 1, "introduction_body": 1, "introduction_words": 1, "general": 1, "front": 1}
+    n = n.withColumn("first", F.col("first").isin("0", "0.1").cast("long"))
+    least = {"sections": 80, "level3": 30} | dict.fromkeys(("introduction", "introduction_title", "introduction_body", "introduction_words", "general", "front", "first", "general_title", "leadership_title", "customer_title"), 1)
+    hebrew_only, others_only = {"general_title", "leadership_title", "customer_title", "rejoined", "tokenised", "body_titles"}, {"foreign_script"}
     checks = [F.struct(F.lit(c).alias("check"), F.col(c).alias("n"), ((F.col(c) >= least[c]) if c in least else (F.col(c) == 0)).alias("ok")) for c in n.columns if c != "language"]
-    return n.select("language", F.explode(F.array(*checks)).alias("c")).select("language", "c.*")
+    made = n.select("language", F.explode(F.array(*checks)).alias("c")).select("language", "c.*")
+    return made.filter(F.when(F.col("language") == "he", ~F.col("check").isin(*others_only)).otherwise(~F.col("check").isin(*hebrew_only)))
+
+
+def mixed_script_titles(sections: DataFrame) -> DataFrame:
+    """language, standard, clause_id, title (60 characters), issue: Hebrew letters in English titles, Latin words other than ISO in Hebrew ones."""
+    title, language = F.col("title"), F.col("language")
+    issue = F.when((language == "en") & title.rlike("[א-ת]"), "hebrew in en").when((language == "he") & title.rlike("[A-Z][a-z]{3,}") & ~F.contains(title, F.lit("ISO")), "latin in he")
+    return sections.withColumn("issue", issue).filter("issue is not null").select("language", "standard", "clause_id", F.substring("title", 1, 60).alias("title"), "issue")

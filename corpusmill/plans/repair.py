@@ -140,21 +140,19 @@ def first_or_default(spark, folder):
     return table(spark, folder, "benchmark").select("item_id", viewer.first_or(tx.words(F.coalesce("text", F.lit("")), "[a-z]{5,}"), "none").alias("first"))
 
 
-@query("SELECT 'ISO9001' AS source UNION ALL SELECT NULL WHERE false")
+@query("""SELECT DISTINCT source FROM documents WHERE source IS NOT NULL
+UNION ALL SELECT 'ISO9001' WHERE NOT EXISTS (SELECT 1 FROM documents WHERE source = 'nowhere')""")
 def distinct_with_default(spark, folder):
-    return viewer.distinct_or(_docs(spark, folder).filter("source = 'nowhere'"), "source", "ISO9001")
+    """The sources there are, and the default where there are none."""
+    docs = _docs(spark, folder)
+    return viewer.distinct_or(docs, "source", "ISO9001").unionByName(viewer.distinct_or(docs.filter("source = 'nowhere'"), "source", "ISO9001"))
 
 
 @query("SELECT row_number() OVER (ORDER BY CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END, turn DESC, conv_id)::BIGINT AS place, role AS stage, turn AS version, conv_id FROM conversations QUALIFY place <= 20")
 def stage_order(spark, folder):
-    """The first rows in order of stage and version."""
+    """The first rows in order of stage and version: one top-k."""
     rows = table(spark, folder, "conversations").select(F.col("role").alias("stage"), F.col("turn").alias("version"), "conv_id")
-    first = viewer.by_stage(rows.orderBy("conv_id"), ["user", "assistant"])
-    stage = F.when(F.col("stage") == "user", 1).when(F.col("stage") == "assistant", 2).otherwise(3)
-    from pyspark.sql import Window
-
-    top = first.orderBy(stage, F.desc("version"), "conv_id").limit(20)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(stage, F.desc("version"), "conv_id")).cast("long"))
+    return viewer.by_stage(rows, ["user", "assistant"], "conv_id").limit(20).withColumn("place", F.monotonically_increasing_id() + 1)  # a limit is one partition
 
 
 @query("SELECT conv_id, role, max(turn) AS version FROM conversations WHERE turn % 2 = 0 GROUP BY conv_id, role")
@@ -222,33 +220,76 @@ def role_filter(spark, folder):
     return rows.select("source", ids.is_admin(F.col("roles"), ["es", "xx"]).alias("admin"))
 
 
-@query("""WITH e AS (SELECT *, row_number() OVER () AS n FROM embeddings) SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE true)::BIGINT AS n_unit FROM e""")
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e)
+SELECT vec_id, round(v[1] / n, 6) AS first, round(v[-1] / n, 6) AS last, round(n * n / (n * n), 6) AS square FROM n""")
 def unit_vectors(spark, folder):
-    """All vectors normalised to length one."""
-    rows = table(spark, folder, "embeddings")
-    vector = next(f.name for f in rows.schema.fields if f.dataType.simpleString().startswith("array"))
-    unit = data.normalised(F.col(vector))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(data.norm(unit) - 1) < 1e-6).alias("n_unit"))
+    """All vectors normalised to length one: what of them can be compared without rounding trouble."""
+    unit = data.normalised(F.col("embedding"))
+    rows = table(spark, folder, "embeddings").select("vec_id", unit.alias("u"))
+    return rows.select("vec_id", F.round(F.col("u")[0], 6).alias("first"), F.round(F.element_at("u", -1), 6).alias("last"), F.round(data.dot(F.col("u"), F.col("u")), 6).alias("square"))
 
 
-def _sections(spark, folder):
-    """Documents as sections of their source: each takes its place by rank and has a title of its own first words."""
+def _sections(spark, folder, scope: str = "source"):
+    """Documents as sections of a set: each takes its place by rank and has a title of its own first words. Keys alone are ranked."""
     from pyspark.sql import Window
 
-    rows = _docs(spark, folder).select("source", "doc_id", "text", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("r"))
-    r = F.col("r") - 1
+    docs = _docs(spark, folder)
+    rows = docs.select(scope, "doc_id", (F.row_number().over(Window.partitionBy(scope).orderBy("doc_id")) - 1).alias("r"))
+    r = F.col("r")
     clause = F.when(r == 0, "0").otherwise(F.concat_ws(".", (r % 10 + 1).cast("string"), F.when(r >= 10, (r / 10).cast("int").cast("string")), F.when(r % 3 == 0, (r % 7 + 1).cast("string"))))
-    return rows.select("source", clause.alias("clause_id"), F.substring(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)), 1, 40).alias("title"), F.coalesce("text", F.lit("")).alias("body"), ids.sort_key(clause).alias("sort_order"), "doc_id")
+    rows = docs.select("doc_id", "text").join(rows.select(scope, "doc_id", clause.alias("clause_id")), "doc_id")
+    return rows.select(scope, "clause_id", F.substring(F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)), 1, 40).alias("title"), F.coalesce("text", F.lit("")).alias("body"), ids.sort_key(F.col("clause_id")).alias("sort_order"), "doc_id")
 
 
 def _known(spark):
     return spark.createDataFrame([("1", "Scope"), ("4", "Context"), ("6", "Planning")], "clause_id string, canonical string")
 
 
-@query()
+HE = r"\x{0590}-\x{05FF}"
+SPACES = r"E' \t\r\n\f\v'"
+
+
+def _sections_sql(scope: str) -> str:
+    return f"""k AS (SELECT {scope} AS scope, doc_id, coalesce(text, '') AS body, row_number() OVER (PARTITION BY {scope} ORDER BY doc_id) - 1 AS r FROM documents),
+ids AS (SELECT *, CASE WHEN r = 0 THEN '0' ELSE concat_ws('.', r % 10 + 1, CASE WHEN r >= 10 THEN r // 10 END, CASE WHEN r % 3 = 0 THEN r % 7 + 1 END) END AS clause_id FROM k),
+sec AS (SELECT *, substring(split_part(body, chr(10), 1), 1, 40) AS title, list_sum(list_transform(string_split(clause_id, '.'), lambda p, i: least(99, p::BIGINT) * (100 ** (5 - i))::BIGINT))::BIGINT AS sort_order FROM ids),
+known AS (SELECT * FROM (VALUES ('1', 'Scope'), ('4', 'Context'), ('6', 'Planning')) AS v(clause_id, canonical))"""
+
+
+def _bad_sql(t: str) -> str:
+    """The rules of bad titles for a stripped title."""
+    listed = ", ".join(f"'{x}'" for x in tx.BAD_TITLES)
+    hebrew = f"regexp_matches({t}, '[{HE}]')"
+    letters = f"length(regexp_replace({t}, '[^{HE}]', '', 'g'))"
+    patterns = " OR ".join(f"regexp_matches({t}, '{p}')" for p in (tx.LINK, tx.FIGURE, tx.CORRECTION, tx.NOTE, "^[a-z]"))
+    return f"""({t} = '' OR starts_with({t}, 'Clause ') OR starts_with({t}, 'סעיף ') OR {t} IN ({listed}) OR {patterns}
+      OR (regexp_matches({t}, '[;,]$') AND NOT {hebrew}) OR (length({t}) > 90 AND NOT {hebrew})
+      OR ({hebrew} AND (length({t}) > 60 OR len(string_split({t}, ',')) > 2 OR {letters} < 3 OR (NOT contains({t}, ' ') AND length({t}) >= 7) OR (regexp_matches({t}, '(של|וה|ו)$') AND length({t}) <= 12))))"""
+
+
+def _fits_sql(t: str, c: str) -> str:
+    """The rules of compatible titles for stripped ones."""
+    stop = ", ".join(f"'{w}'" for w in tx.TITLE_STOP_WORDS)
+    said = lambda x: f"list_filter(list_distinct(regexp_extract_all(lower({x}), '[A-Za-z{HE}]{{2,}}')), lambda w: w NOT IN ({stop}))"
+    both = f"len(list_intersect({said(t)}, {said(c)}))"
+    return f"""({t} <> '' AND {c} <> '' AND ({t} = {c} OR (length({t}) >= greatest(4, floor(length({c}) * 0.55)) AND (contains({c}, {t}) OR contains({t}, {c})
+      OR ({both} >= 1 AND {both} / greatest(1, len({said(c)})) >= 0.34)))))"""
+
+
+@query(f"""WITH {_sections_sql("lang")},
+t AS (SELECT sec.*, canonical, trim(CASE WHEN scope IN ('en', 'fr') THEN coalesce(canonical, 'Sound title') ELSE title END, {SPACES}) AS t FROM sec LEFT JOIN known USING (clause_id)),
+g AS (
+  SELECT scope AS lang, count(*) AS n_core, count(*) FILTER (WHERE len(string_split(clause_id, '.')) >= 3) AS n_level3, coalesce(sum(length(trim(body, {SPACES}))), 0)::BIGINT AS n_chars,
+    count(*) FILTER (WHERE {_bad_sql("t")}) AS n_bad, count(*) FILTER (WHERE clause_id = '0' OR starts_with(clause_id, '0.')) AS n_intro,
+    count(*) FILTER (WHERE (clause_id IN ('1', '4.1') AND {_bad_sql("t")}) OR (canonical IS NOT NULL AND NOT {_fits_sql("t", "canonical")})) AS n_broken
+  FROM t WHERE split_part(clause_id, '.', 1)::INT BETWEEN 0 AND 10 GROUP BY scope)
+SELECT *, n_core >= 40 AND n_level3 >= 12 AND n_chars >= 4000 AND n_bad <= n_core * 0.25 AND n_intro > 0 AND n_broken = 0 AS ok FROM g""")
 def quality_gate(spark, folder):
-    """Whether each source's sections are sound in structure."""
-    return structure.structure_gate(_sections(spark, folder), ["source"], _known(spark))
+    """Whether each language's sections are sound in structure; English and French ones have been given sound titles, the others have their first words."""
+    known = _known(spark)
+    rows = _sections(spark, folder, "lang").join(F.broadcast(known), "clause_id", "left")  # three rows
+    rows = rows.withColumn("title", F.when(F.col("lang").isin("en", "fr"), F.coalesce("canonical", F.lit("Sound title"))).otherwise(F.col("title"))).drop("canonical")
+    return structure.structure_gate(rows, ["lang"], known)
 
 
 @query()
@@ -267,9 +308,16 @@ def promote_nested(spark, folder):
     return structure.promoted(rows, ["doc_id"])
 
 
-@query()
+@query(f"""WITH {_sections_sql("source")},
+raw AS (SELECT sec.*, canonical, trim(title, {SPACES}) AS raw FROM sec LEFT JOIN known USING (clause_id)),
+cut AS (SELECT *, CASE WHEN starts_with(raw, clause_id) THEN coalesce(nullif(trim(regexp_replace(substr(raw, length(clause_id) + 1), '^\\s*[.\\-–—:]?\\s*', ''), {SPACES}), ''), raw) ELSE raw END AS t FROM raw),
+f AS (SELECT *, t <> '' AND (t = 'The' OR starts_with(t, 'The ') OR contains(t, ' The')) AS hit, {_bad_sql("t")} AS bad FROM cut)
+SELECT scope AS source, clause_id, CASE WHEN hit THEN coalesce(canonical, 'Clause ' || clause_id)
+    WHEN canonical IS NOT NULL AND (bad OR NOT {_fits_sql("t", "canonical")} OR (t <> canonical AND length(t) > 60)) THEN canonical
+    WHEN bad THEN coalesce(canonical, 'Clause ' || clause_id) ELSE t END AS title, md5(body) AS body_md5, sort_order, doc_id FROM f""")
 def repair_titles(spark, folder):
-    return structure.with_repaired_titles(_sections(spark, folder), _known(spark), "en", ["The"], [])
+    found = structure.with_repaired_titles(_sections(spark, folder), _known(spark), "en", ["The"], [])
+    return found.withColumn("body_md5", _md5(F.col("body"))).drop("body")
 
 
 @query()
@@ -301,12 +349,17 @@ def extract_sections(spark, folder):
     return composites.extracted(_docs(spark, folder).select("doc_id", "text"), "doc_id", "text", told_back)[0]
 
 
-@query("SELECT doc_id, '1' AS clause_id, upper(lang) AS title, n_chars >= 0 AS told FROM documents WHERE text IS NOT NULL")
+def figured(texts: list[str]) -> list[str]:
+    """Another stand-in for a model that translates, whose work can be told in SQL."""
+    return [t.replace("e", "3") for t in texts]
+
+
+@query(r"""SELECT doc_id, '1' AS clause_id, replace(lang, 'e', '3') AS title, md5(replace(regexp_replace(text, '\s+', '', 'g'), 'e', '3')) AS told FROM documents WHERE text IS NOT NULL""")
 def translate_sections(spark, folder):
-    """Sections translated by parts; every one is complete."""
+    """Sections translated by parts; every one is complete, in whatever lines."""
     rows = _docs(spark, folder).filter("text is not null").select("doc_id", F.lit("1").alias("clause_id"), F.col("lang").alias("title"), F.col("text").alias("body"))
-    found = composites.translated(rows, ["doc_id"], shouted, "en", "he")
-    return found.select("doc_id", "clause_id", "title", F.col("error").isNull().alias("told"))
+    found = composites.translated(rows, ["doc_id"], figured, "en", "fr")
+    return found.select("doc_id", "clause_id", "title", F.md5(F.regexp_replace("body", r"\s+", "").cast("binary")).alias("told"))
 
 
 @query(r"""SELECT CASE source WHEN 'src1' THEN 'extractor-default' ELSE 'mapper-default' END AS model, 'ok' AS status, count(*)::BIGINT AS n FROM documents WHERE regexp_matches(text, '\S') GROUP BY ALL""")
@@ -322,15 +375,38 @@ def blob_by_id(spark, folder):
     return blob(rows, 7).select("filename", "content_type", F.length("file_data").cast("long").alias("size"))
 
 
-@query()
+@query(f"""WITH {_sections_sql("source")},
+t AS (SELECT *, title AS raw, trim(title, {SPACES}) AS t FROM sec),
+n AS (
+  SELECT count(*) AS sections, count(*) FILTER (WHERE len(string_split(clause_id, '.')) = 3) AS level3, count(*) FILTER (WHERE clause_id = '0') AS introduction,
+    count(*) FILTER (WHERE clause_id = '0' AND raw IN ('Introduction', 'מבוא')) AS introduction_title, count(*) FILTER (WHERE clause_id = '0' AND length(body) > 100) AS introduction_body,
+    count(*) FILTER (WHERE clause_id = '0' AND contains(body, ' ') AND len(string_split(body, chr(10) || chr(10))) <= 30) AS introduction_words,
+    count(*) FILTER (WHERE clause_id = '0.1') AS general, count(*) FILTER (WHERE clause_id IN ('0', '0.1')) AS front,
+    (arg_min(clause_id, struct_pack(a := sort_order, b := clause_id)) IN ('0', '0.1'))::BIGINT AS first,
+    count(*) FILTER (WHERE regexp_matches(raw || body, '[{HE}]')) AS foreign_script, 0::BIGINT AS fallbacks, count(*) FILTER (WHERE {_bad_sql("t")} AND NOT regexp_matches(body, '\\S')) AS empty FROM t)
+SELECT 'en' AS language, c.check_ AS "check", c.n, CASE c.check_ WHEN 'sections' THEN c.n >= 80 WHEN 'level3' THEN c.n >= 30 WHEN 'foreign_script' THEN c.n = 0 WHEN 'fallbacks' THEN c.n = 0 WHEN 'empty' THEN c.n = 0 ELSE c.n >= 1 END AS ok
+FROM (UNPIVOT n ON COLUMNS(*) INTO NAME check_ VALUE n) c""")
 def viewer_audits(spark, folder):
     rows = _sections(spark, folder)
     shown = viewer.viewer_record(rows.withColumn("edition", F.lit("")), "en", F.lit(False))
     return viewer.viewer_audit(shown)
 
 
-@query()
+@query("""SELECT lang AS language, 'ISO9001' AS standard, doc_id::VARCHAR AS clause_id, left(t, 60) AS title, CASE lang WHEN 'en' THEN 'hebrew in en' ELSE 'latin in he' END AS issue
+FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN 'en' ELSE 'he' END AS lang, CASE WHEN doc_id % 10 = 3 THEN 'סעיף ' ELSE '' END || CASE WHEN doc_id % 4 = 1 THEN 'ISO ' ELSE '' END || split_part(coalesce(text, ''), chr(10), 1) AS t FROM documents)
+WHERE (lang = 'en' AND regexp_matches(t, '[א-ת]')) OR (lang = 'he' AND regexp_matches(t, '[A-Z][a-z]{3,}') AND NOT contains(t, 'ISO'))""")
+def mixed_script_titles(spark, folder):
+    """First lines as titles, a tenth with a Hebrew word, a quarter with the word that is allowed."""
+    put = lambda hit, word: F.when(hit, word).otherwise("")
+    title = F.concat(put(F.col("doc_id") % 10 == 3, "סעיף "), put(F.col("doc_id") % 4 == 1, "ISO "), F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)))
+    rows = _docs(spark, folder).select(F.when(F.col("lang") == "en", "en").otherwise("he").alias("language"), F.lit("ISO9001").alias("standard"), F.col("doc_id").cast("string").alias("clause_id"), title.alias("title"))
+    return viewer.mixed_script_titles(rows)
+
+
+@query(f"""WITH {_sections_sql("source")}
+SELECT scope AS source, clause_id, min(doc_id) AS position, arg_min(title, doc_id) AS title, md5(coalesce(arg_min(body, doc_id) FILTER (WHERE regexp_matches(body, '\\S')), '')) AS body_md5, min(sort_order) AS sort_order, count(*) - 1 AS n_warnings
+FROM sec GROUP BY scope, clause_id""")
 def nested_set_choice(spark, folder):
     """The sections of a source's documents after repetition is taken out, first ones winning."""
     rows = _sections(spark, folder).withColumnRenamed("doc_id", "position")
-    return sections.first_wins(rows, ["source"])
+    return sections.first_wins(rows, ["source"]).withColumn("body_md5", _md5(F.col("body"))).drop("body")

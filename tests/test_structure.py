@@ -254,3 +254,43 @@ def test_files_are_required_laid_out_and_marked(spark, tmp_path):
     with pytest.raises(FileNotFoundError, match="gone"):
         tables.require(found, collections.union(spark.createDataFrame([("gone", "nowhere", False)], collections.schema)))
     assert docx.docx_blocks(found).count() == 0
+
+
+def test_repaired_corpus(spark):
+    rows = [
+        ("a", "1", "Scope", "What it is for."), ("a", "4", "Context", ""), ("a", "4.1", "and broken title,", "First.\n4.1.1 Inner needs\nSaid inside."), ("a", "4.2", "## marked", "gone"), ("a", "4.5", "Misplaced", "gone"),
+        ("a", "0.1", "General", "Stays."), ("a", "0.6", "Too deep", "gone"), ("a", "7.1", "Correspondence between", "gone"), ("a", "8.1", "", ""), ("b", "9.1.2", "Satisfaction", "Has some above."),
+    ]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "source string, clause_id string, title string, body string, sort_order long")
+    known = spark.createDataFrame([("4.1", "Understanding the organization"), ("9", "Performance evaluation")], "clause_id string, canonical string")
+    found = {(r["source"], r["clause_id"]): (r["title"], r["body"]) for r in structure.repaired_corpus(df, ["source"], known, "en").collect()}
+    assert found["a", "4.1"] == ("Understanding the organization", "First.") and found["a", "4.1.1"] == ("Inner needs", "Said inside.")
+    assert found["a", "4"][0] == "Context" and "4.1" in found["a", "4"][1]  # empty: told by its children
+    assert not {("a", c) for c in ("4.2", "4.5", "0.6", "7.1", "8.1")} & set(found) and found["a", "0.1"] == ("General", "Stays.")
+    assert found["b", "9.1.2"] == ("Satisfaction", "Has some above.") and found["b", "9"][0] == "Performance evaluation"
+
+
+def test_hebrew_audit(spark):
+    rows = [("0", "מבוא", "א" * 60 + " " + "ב" * 60), ("0.1", "כללי", "x"), ("5.1.1", "כללי", "x"), ("5.1.2", "התמקדות בלקוח", "x"), ("6", "x" * 61, "ISO")]
+    df = spark.createDataFrame([("he", *r, False) for r in rows], "language string, clause_id string, title string, text string, fallback boolean")
+    ok = {r["check"]: r["ok"] for r in viewer.viewer_audit(df).collect()}
+    assert all(ok[c] for c in ("first", "general_title", "leadership_title", "customer_title", "rejoined", "introduction_title", "fallbacks")) and not ok["body_titles"] and not ok["sections"] and "foreign_script" not in ok
+    english = {r["check"] for r in viewer.viewer_audit(df.withColumn("language", F.lit("en"))).collect()}
+    assert "foreign_script" in english and "general_title" not in english
+
+
+def test_mixed_scripts(spark):
+    rows = [("en", "Scope"), ("en", "Scope תחום"), ("he", "תחום Scope"), ("he", "ISO Standard תחום"), ("he", "תחום"), (None, "תחום Scope")]
+    df = spark.createDataFrame([(*r, "s", str(i)) for i, r in enumerate(rows)], "language string, title string, standard string, clause_id string")
+    assert sorted((r["clause_id"], r["issue"]) for r in viewer.mixed_script_titles(df).collect()) == [("1", "hebrew in en"), ("2", "latin in he")]
+
+
+def test_deeply_nested_replies():
+    item = {"clause_id": "1", "title": "t", "body": "b"}
+    deep = item
+    for i in range(5000):
+        deep = [deep] if i % 2 else {"x": 1, "y": deep}
+    assert list(replies.flattened(deep)) == [item]
+    two = dict(item, clause_id="2")
+    assert list(replies.flattened([{"a": [item], "b": {"clauses": two, "c": item}}, two, 3, None])) == [item, two, two]
+    assert list(replies.flattened({"clauses": 3, "x": [item]})) == [item] and list(replies.flattened(dict(item, clauses=[two]))) == [two]
