@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import small, table, text_key, written
-from .textkernel import Powers, Words, chunks, mix, text_buffer, windows
+from .textkernel import Powers, Words, chunks, mix, text_buffer, trimmed, windows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -166,6 +166,7 @@ def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
                     "signature": pa.array([x.tobytes() for x in signed[has]], pa.binary()),
                 }
             )
+    trimmed()
 
 
 def _band_keys(signature: bytes, bands: int, rows: int) -> np.ndarray:
@@ -259,6 +260,7 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     "elements": pa.array([element[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
                 }
             )
+    trimmed()
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,11 +393,12 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     found = written(classes(docs, **options).select("_id", "_text", "component"), "classes")
     first = found.filter("component is not null").groupBy("component").agg(F.min(F.struct("_id", "_text")).alias("k")).select("k._id", "k._text")
     first = written(first.union(found.filter("component is null").select("_id", "_text")), "first")
-    kept = docs.select("*", *text_key()).join(small(first), ["_id", "_text"], "left_semi")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *text_key())  # whatever names docs have
+    kept = rows.join(small(first), ["_id", "_text"], "left_semi")
     repeated = found.filter("component is not null").groupBy("_id", "_text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if not repeated.isEmpty():  # rows equal in doc_id and text
-        kept = kept.filter("text is null").unionByName(kept.filter("text is not null").dropDuplicates(["_id", "_text"]))
-    return kept.drop("_id", "_text")
+        kept = kept.filter("_row.text is null").unionByName(kept.filter("_row.text is not null").dropDuplicates(["_id", "_text"]))
+    return kept.select("_row.*")
 
 
 def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small, table, written
-from .textkernel import chunks, mix, text_buffer
+from .textkernel import chunks, mix, text_buffer, trimmed
 
 CAPACITY = 2048
 END_ID = 1
@@ -47,7 +47,7 @@ RANGE_BYTES = 8 << 20
 MOST_RANGES = 100_000
 #: Marks that rows of one key, doc_id and content are dealt by.
 SALTS = 64
-CACHED_WORDS = 800_000
+CACHED_WORDS = 500_000
 #: Letters between ASCII marks other than apostrophes (which begin pieces such as 's) and spaces.
 MARKED = re.compile(r"([!-&(-/:-@\[-`{-~]*)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -216,6 +216,7 @@ def curve_keys(mean: np.ndarray) -> np.ndarray:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    trimmed()
     store = worker_store()
     if path not in store:
         store[path] = WordEncoder(path)
@@ -238,6 +239,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
                 }
             )
             given += last - first
+    trimmed()
 
 
 ORDERED = "range long, before long, doc_id long, curve long, n long, ids binary"

@@ -12,11 +12,14 @@ kind of word it is and what it gives away.
 Protected entities are, first, each kind of value: most values are unique, so
 what can be learned of them is which words stand beside such a value. There,
 evidence is the number of different values a term was seen with, so that copies
-of a text count once. Second, each value that recurs, where evidence is the
-number of different texts; values that occur in the same documents are one
-entity. Pairs of less than `support` evidence are no evidence. df(t, e) counts the
-documents that hold e and say t outside of values, anywhere in the text; df(t)
-those that say t.
+of a text count once; df(t, e) counts the documents that hold e and say t outside
+of values, anywhere in the text. Second, each value that recurs, where evidence is
+the number of different texts; values that occur in the same documents are one
+entity. There df(t, e) counts the documents that say t within `NEAR` code points
+of such a value, so a page of many values has pairs in proportion to its values
+and not to these times its words. Pairs of less than `support` evidence are no
+evidence; df(t) counts the documents that say t. A term that discloses an entity
+is treated wherever a document that holds the entity says it.
 
 Words are runs of two or more letters and digits, A-Z in lower case.
 
@@ -35,12 +38,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table, text_key, written
+from .common import lookup, small, table, text_key, written
 
 KINDS = ("email", "ip", "card", "phone")
 GUARDED = (*KINDS, "secret")
 SUPPORT = 5
 GENERALISE, REMOVE = 0.8, 0.95
+#: Code points on either side of a recurring value, less the words that these cut.
+NEAR = 1000
 MARK = "\ue000"
 LOCAL = r"A-Za-z0-9._%+\-" + MARK
 
@@ -54,7 +59,8 @@ PATTERNS = {
 }
 #: What a text must hold to be searched for a kind at all.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "secret": None}
-WORD = r"[\p{L}\p{N}]{2,}+"
+EDGE = r"[\p{L}\p{N}]"
+WORD = EDGE + "{2,}+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -155,34 +161,57 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
 
 
-def said(base: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """_id, _text, masked, words and entities (entity, kind, evidence) of rows with values."""
-    rows = base.filter("text is not null")
-    of = lambda k: lambda s: _entity(k, s)
-    each = F.array_distinct(F.concat(*[F.transform(k, of(k)) for k in GUARDED]))
-    values = written(rows.select("_id", "_text", F.explode(each).alias("value")), "values")
-    # by text first: a value that a third of all rows hold is summed in parts
-    told = values.groupBy("value", "_text").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("_id", "_text")).alias("in"))
-    told = told.groupBy("value").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.bit_xor("in").alias("in")).filter(F.col("texts") >= support)
-    named = told.select("value", F.concat_ws(":", F.lit("value"), F.col("n").cast("string"), F.hex("in")).alias("entity"), F.split_part("value", F.lit(":"), F.lit(1)).alias("kind"))
-    own = values.join(small(written(named, "recurring")), "value").select("_id", "_text", F.struct("entity", "kind", F.col("_text").alias("evidence")).alias("x"))
-    own = own.groupBy("_id", "_text").agg(F.collect_set("x").alias("recurring"))
-    kinds = F.array(*[F.when(F.size(k) > 0, F.struct(F.lit(k).alias("entity"), F.lit(k).alias("kind"), F.array_min(F.transform(k, lambda s: F.xxhash64(F.lower(s["value"])))).alias("evidence"))) for k in GUARDED])
-    rows = rows.select("_id", "_text", _masked().alias("masked"), F.filter(kinds, lambda x: x.isNotNull()).alias("kinds")).join(small(written(own, "own")), ["_id", "_text"], "left")
-    every = F.concat("kinds", F.coalesce("recurring", F.array().cast("array<struct<entity:string,kind:string,evidence:bigint>>")))
-    return rows.select("_id", "_text", "masked", _terms(F.col("masked")).alias("words"), every.alias("entities"))
-
-
-def _pairs(told: DataFrame) -> DataFrame:
-    rows = told.select("_id", "_text", F.explode("words").alias("term"), "entities")
-    return rows.select("_id", "_text", "term", F.explode("entities").alias("e")).select("_id", "_text", "term", "e.entity", "e.kind", "e.evidence")
-
-
-def disclosing(docs: DataFrame, told: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
+def _beside(masked: Column, s: Column, near: int) -> Column:
+    """The distinct words that lie whole within `near` code points of a span."""
+    first = F.greatest(F.lit(0), s["start"] - near)
+    text = F.substring(masked, first + 1, s["end"] + near - first)
+    text = F.when(first > 0, F.regexp_replace(text, rf"^{EDGE}++", "")).otherwise(text)
+    return _terms(F.when(s["end"] + near < F.length(masked), F.regexp_replace(text, rf"{EDGE}++$", "")).otherwise(text))
+
+
+class Said:
+    """What texts with values say.
+
+    rows: _id, _text, masked, words, and kinds (entity, kind, evidence) held; own: _id, _text and the recurring entities held;
+    beside: _id, _text, term, entity, kind, evidence for the words beside recurring values.
+    """
+
+    def __init__(self, base: DataFrame, support: int = SUPPORT, near: int = NEAR) -> None:
+        rows = base.filter("text is not null").withColumn("masked", _masked())
+        told = lambda k: lambda s: F.struct(_entity(k, s).alias("value"), s["start"].alias("start"), s["end"].alias("end"))
+        spans = F.concat(*[F.transform(k, told(k)) for k in GUARDED])
+        held = rows.select("_id", "_text", "masked", spans.alias("spans"), *GUARDED)
+        held = written(held.withColumn("beside", F.transform("spans", lambda s: F.struct(s["value"].alias("value"), _beside(F.col("masked"), s, near).alias("terms")))), "held")
+        each = F.array_distinct(F.transform("spans", lambda s: s["value"]))
+        values = written(held.select("_id", "_text", F.explode(each).alias("value")), "values")
+        # by text first: a value that a third of all rows hold is summed in parts
+        known = values.groupBy("value", "_text").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("_id", "_text")).alias("in"))
+        known = known.groupBy("value").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.bit_xor("in").alias("in")).filter(F.col("texts") >= support)
+        named = known.select("value", F.concat_ws(":", F.lit("value"), F.col("n").cast("string"), F.hex("in")).alias("entity"), F.split_part("value", F.lit(":"), F.lit(1)).alias("kind"))
+        named = written(named, "recurring")
+        self.own = written(lookup(values, named, ["value"]).select("_id", "_text", "entity", "kind").distinct(), "own")
+        beside = held.select("_id", "_text", F.explode("beside").alias("b")).select("_id", "_text", "b.value", F.col("b.terms").alias("terms"))
+        beside = lookup(beside, named, ["value"]).select("_id", "_text", F.explode("terms").alias("term"), "entity", "kind", F.col("_text").alias("evidence"))
+        self.beside = written(beside.distinct(), "beside")
+        kinds = F.array(*[F.when(F.size(k) > 0, F.struct(F.lit(k).alias("entity"), F.lit(k).alias("kind"), F.array_min(F.transform(k, lambda s: F.xxhash64(F.lower(s["value"])))).alias("evidence"))) for k in GUARDED])
+        self.rows = written(held.select("_id", "_text", "masked", _terms(F.col("masked")).alias("words"), F.filter(kinds, lambda x: x.isNotNull()).alias("kinds")), "said")
+
+    def pairs(self) -> DataFrame:
+        """_id, _text, term, entity, kind, evidence: of each kind held all words, of each recurring value those beside it."""
+        rows = self.rows.select("_id", "_text", F.explode("words").alias("term"), "kinds")
+        return rows.select("_id", "_text", "term", F.explode("kinds").alias("e")).select("_id", "_text", "term", "e.entity", "e.kind", "e.evidence").unionByName(self.beside)
+
+    def entities(self) -> DataFrame:
+        """_id, _text, entity, kind of all entities held."""
+        kinds = self.rows.select("_id", "_text", F.explode("kinds").alias("e")).select("_id", "_text", "e.entity", "e.kind")
+        return kinds.unionByName(self.own)
+
+
+def disclosing(docs: DataFrame, told: Said, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """entity, kind, term, share: the terms that give entities away."""
     total = docs.count()
-    entities = told.select(F.explode("entities.entity").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
-    pairs = _pairs(told).groupBy("entity", "kind", "term", "evidence").agg(F.count(F.lit(1)).alias("n"))
+    entities = told.entities().groupBy("entity").agg(F.count(F.lit(1)).alias("df_e"))
+    pairs = told.pairs().groupBy("entity", "kind", "term", "evidence").agg(F.count(F.lit(1)).alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.min("kind").alias("kind"), F.sum("n").alias("df_te"), F.count_distinct("evidence").alias("seen")).filter(F.col("seen") >= support)
     pairs = written(pairs.join(small(written(entities, "entities")), "entity"), "pairs")
     # all words are counted before they meet the terms: the join has a row a term
@@ -194,17 +223,19 @@ def disclosing(docs: DataFrame, told: DataFrame, support: int = SUPPORT, general
 
 
 TERM = "array<struct<start:int,end:int,term:string,share:double,kind:string>>"
-EDGE = r"[\p{L}\p{N}]"
 
 
 def find(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """doc_id, _id, _text, a column of spans for each kind, terms (start, end, term, share, kind), and text of rows that have values."""
     base = written(base_spans(docs), "base")
-    told = written(said(base, support), "said")
+    told = Said(base, support)
     rated = written(disclosing(docs, told, support, generalise), "rated")
-    hits = _pairs(told).join(small(rated), ["entity", "kind", "term"]).groupBy("_id", "_text", "term").agg(F.max(F.struct("share", "kind")).alias("m"))
+    rated = rated.groupBy("entity").agg(F.collect_list(F.struct("term", "share", "kind")).alias("terms"))  # an entity's own
+    hits = told.entities().select("_id", "_text", "entity").join(small(written(rated, "rated")), "entity").select("_id", "_text", F.explode("terms").alias("t"))
+    hits = hits.groupBy("_id", "_text", "t.term").agg(F.max(F.struct("t.share", "t.kind")).alias("m"))
+    hits = hits.join(told.rows.select("_id", "_text", F.explode("words").alias("term")), ["_id", "_text", "term"], "left_semi")
     hits = hits.groupBy("_id", "_text").agg(F.map_from_entries(F.collect_list(F.struct("term", "m"))).alias("known"))  # a text's own words
-    places = told.select("_id", "_text", "masked").dropDuplicates(["_id", "_text"]).join(small(written(hits, "hits")), ["_id", "_text"])
+    places = told.rows.select("_id", "_text", "masked").dropDuplicates(["_id", "_text"]).join(small(written(hits, "hits")), ["_id", "_text"])
     places = places.withColumn("pattern", F.concat(F.lit(f"(?<!{EDGE})(?:"), F.array_join(F.array_sort(F.map_keys("known")), "|"), F.lit(f")(?!{EDGE})")))
     spans = _placed(F.regexp_extract_all("masked", F.col("pattern"), F.lit(0)), F.split("masked", F.col("pattern"), -1))
     known = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("term"), F.col("known")[s["value"]]["share"].alias("share"), F.col("known")[s["value"]]["kind"].alias("kind")))

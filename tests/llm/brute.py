@@ -102,6 +102,14 @@ def disclosing(rows: list[tuple[int, str | None]], support: int = 5, least: floa
         masked[i] = lower("".join(blank))
         words[i] = set(word.findall(masked[i]))
     values = {i: {f"{k}:{(texts[i] or '')[a:b].lower()}" for k, a, b in spans} for i, spans in guarded.items()}
+    beside: dict[str, dict[int, set[str]]] = {}
+
+    def near(i: int, a: int, b: int) -> set[str]:
+        first, last = max(0, a - 1000), min(len(masked[i]), b + 1000)
+        inner = masked[i][first:last]
+        inner = re.sub(r"^[^\W_]+", "", inner) if first else inner
+        return set(word.findall(re.sub(r"[^\W_]+$", "", inner) if last < len(masked[i]) else inner))
+
     holders: dict[str, set[int]] = {}
     for i, own in values.items():
         for v in own:
@@ -109,20 +117,25 @@ def disclosing(rows: list[tuple[int, str | None]], support: int = 5, least: floa
     entities = {f"kind {k}": (k, {i for i, own in values.items() if any(v.startswith(k + ":") for v in own)}) for k in (*PATTERNS, "secret")}
     for v, docs in holders.items():
         if len({texts[i] for i in docs}) >= support:
-            entities[f"value {sorted(docs)}"] = (v.split(":")[0], docs)
+            name = f"value {sorted(docs)}"
+            entities[name] = (min(v.split(":")[0], entities.get(name, ("~",))[0]), docs)
+            for i in docs:
+                beside.setdefault(name, {}).setdefault(i, set()).update(*(near(i, a, b) for k, a, b in guarded[i] if f"{k}:{texts[i][a:b].lower()}" == v))
     df_t = Counter(w for t in texts.values() for w in set(word.findall(lower(t or ""))))
     shares: dict[int, dict[str, float]] = {i: {} for i in texts}
     for name, (kind, docs) in entities.items():
         if not docs or len(docs) == len(texts):
             continue
         for t in set().union(*(words[i] for i in docs)):
-            own = [i for i in docs if t in words[i]]
+            holds = (lambda i: t in beside[name][i]) if name.startswith("value") else (lambda i: t in words[i])
+            own = [i for i in docs if holds(i)]
             # which value stands for a document of several: a stated choice of the operator; tests give one of a kind
             seen = {texts[i] for i in own} if name.startswith("value") else {min(v for v in values[i] if v.startswith(kind + ":")) for i in own}
             share = math.log2(len(texts) * len(own) / (df_t[t] * len(docs))) / math.log2(len(texts) / len(docs))
             if len(seen) >= support and share >= least:
-                for i in own:
-                    shares[i][t] = max(share, shares[i].get(t, 0))
+                for i in docs:
+                    if t in words[i]:
+                        shares[i][t] = max(share, shares[i].get(t, 0))
     out = {}
     for i in texts:
         found = [("removed" if shares[i][m.group()] >= remove else "generalised", *m.span()) for m in word.finditer(masked[i]) if m.group() in shares[i]]

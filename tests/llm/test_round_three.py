@@ -314,3 +314,58 @@ def test_contamination_without_proximity(spark):
     whole_ = decontaminate.contamination(docs, items, ["doc_id"])
     assert plain.columns == [c for c in whole_.columns if "near" not in c]
     assert sorted(map(tuple, plain.collect())) == sorted(tuple(r)[:6] for r in whole_.collect())
+
+
+BESIDE = {"email": lambda i: f"agent{i}@corp.example", "ip": lambda i: f"10.1.{i}.7", "card": lambda i: luhn_number(i), "phone": lambda i: f"+44 20 7946 {i:04d}"}
+
+
+def luhn_number(i: int) -> str:
+    head = f"400000000000{i:03d}"
+    total = sum(sum(divmod(int(c) * (2 - k % 2), 10)) for k, c in enumerate(head))
+    return head + str(-total % 10)
+
+
+def test_planted_disclosures_are_found(spark):
+    """For each base kind a word that stands beside its values, for each of some recurring values a name: all are found, and nothing in clean texts."""
+    from corpusmill.llm import privacy
+
+    r = random.Random(12)
+    common = [f"common{i}" for i in range(60)]
+    say = lambda n: " ".join(r.choice(common) for _ in range(n))
+    rows, planted = [], {}
+    for kind, value in BESIDE.items():
+        for i in range(25):
+            rows.append(f"{say(20)} cue{kind} {value(i)} {say(20)}")
+            planted[len(rows) - 1] = f"cue{kind}"
+        for k in range(4):
+            for _ in range(6):
+                rows.append(f"{say(15)} name{kind}{'abcd'[k]} {value(100 + k)} {say(15)}")
+                planted[len(rows) - 1] = f"name{kind}{'abcd'[k]}"
+    rows += [say(40) for _ in range(2000)]
+    found = {x["doc_id"]: [t["term"] for t in x["terms"]] for x in privacy.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    hit = sum(planted[i] in found[i] for i in planted)
+    assert hit == len(planted), f"recall {hit / len(planted)}, without {sorted({planted[i] for i in planted if planted[i] not in found[i]})}"
+    assert not any(found[i] for i in range(len(rows)) if i not in planted)
+    assert all(set(found[i]) == {planted[i]} for i in planted)
+
+
+def test_a_page_of_many_values(spark):
+    """Pairs grow with values, not with values times words; every name is found."""
+    from corpusmill.llm import privacy
+
+    page = " ".join(f"person{i} of {'filler ' * 30} box{i}@corp.example {'filler ' * 30}" for i in range(300))
+    rows = [page + f" version{k}" for k in range(5)] + [f"filler text {i}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    told = privacy.Said(privacy.written(privacy.base_spans(docs), "base"))
+    assert told.beside.count() <= 5 * 300 * 10
+    found = {x["doc_id"]: {t["term"] for t in x["terms"]} for x in privacy.find(docs).collect()}
+    assert len([t for t in found[0] if t.startswith("person")]) == 300 and not found[100]
+
+
+def test_one_of_each_keeps_clashing_columns(spark):
+    from corpusmill.llm import neardup
+
+    rows = [(1, "a b c d e f g", "x", "y", "z"), (2, "a b c d e f g", "x", "y", "z"), (3, None, None, "q", None), (1, "a b c d e f g", "x", "y", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _text string, _row string")
+    kept = neardup.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2]], key=str)
