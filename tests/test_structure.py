@@ -259,7 +259,7 @@ def test_files_are_required_laid_out_and_marked(spark, tmp_path):
 def test_repaired_corpus(spark):
     rows = [
         ("a", "1", "Scope", "What it is for."), ("a", "4", "Context", ""), ("a", "4.1", "and broken title,", "First.\n4.1.1 Inner needs\nSaid inside."), ("a", "4.2", "## marked", "gone"), ("a", "4.5", "Misplaced", "gone"),
-        ("a", "0.1", "General", "Stays."), ("a", "0.6", "Too deep", "gone"), ("a", "7.1", "Correspondence between", "gone"), ("a", "8.1", "", ""), ("b", "9.1.2", "Satisfaction", "Has some above."),
+        ("a", "0.1", "General", "Stays."), ("a", "0.6", "Too deep", "gone"), ("a", "7.1", "Correspondence between", "gone"), ("a", "8.1", "", ""), ("b", "9.1.2", "Satisfaction", "Said Above."),
     ]
     df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "source string, clause_id string, title string, body string, sort_order long")
     known = spark.createDataFrame([("4.1", "Understanding the organization"), ("9", "Performance evaluation")], "clause_id string, canonical string")
@@ -267,7 +267,7 @@ def test_repaired_corpus(spark):
     assert found["a", "4.1"] == ("Understanding the organization", "First.") and found["a", "4.1.1"] == ("Inner needs", "Said inside.")
     assert found["a", "4"][0] == "Context" and "4.1" in found["a", "4"][1]  # empty: told by its children
     assert not {("a", c) for c in ("4.2", "4.5", "0.6", "7.1", "8.1")} & set(found) and found["a", "0.1"] == ("General", "Stays.")
-    assert found["b", "9.1.2"] == ("Satisfaction", "Has some above.") and found["b", "9"][0] == "Performance evaluation"
+    assert found["b", "9.1.2"] == ("Satisfaction", "Said Above.") and found["b", "9"][0] == "Performance evaluation"
 
 
 def test_hebrew_audit(spark):
