@@ -325,7 +325,18 @@ def repair_corpus(spark, folder):
     return structure.repaired_corpus(_sections(spark, folder).drop("doc_id"), ["source"], _known(spark), "en")
 
 
-@query()
+_BETTER = "row(NOT v.x, length(v.b), length(v.t)) > row(NOT a.x, length(a.b), length(a.t))"
+_LONGER = "v.x AND NOT a.x AND v.b <> '' AND a.b <> '' AND length(a.b) > length(v.b) * 1.3"
+
+
+@query(f"""WITH {_sections_sql("source")},
+two AS (SELECT scope, clause_id, sort_order, trim(body, {SPACES}) AS body, trim(title, {SPACES}) AS title, 0 AS s FROM sec UNION ALL SELECT scope, clause_id, sort_order, trim(body, {SPACES}), 'Sound title', 1 FROM sec),
+x AS (SELECT *, {_bad_sql("title")} AS bad FROM two),
+g AS (
+  SELECT scope, clause_id, min(sort_order) AS sort_order, list_reduce(list_sort(list({{'s': s, 't': title, 'b': body, 'x': bad}})), lambda a, v: CASE WHEN {_BETTER}
+    THEN {{'s': v.s, 't': CASE WHEN v.t = '' THEN a.t ELSE v.t END, 'b': CASE WHEN v.b = '' OR ({_LONGER}) THEN a.b ELSE v.b END, 'x': CASE WHEN v.t = '' THEN a.x ELSE v.x END}} ELSE a END) AS best
+  FROM x GROUP BY scope, clause_id)
+SELECT scope AS source, clause_id, best.t AS title, best.b AS body, sort_order FROM g""")
 def merge_by_quality(spark, folder):
     rows = _sections(spark, folder)
     return structure.merged_by_quality(rows.withColumn("set", F.lit(0)).unionByName(rows.withColumn("set", F.lit(1)).withColumn("title", F.lit("Sound title"))), ["source"])
