@@ -13,11 +13,16 @@ should fill all coordinates, so a text costs about one hash an element.
 
 Signatures are cut into bands; texts that share a band meet in a bucket. Every
 text of a bucket is compared with its hub (the text that shares most bands with
-others). Those that the hub's class doesn't take in are dealt into blocks of
-bounded size and each is sent to all of them: first for its best partner of each
+others). The bucket is dealt into blocks of bounded size, and what the hub's class
+doesn't take in is sent to all of them: first for its best partner of each
 block, then, with the classes these made, for all partners of other classes
 whose spread (counts of elements by hash) leaves room for enough in common.
 
+A large bucket is first parted by coordinates: signatures that agree in `least` of
+their coordinates share one outside the least - 1 that are the commonest of each,
+so its texts meet by these rarer ones alone. Texts with one passage in common
+meet no more by that passage, and no pair that would be verified is lost.
+
 Equal texts are one node from the start: they are folded by hash before
 anything else and unfolded at the end.
 
@@ -34,10 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, table, text_key, written
+from .common import lookup, small, table, text_key, written
 from .textkernel import Powers, Words, chunks, mix, text_buffer, trimmed, windows
 
 SHINGLE = 5
@@ -46,6 +51,8 @@ BANDS, ROWS = 20, 4
 #: Of the signature's coordinates; at similarity 0.8 fewer agree once in 20,000 pairs.
 AGREE = 0.6
 BLOCK = 96
+#: Buckets of more rows are parted by coordinates; also the most rows sent to a block at once, on average.
+LARGE = 33 * BLOCK
 #: Cells of a spread.
 CELLS = 128
 
@@ -245,6 +252,47 @@ def _across(batches: Iterator[pa.RecordBatch], least: float, similarity: float,
         yield pairs(held)
 
 
+def _coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_node and token: a coordinate's number and its name."""
+    for batch in batches:
+        if len(batch):
+            names = _signature_matrix(batch.column("signature")).astype(np.int64)
+            token = names + (np.arange(names.shape[1], dtype=np.int64) << 32)
+            yield pa.RecordBatch.from_pydict({"_node": pa.array(np.repeat(batch.column("_node").to_numpy(), names.shape[1])), "token": pa.array(token.reshape(-1))})
+
+
+def rarer_tokens(signs: DataFrame, least: int) -> DataFrame:
+    """_node, token: all but the least - 1 commonest coordinates of each signature, without those that one signature alone has."""
+    tokens = written(signs.select("_node", "signature").mapInArrow(_coordinates, "_node long, token long"), "coordinates")
+    counts = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
+    commonest = Window.partitionBy("_node").orderBy(F.desc("n"), F.desc("token"))
+    return lookup(tokens, counts, ["token"]).withColumn("nth", F.row_number().over(commonest)).filter(F.col("nth") >= least).select("_node", "token")
+
+
+KNOWN = ["_node", "component", "size", "shared"]
+
+
+def met(placed: DataFrame, tokens: DataFrame | None, block: int, large: int) -> DataFrame:
+    """bucket, block, sent and KNOWN: the rows that meet, about `block` dealt ones and `large` sent ones in each (bucket, block).
+
+    `tokens` (of `rarer_tokens`) part buckets of more than `large` rows; None if there are none.
+    """
+    placed = placed.withColumn("sent", F.col("component") != F.col("main"))
+    rows = placed.filter(F.col("n") <= large).select("bucket", "n", F.lit(1).cast("long").alias("turns"), "sent", *KNOWN)
+    if tokens is not None:
+        far = placed.filter(F.col("n") > large).drop("n").join(tokens, "_node")
+        far = written(far.select(F.xxhash64("bucket", "token").alias("bucket"), "sent", *KNOWN), "parted")
+        parts = far.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count_if("sent") / large).alias("turns"))
+        far = lookup(far, written(parts.filter("n > 1 AND turns > 0"), "parts"), ["bucket"])
+        rows = rows.union(far.select(*rows.columns))
+    blocks = F.ceil(F.col("n") / block)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own, turn = F.pmod(F.xxhash64("_node", "bucket"), blocks), F.pmod(F.xxhash64("bucket", "_node"), F.col("turns"))
+    dealt = rows.withColumn("turn", every(F.col("turns"))).select("bucket", (F.col("turn") * blocks + own).alias("block"), F.lit(False).alias("sent"), *KNOWN)
+    sent = rows.filter("sent").withColumn("of", every(blocks)).select("bucket", (turn * blocks + F.col("of")).alias("block"), "sent", *KNOWN)
+    return dealt.union(sent)
+
+
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables = Powers()
     for batch in batches:
@@ -312,7 +360,7 @@ def components(links: DataFrame) -> DataFrame:
         was = now
 
 
-def links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, agree: float = AGREE, block: int = BLOCK) -> DataFrame:
+def links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, agree: float = AGREE, block: int = BLOCK, large: int = LARGE) -> DataFrame:
     """a, b: verified links between different texts, by node; enough of them to connect every class."""
     keyed = docs.filter("text is not null").select(*text_key(), node().alias("_node"), "text")
     kind = "_id long, _node long, signature binary"
@@ -353,18 +401,18 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, r
         some = placed.filter("component <> main").select("bucket").distinct()
         return written(placed.join(some, "bucket", "left_semi"), "apart")
 
-    sizes = None
+    tokens = sizes = None
+    crowded = live.filter(F.col("n") > large).select("_node").distinct()
     for best in (True, False):
         placed = apart()
         if sizes is None:
             sizes = written(_sizes(sets.select("_node", "elements").join(placed.select("_node").distinct(), "_node", "left_semi")), "sizes")
-        placed = placed.join(sizes.filter(F.col("shared") >= similarity * F.col("size")), "_node")  # others have no partner
-        blocks = F.ceil(F.col("n") / block).cast("int")
-        known = ["_node", "component", "size", "shared"]
-        dealt = placed.select("bucket", F.pmod(F.xxhash64("_node", "bucket"), blocks).cast("int").alias("block"), F.lit(False).alias("sent"), *known)
-        sent = placed.filter("component <> main").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("sent"), *known)
-        rows_ = dealt.union(sent).join(signs.select("_node", "signature"), "_node").join(sets.select("_node", "spread"), "_node")
-        rows_ = rows_.select("bucket", "block", "sent", *known, "signature", "spread")
+        able = sizes.filter(F.col("shared") >= similarity * F.col("size"))  # others have no partner
+        if tokens is None and not crowded.isEmpty():
+            tokens = written(rarer_tokens(signs.join(crowded, "_node", "left_semi").join(able, "_node", "left_semi"), math.ceil(agree * bands * rows)), "tokens")
+        rows_ = met(placed.join(able, "_node"), tokens, block, large)
+        rows_ = rows_.join(signs.select("_node", "signature"), "_node").join(sets.select("_node", "spread"), "_node")
+        rows_ = rows_.select("bucket", "block", "sent", *KNOWN, "signature", "spread")
         rows_ = rows_.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
         more = rows_.mapInArrow(lambda b, best=best: _across(b, agree, similarity, best), "a long, b long").distinct()
         found = found.union(written(verified(more), "links"))

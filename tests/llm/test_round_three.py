@@ -369,3 +369,58 @@ def test_one_of_each_keeps_clashing_columns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _text string, _row string")
     kept = neardup.one_of_each(docs)
     assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[2]], key=str)
+
+
+def sharing(rng: random.Random, n: int) -> list[str]:
+    """Texts of one passage and words of their own, with a few near copies of every tenth."""
+    fresh = lambda k: " ".join(f"w{rng.getrandbits(40):x}" for _ in range(k))
+    passage, texts = fresh(130), []
+    for i in range(n):
+        text = f"{passage} {fresh(100)}"
+        texts += [text] + [f"{text} {fresh(4)}" for _ in range(3 if i % 10 == 0 else 0)]
+    return texts
+
+
+def test_large_buckets_lose_no_link(spark):
+    """Parted by their rarer coordinates, buckets of a shared passage give the classes of brute force."""
+    import brute
+
+    from corpusmill.llm import neardup
+
+    texts = sharing(random.Random(5), 300)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x["doc_id"]: x["class_id"] for x in neardup.classes(docs, block=4, large=8).collect()}
+    assert found == brute.classes(list(enumerate(texts))) and len(set(found.values())) == 300
+
+
+def test_signatures_that_agree_share_a_rarer_coordinate(spark):
+    from corpusmill.llm import neardup
+
+    r = np.random.default_rng(3)
+    base = r.integers(1, 1 << 32, 80, dtype=np.uint32)
+    signed = [np.where(r.random(80) < share, base, r.integers(1, 1 << 32, 80, dtype=np.uint32)) for share in r.choice([0.3, 0.6, 0.75, 0.9], 200)]
+    signs = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(signed)], "_node long, signature binary")
+    tokens = neardup.rarer_tokens(signs, 48)
+    own = [set() for _ in signed]
+    for x in tokens.collect():
+        own[x["_node"]].add(x["token"])
+    assert all(len(x) <= 33 for x in own)
+    agreeing = [(i, j) for i in range(200) for j in range(i) if (signed[i] == signed[j]).sum() >= 48]
+    assert agreeing and all(own[i] & own[j] for i, j in agreeing)
+
+
+def test_a_bucket_of_unlike_texts_is_parted(spark):
+    """100,000 texts that the hub's class left, in pairs by 33 coordinates: what meets in a task is bounded, and grows with the rows, not with their square."""
+    from pyspark.sql import functions as F
+
+    from corpusmill.llm import neardup
+
+    known = [F.col("id").alias("_node"), F.col("id").alias("component"), F.lit(9).alias("size"), F.lit(9).alias("shared")]
+    placed = spark.range(100_000).select(F.lit(1).cast("long").alias("bucket"), F.lit(100_000).cast("long").alias("n"), F.lit(-1).cast("long").alias("main"), *known)
+    tokens = spark.range(100_000).select(F.col("id").alias("_node"), F.explode(F.sequence(F.lit(0), F.lit(32))).alias("k"))
+    tokens = tokens.select("_node", F.expr("(_node div 2) * 33 + k").alias("token"))
+    most, rows = neardup.met(placed, tokens, 96, neardup.LARGE).groupBy("bucket", "block").count().agg(F.max("count"), F.sum("count")).first()
+    assert most == 4 and rows == 2 * 33 * 100_000
+    common = spark.range(100_000).select(F.col("id").alias("_node"), F.lit(1).cast("long").alias("token"))
+    few = placed.filter("_node < 9000")
+    assert neardup.met(few, common, 96, 960).groupBy("bucket", "block").count().agg(F.max("count")).first()[0] < 1300
