@@ -48,6 +48,11 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if measured(df) <= limit else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast. Spark goes by compressed bytes, of which words and hashes make tens of times as many on the driver."""
+    return df.hint("merge")
+
+
 def lookup(rows: DataFrame, known: DataFrame, keys: list[str], how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
     """rows joined with a written table of one row a key, of which any may be held by a large share of rows.
 
@@ -58,7 +63,7 @@ def lookup(rows: DataFrame, known: DataFrame, keys: list[str], how: str = "inner
     rest = [F.col(f"`{c}`") for c in rows.columns if c not in keys]
     dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int"))
     salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(salted, [*keys, "_salt"], how).drop("_salt")
+    return dealt.join(shuffled(salted), [*keys, "_salt"], how).drop("_salt")
 
 
 def text_key() -> list[Column]:

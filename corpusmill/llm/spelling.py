@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, table, written
+from .common import lookup, shuffled, table, written
 from .importance import CRC_TABLE, crc_sql
 from .textkernel import mix, powers
 
@@ -119,7 +119,7 @@ def light_edges(words: DataFrame) -> DataFrame:
     """word, n, pos, heavy, ends for each light edge of a word."""
     found = lookup(paths(words), branches(words), ["node"]).filter(F.col("edge") != F.col("heavy"))
     own = found.groupBy("id").agg(F.collect_list(F.struct("pos", "heavy", (F.col("edge") == END).alias("ends"))).alias("light"))  # a logarithm of the words at most
-    return words.join(own, "id").select("word", "n", F.explode("light").alias("l")).select("word", "n", "l.*")
+    return words.join(shuffled(own), "id").select("word", "n", F.explode("light").alias("l")).select("word", "n", "l.*")
 
 
 def near(words: DataFrame, least: int = LEAST_LETTERS) -> DataFrame:
@@ -134,7 +134,7 @@ def near(words: DataFrame, least: int = LEAST_LETTERS) -> DataFrame:
     light = written(light_edges(words).select("word", "n", F.array(skipped, behind, replaced).alias("copies"), wild.alias("wild")), "light")
 
     copies = light.select(F.col("word").alias("from"), F.col("n").alias("from_n"), F.explode("copies").alias("word")).filter(F.length("word") >= least)
-    met = copies.join(words.select("word", "n"), "word")
+    met = copies.join(shuffled(words.select("word", "n")), "word")
     first = lambda n, word: F.struct((-F.col(n)).alias("less"), F.col(word).alias("word"))
     both = F.array(F.struct(F.col("word"), first("from_n", "from").alias("best")), F.struct(F.col("from").alias("word"), first("n", "word").alias("best")))
     one = met.select(F.explode(both).alias("b")).select("b.word", "b.best", F.lit(1).cast("long").alias("k"))
@@ -159,10 +159,10 @@ def roots(links: DataFrame) -> DataFrame:
 def variants(docs: DataFrame, least: int = LEAST_LETTERS, times: int = LEAST_TIMES, slips: int = SLIPS) -> DataFrame:
     """word, form, root, n, n_near, form_n."""
     words = vocabulary(docs, least, times, slips)
-    told = words.join(near(words, least), "word", "left").withColumn("m", -F.col("best.less"))
+    told = words.join(shuffled(near(words, least)), "word", "left").withColumn("m", -F.col("best.less"))
     strong: Column = F.col("m") >= 2 * F.col("n")
     told = written(told.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(strong, F.col("best.word")).alias("form"), F.when(strong, F.col("m")).alias("form_n")), "forms")
-    found = told.join(roots(told.filter("form is not null")), "word", "left")
+    found = told.join(shuffled(roots(told.filter("form is not null"))), "word", "left")
     return found.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
