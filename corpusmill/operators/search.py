@@ -16,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.data import dot, keyword_relevance, normalised, relevance
+from ..functions.data import keyword_relevance, normalised, relevance
 from ..functions.text import query_terms
+from ..session import small_batches, trimmed
 
 BROADCAST_BYTES = 16 << 20
 #: Similarities held at once when a batch of rows meets the stated queries.
 CELLS = 1 << 22
+#: Rows and queries of a scope that meet in one task where the queries are too many to be stated.
+ROW_BLOCK, QUERY_BLOCK = 1 << 15, 1 << 13
 #: Far above the rounding of a product of two vectors of length one.
 ROUNDING = 1e-9
 SIMILARITY = 0.25
@@ -49,7 +52,9 @@ def keyword_hits(rows: DataFrame, content: str, queries: DataFrame) -> DataFrame
         found.make_automaton()
         for texts in columns:
             yield pd.Series([sorted({i for _, ids in found.iter(t) for i in ids}) if t and of else [] for t in texts], dtype=object)
+        trimmed()
 
+    small_batches(rows.sparkSession)
     return rows.select("*", F.explode(hits(F.lower(F.coalesce(F.col(content), F.lit(""))))).alias("query_id"))
 
 
@@ -103,23 +108,57 @@ def _nearest(batches: Iterator[pa.RecordBatch], key: str, stated: pa.Table, k: i
                 )
 
 
+def _firsts(batch: pa.RecordBatch, key: str, k: int) -> pa.RecordBatch:
+    """The batch without copies of a vector that k rows of smaller keys hold too."""
+    vectors, seen, kept = batch.column("_v"), {}, []
+    start, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
+    for i in np.argsort(batch.column(key).to_numpy(zero_copy_only=False), kind="stable"):
+        held = flat[start[i] : start[i + 1]].tobytes()
+        seen[held] = seen.get(held, 0) + 1
+        if seen[held] <= k:
+            kept.append(i)
+    return batch.take(pa.array(kept, pa.int64()))
+
+
+def _met_in_blocks(left: DataFrame, right: DataFrame, key: str, scope: list[tuple[str, str]], k: int, kinds: str) -> DataFrame:
+    """What `_nearest` finds for each block of a scope's rows and each block of its queries; any task holds one of each, however large a scope is."""
+    blocks = lambda df, by, size: -(-(df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1) // size)
+    ours, theirs = [a for a, _ in scope], [b for _, b in scope]
+    types = dict(left.dtypes)
+    right = right.select("query_id", "_q", *[F.col(b).cast(types[a]).alias(b) for a, b in scope])
+    n_rows, n_queries = blocks(left, ours, ROW_BLOCK), blocks(right, theirs, QUERY_BLOCK)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = left.withColumn("_row_block", place(key, n_rows)).withColumn("_query_block", each(n_queries))
+    right = right.withColumn("_query_block", place("query_id", n_queries)).withColumn("_row_block", each(n_rows))
+
+    def met(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        kind = pa.schema([queries.schema.field("query_id"), rows.schema.field(key), pa.field("similarity", pa.float64())])
+        if not rows.num_rows or not queries.num_rows:
+            return kind.empty_table()
+        batch = _firsts(rows.select([key, "_v", *ours]).combine_chunks().to_batches()[0], key, k)
+        return pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=kind) for b in _nearest([batch], key, queries.select(["query_id", "_q", *theirs]), k)], kind)
+
+    ends = ["_row_block", "_query_block"]
+    return left.groupBy(*ours, *ends).cogroup(right.groupBy(*theirs, *ends)).applyInArrow(met, kinds)
+
+
 def vector_topk(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int, on: dict[str, str], limit: int = BROADCAST_BYTES) -> DataFrame:
     """query_id, key, rank, similarity of the k nearest rows in each query's scope.
 
     queries: query_id, query (a vector) and scope columns; `on` maps a column of rows to one of queries. The zero vector finds nothing,
-    nor does a null scope. Queries of up to `limit` bytes go to every task, which multiplies matrices; more are joined by scope.
+    nor does a null scope. Queries of up to `limit` bytes go to every task, which multiplies matrices; more meet the rows by scope, in blocks of both.
     """
     left = rows.select(F.col(key), normalised(F.col(vector)).alias("_v"), *[F.col(a).alias(f"_r_{a}") for a in on])  # lengths once, not once a pair
     right = queries.select("query_id", normalised(F.col("query")).alias("_q"), *[F.col(b).alias(f"_q_{b}") for b in on.values()])
     left, right = left.dropna(subset=[c for c in left.columns if c != key]), right.dropna(subset=[c for c in right.columns if c != "query_id"])
     size = right.agg(F.sum(8 * F.size("_q") + 64 * (1 + len(on)))).first()[0] or 0
+    kinds = f"query_id {dict(right.dtypes)['query_id']}, `{key}` {dict(left.dtypes)[key]}, similarity double"
     if 0 < size <= limit:
         stated = right.toArrow()  # of the size just measured
-        kinds = f"query_id {dict(right.dtypes)['query_id']}, `{key}` {dict(left.dtypes)[key]}, similarity double"
         met = left.mapInArrow(lambda b: _nearest(b, key, stated, k), kinds)
     else:
-        scope = [F.col(f"_r_{a}") == F.col(f"_q_{b}") for a, b in on.items()]
-        met = left.join(right, scope).select("query_id", key, dot(F.col("_v"), F.col("_q")).alias("similarity")).filter("similarity is not null")
+        met = _met_in_blocks(left, right, key, [(f"_r_{a}", f"_q_{b}") for a, b in on.items()], k, kinds)
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

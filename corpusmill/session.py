@@ -12,6 +12,28 @@ SETTINGS = {
     "spark.sql.parquet.compression.codec": "zstd",
 }
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on a batch of rows that goes to Python holds 1,000 of them, unless the session has a number of its own: whole texts are large."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "1000")
+
+
+def trimmed() -> None:
+    """Gives freed memory back to the machine: a Python worker outlives its tasks, and what one task has freed another's heap may need."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.config(map=SETTINGS | settings)
