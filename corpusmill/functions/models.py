@@ -16,9 +16,11 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_batches, trimmed
+
 DIMENSIONS = 64
 ATTEMPTS, WAIT_SECONDS = 3, 2.0
 
@@ -110,6 +112,11 @@ def model_of(task: str, settings: dict[str, str] | None = None) -> str:
     return (settings or {}).get(task) or MODELS.get(task) or MODELS["map"]
 
 
+def _small_batches() -> None:
+    if spark := SparkSession.getActiveSession():
+        small_batches(spark)
+
+
 def caller(backend: Callable[[list[str]], list], batch: int = 8, workers: int = 1, **retry):
     """A column function: text to reply (null: failed or empty), status, attempts and seconds of its call."""
 
@@ -122,7 +129,9 @@ def caller(backend: Callable[[list[str]], list], batch: int = 8, workers: int =
                     empty = found is not None and not str(reply or "").strip()
                     rows.append((None if empty else reply, "empty" if empty else status, attempts, seconds / len(part)))
             yield pd.DataFrame(rows, columns=["reply", "status", "attempts", "seconds"])
+        trimmed()
 
+    _small_batches()
     return call
 
 
@@ -139,7 +148,9 @@ def embedder(backend: Callable[[list[str]], list] = hashed, batch: int = 16, dim
     def embed(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in columns:
             yield pd.Series(tried(backend, texts.fillna("").tolist(), [0.0] * dimensions, batch, workers, **retry), dtype=object)
+        trimmed()
 
+    _small_batches()
     return embed
 
 
@@ -150,5 +161,7 @@ def transformer(backend: Callable[[list[str]], list], batch: int = 8, workers: i
     def call(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in columns:
             yield pd.Series(tried(backend, texts.fillna("").tolist(), None, batch, workers, **retry), dtype=object)
+        trimmed()
 
+    _small_batches()
     return call

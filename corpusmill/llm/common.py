@@ -5,25 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_batches
 from ..storage import scratch_path
 
 #: A side is broadcast only when its measured bytes stay under this.
 BROADCAST_BYTES = 16 << 20
 #: Ways that the rows of a key are dealt in a lookup that is too large to broadcast.
 SALTS = 16
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """From now on a batch of rows that goes to Python holds 1,000 of them, unless the session has a number of its own: whole texts are large."""
-    if spark.conf.get(BATCH) == "10000":
-        spark.conf.set(BATCH, "1000")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and fixes the rows."""
     small_batches(df.sparkSession)

@@ -42,8 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import trimmed
 from .common import lookup, small, table, text_key, written
-from .textkernel import Powers, Words, chunks, mix, text_buffer, trimmed, windows
+from .textkernel import Powers, Words, chunks, mix, text_buffer, windows
 
 SHINGLE = 5
 SIMILARITY = 0.8

@@ -36,8 +36,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import trimmed
 from .common import small, table, written
-from .textkernel import chunks, mix, text_buffer, trimmed
+from .textkernel import chunks, mix, text_buffer
 
 CAPACITY = 2048
 END_ID = 1

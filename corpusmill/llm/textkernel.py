@@ -31,18 +31,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def trimmed() -> None:
-    """Gives freed memory back to the machine: a Python worker outlives its tasks, and what one task has freed another's heap may need."""
-    import ctypes
-    import gc
-
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-    if trim:
-        trim(0)
-
-
 def _byte_values(fold: bool) -> np.ndarray:
     values = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_P)) | np.uint64(1)
     if fold:
