@@ -65,20 +65,34 @@ def first_wins(sections: DataFrame, scope: list[str], order: str = "position") -
 
 
 def with_ancestors(sections: DataFrame, scope: list[str]) -> DataFrame:
-    """Missing parents are added with empty bodies."""
-    above = sections.select(*scope, F.explode(ancestor_ids(F.col("clause_id"))).alias("clause_id")).distinct()
-    missing = above.join(sections.select(*scope, "clause_id"), [*scope, "clause_id"], "left_anti")
-    missing = missing.select(*scope, "clause_id", F.concat(F.lit("Clause "), "clause_id").alias("title"), F.lit("").alias("body"), sort_key(F.col("clause_id")).alias("sort_order"))
-    return sections.select(*missing.columns).unionByName(missing)
+    """Missing parents are added with empty bodies. The sections are read once: each also asks for its ancestors, and stands before those who ask for it."""
+    own = F.struct("title", "body", "sort_order")
+    none = F.lit(None).cast(sections.select(own.alias("own")).schema["own"].dataType)
+    above = F.transform(ancestor_ids(F.col("clause_id")), lambda a: F.struct(a.alias("clause_id"), none.alias("own")))
+    each = F.concat(F.array(F.struct("clause_id", own.alias("own"))), F.coalesce(above, F.array()))
+    rows = sections.select(*scope, F.inline(each))
+    first = F.row_number().over(Window.partitionBy(*scope, "clause_id").orderBy(F.col("own").isNull()))
+    rows = rows.withColumn("_place", first).filter("own IS NOT NULL OR _place = 1")
+    made = lambda c, given: F.when(F.col("own").isNull(), given).otherwise(F.col(f"own.{c}")).alias(c)
+    return rows.select(*scope, "clause_id", made("title", F.concat(F.lit("Clause "), "clause_id")), made("body", F.lit("")), made("sort_order", sort_key(F.col("clause_id"))))
 
 
 def rolled_up(sections: DataFrame, scope: list[str]) -> DataFrame:
-    """An empty section gets its children's titles and bodies, one level only: a child without a body gives its title."""
+    """An empty section gets its children's titles and bodies, one level only: a child without a body gives its title.
+
+    The sections are read once: each goes to its own place and to its parent's.
+    """
     said = F.concat(F.col("clause_id"), F.lit(" "), F.col("title"), F.lit("\n\n"), F.when(blank(F.col("body")), F.col("title")).otherwise(F.col("body")))
-    below = sections.select(*scope, parent_id(F.col("clause_id")).alias("clause_id"), F.struct("sort_order", F.col("clause_id").alias("id"), said.alias("said")).alias("s")).filter("clause_id is not null")
-    below = below.groupBy(*scope, "clause_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["said"]), "\n\n").alias("_below"))
-    both = sections.join(below, [*scope, "clause_id"], "left")
-    return both.withColumn("body", F.when(blank(F.col("body")) & F.col("_below").isNotNull(), F.col("_below")).otherwise(F.col("body"))).drop("_below")
+    own = F.struct(*[c for c in sections.columns if c not in (*scope, "clause_id")])
+    child = F.struct("sort_order", F.col("clause_id").alias("id"), said.alias("said"))
+    kinds = sections.select(own.alias("own"), child.alias("child")).schema
+    none = lambda c: F.lit(None).cast(kinds[c].dataType).alias(c)
+    places = F.array(F.struct("clause_id", own.alias("own"), none("child")), F.struct(parent_id(F.col("clause_id")).alias("clause_id"), none("own"), child.alias("child")))
+    rows = sections.select(*scope, F.inline(places)).filter("own IS NOT NULL OR clause_id IS NOT NULL")
+    met = rows.groupBy(*scope, "clause_id").agg(F.collect_list("own").alias("own"), F.collect_list("child").alias("below")).filter("size(own) > 0")
+    told = F.when(F.size("below") > 0, F.array_join(F.transform(F.array_sort("below"), lambda s: s["said"]), "\n\n"))
+    both = met.select(*scope, "clause_id", F.explode("own").alias("own"), "below").select(*scope, "clause_id", "own.*", F.when(blank(F.col("own.body")), told).alias("_below"))
+    return both.withColumn("body", F.coalesce("_below", "body")).select(*sections.columns)
 
 
 def merged(a: DataFrame, b: DataFrame, scope: list[str], good_title: Column) -> DataFrame:
