@@ -153,23 +153,23 @@ def promoted(sections: DataFrame, scope: list[str]) -> DataFrame:
     """
     key = [*scope, "_of"]
     rows = sections.withColumn("_of", F.struct("sort_order", "clause_id"))
-    rows = rows.select(*key, "clause_id", "title", F.posexplode(F.concat(F.array(F.lit("")), F.split(F.coalesce("body", F.lit("")), "\n", -1))).alias("n", "line"))
-    rows = rows.withColumn("line", strip(F.col("line"))).filter("line <> '' or n = 0").filter(~F.col("line").rlike(JUNK_LINE) | (F.col("n") == 0))
+    rows = rows.select(*key, "clause_id", "title", F.posexplode(F.concat(F.array(F.lit("")), F.transform(F.split(F.coalesce("body", F.lit("")), "\n", -1), strip))).alias("n", "line"))
+    rows = rows.filter("line <> '' or n = 0").filter(~F.col("line").rlike(JUNK_LINE) | (F.col("n") == 0))
     undotted = F.regexp_replace("line", r"^\.+", "")
     found = F.when(undotted.rlike(BARE_ID), F.struct(normal_id(undotted).alias("id"), F.lit(None).cast("string").alias("title"))).otherwise(heading(F.col("line")))
     below = lambda f: F.startswith(f["id"], F.concat("clause_id", F.lit("."))) | (depth(f["id"]) > depth(F.col("clause_id")))
     rows = rows.withColumn("found", found).withColumn("found", F.when(F.col("found").isNotNull() & below(F.col("found")), F.col("found")))
     rows = rows.withColumn("found", F.when(F.col("n") == 0, F.struct(F.col("clause_id").alias("id"), F.coalesce("title", F.lit("")).alias("title"))).otherwise(F.col("found")))
     own = Window.partitionBy(*key).orderBy("n")
+    so_far = own.rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("short", F.col("found").isNull() & (F.length("line") <= 80) & ~F.col("line").rlike(r"[.!?…:]$"))
-    rows = rows.withColumn("part", F.sum(F.col("found").isNotNull().cast("int")).over(own))
-    pending = F.last(F.when(F.col("short"), F.col("line")), ignorenulls=True).over(Window.partitionBy(*key, "part").orderBy("n"))
-    rows = rows.withColumn("pending", pending)
+    pending = F.when(F.col("found").isNotNull(), F.struct(F.lit(None).cast("string").alias("line"))).when(F.col("short"), F.struct("line"))  # none right after a heading
+    rows = rows.withColumn("pending", F.last(pending, ignorenulls=True).over(so_far)["line"])
     told = F.coalesce("found.title", F.lag("pending").over(own), "found.id")
     takes_last = F.col("found").isNotNull() & F.col("found.title").isNull() & F.lag("short").over(own)
     rows = rows.withColumn("title", F.when(F.col("found").isNotNull(), told)).withColumn("takes", F.coalesce(takes_last, F.lit(False)))
     rows = rows.withColumn("taken", F.coalesce(F.lead("takes").over(own), F.lit(False)))
-    rows = rows.withColumn("id", F.last("found.id", ignorenulls=True).over(own)).filter("not taken")
+    rows = rows.withColumn("id", F.last("found.id", ignorenulls=True).over(so_far)).filter("not taken")
     place = F.struct("_of", "n")
     whole = rows.groupBy(*scope, F.col("id").alias("clause_id")).agg(
         F.min_by("title", F.when(F.coalesce("title", F.lit("")) != "", place)).alias("title"),

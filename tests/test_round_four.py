@@ -6,8 +6,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.functions import models
 from corpusmill.functions import text as tx
+from corpusmill.operators import search, sections
 from corpusmill.plans import catalog
+from corpusmill.session import BATCH
 
 
 def test_word_pairs_find_the_words_once(spark):
@@ -30,3 +33,35 @@ def test_ends_are_trimmed_as_the_sql_trims_them(spark, tmp_path, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     told = con.execute(f"SELECT {', '.join(found.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(told, key=repr)
+
+
+def test_many_queries_meet_the_rows_in_blocks(spark, monkeypatch):
+    """Blocks of a few rows and queries give what stated queries give; copies of one vector don't make pairs beyond k a block."""
+    made = [(i, [float(i * 7 % 11), float(i % 5), 1.0 + i % 3], i % 2) for i in range(60)] + [(100 + i, [1.0, 2.0, 3.0], 0) for i in range(200)] + [(900, [0.0] * 3, 0), (901, [1.0], 1), (902, None, 1)]
+    rows = spark.createDataFrame(made, "vec_id long, v array<float>, scope int")
+    queries = rows.filter("vec_id % 5 = 0").selectExpr("vec_id AS query_id", "v AS query", "cast(scope AS long) AS scope")
+    stated = search.vector_topk(rows, "vec_id", "v", queries, 4, {"scope": "scope"})
+    monkeypatch.setattr(search, "ROW_BLOCK", 50)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 9)
+    found = search.vector_topk(rows, "vec_id", "v", queries, 4, {"scope": "scope"}, limit=0)
+    assert "CoGroup" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, stated.collect()))
+
+
+def test_sections_are_read_once(spark):
+    """Ancestors and roll-up take their input in one pass, keep repeated rows and know null scopes."""
+    rows = spark.createDataFrame([(1, "1.2.3", "t", "b", 5), (1, "1.2.3", "u", "c", 5), (1, "1", "top", "x", 1), (None, "2.1", "n", " ", 7)], "doc int, clause_id string, title string, body string, sort_order long")
+    told = sections.rolled_up(sections.with_ancestors(rows, ["doc"]), ["doc"])
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert sorted(map(tuple, told.collect()), key=repr) == sorted([
+        (1, "1", "top", "x", 1), (1, "1.2", "Clause 1.2", "1.2.3 t\n\nb\n\n1.2.3 u\n\nc", 102000000), (1, "1.2.3", "t", "b", 5), (1, "1.2.3", "u", "c", 5),
+        (None, "2", "Clause 2", "2.1 n\n\nn", 200000000), (None, "2.1", "n", " ", 7)], key=repr)
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    spark.conf.unset(BATCH)
+    models.caller(lambda texts: texts)
+    assert spark.conf.get(BATCH) == "1000"
+    spark.conf.unset(BATCH)
+    search.keyword_hits(spark.createDataFrame([("a",)], "t string"), "t", spark.createDataFrame([(1, "castle")], "query_id long, query string"))
+    assert spark.conf.get(BATCH) == "1000"
