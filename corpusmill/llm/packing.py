@@ -1,10 +1,10 @@
 """Packing of documents into fixed-length sequences along a Hilbert curve.
 
-Each document is encoded once; the hashed vectors of its words, averaged, are a
-projection to three dimensions, and the Hilbert key of that point orders the
-corpus so that similar documents are neighbours. The ordered documents' ids are
-one stream that is cut every `capacity` ids, so only the last sequence has
-padding.
+Each document is encoded once; the hashed vectors of its words, averaged (marks
+set off from them don't count), are a projection to three dimensions, and the
+Hilbert key of that point orders the corpus so that similar documents are
+neighbours. The ordered documents' ids are one stream that is cut every `capacity`
+ids, so only the last sequence has padding.
 
 The order is by range of (Hilbert key, doc_id, content), in ranges of about
 `RANGE_BYTES` of ids (up to MOST_RANGES of them), so a key that many documents
@@ -12,8 +12,8 @@ share is many ranges. Each range counts its ids as it is written, the ranges' su
 are added up in order, and then every document can be cut on its own.
 
 Words are encoded once and kept: white space never joins two pieces of this
-tokenizer's pattern, so a text's ids are its words' ids in order. Tested against
-encoding of whole texts.
+tokenizer's pattern, nor do a letter and a mark beside it, so a text's ids are the
+ids of its words and marks in order. Tested against encoding of whole texts.
 
 Defined cases: null and empty texts give the end id alone; repeated rows are
 packed as often as they occur; ties on the curve are ordered by doc_id, then by
@@ -22,12 +22,10 @@ content; no rows give no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
-import re
 import sys
 import types
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 from unicodedata import is_normalized
 
 import numpy as np
@@ -38,7 +36,7 @@ from pyspark.sql import functions as F
 
 from ..session import trimmed
 from .common import small, table, written
-from .textkernel import chunks, mix, text_buffer
+from .textkernel import SEPARATOR, chunks, mix, text_buffer
 
 CAPACITY = 2048
 END_ID = 1
@@ -49,8 +47,18 @@ MOST_RANGES = 100_000
 #: Marks that rows of one key, doc_id and content are dealt by.
 SALTS = 64
 CACHED_WORDS = 500_000
-#: Letters between ASCII marks other than apostrophes (which begin pieces such as 's) and spaces.
-MARKED = re.compile(r"([!-&(-/:-@\[-`{-~]*)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+#: ASCII marks other than apostrophes, which begin pieces such as 's.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+MARK = np.zeros(256, bool)
+MARK[list(MARKS)] = True
+LETTER = np.zeros(256, bool)
+LETTER[97:123] = True
+#: First bytes of U+00C0 to U+023F, all letters but two (U+00D7 and U+00F7); the lower case of U+0130 ends with a mark.
+LEAD = np.zeros(256, bool)
+LEAD[0xC3:0xC9] = True
+LETTERS_A_CALL = 200
+#: Texts that are encoded whole: case folding would make or break a special token, or a capital's composition with accents.
+ODD = r"<\||[HIJTWY]\p{M}"
 
 
 def worker_store() -> dict:
@@ -82,8 +90,30 @@ def spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
 
 
+def _words(raw: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """What lies between spaces, between a letter and a mark beside it, and in one of the texts at..at; and the text of each."""
+    n = len(raw)
+    if not n:
+        return pa.array([], pa.binary()), np.zeros(0, np.int64)
+    solid, mark = ~SEPARATOR[raw], MARK[raw]
+    begin = np.ones(n, bool)
+    begin[1:] = ~solid[:-1]
+    begin[at[:-1][at[:-1] < n]] = True
+    lead = LEAD[raw]
+    lead[:-1] &= ~(((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))) | ((raw[:-1] == 0xC4) & (raw[1:] == 0xB0)))
+    letter = LETTER[raw]
+    last = letter.copy()
+    last[1:] |= lead[:-1]
+    begin[1:] |= (mark[:-1] & (letter | lead)[1:]) | (last[:-1] & mark[1:])
+    start = np.flatnonzero(begin & solid)
+    kept = np.concatenate([[0], np.cumsum(solid)])
+    ends = np.append(kept[start], kept[-1]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(raw[solid])])
+    return words, np.repeat(np.arange(len(at) - 1), np.diff(np.searchsorted(start, at)))
+
+
 class WordEncoder:
-    """Ids and hashed vectors of words, each encoded once until the cache is full."""
+    """Ids and hashed vectors of words and marks, each encoded once until the cache is full."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -97,45 +127,36 @@ class WordEncoder:
     def clear(self) -> None:
         self.codes: dict[bytes, int] = {}
         self.flat, self.start, self.length = Grown(np.zeros(0, np.uint16)), Grown(np.zeros(0, np.int64)), Grown(np.zeros(0, np.int64))
-        self.vector = Grown(np.zeros((0, DIMENSIONS), np.float32))
+        self.vector, self.counts = Grown(np.zeros((0, DIMENSIONS), np.float32)), Grown(np.zeros(0, bool))
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
     def learn(self, words: list[bytes]) -> None:
-        """Takes words in that aren't known: letters in one text, letters next to marks by their pieces, others alone."""
-        known = self.codes
-        joined = b" ".join(words).decode("utf-8", "replace")
-        calm = joined.lower() == joined and is_normalized("NFC", joined)
-        letters, pieces, rest = [], {}, []
-        for word, text in zip(words, joined.split(" "), strict=True):
-            if not calm and not (text.lower() == text and is_normalized("NFC", text)):
+        """Takes words in that aren't known: ASCII letters are a piece that needs the model alone, other letters go in few calls, the rest one by one."""
+        plain, letters, rest = [], [], []
+        for word, text in zip(words, b" ".join(words).decode("utf-8", "replace").split(" "), strict=True):
+            if not text.isalpha():
                 rest.append(word)
-            elif text.isalpha():  # one piece
-                letters.append(word)
-            elif (found := MARKED.fullmatch(text)) and found[2].isalpha():  # two or three pieces
-                pieces[word] = [x.encode() for x in found.groups() if x]
+            elif text.isascii():
+                plain.append(word)
             else:
-                rest.append(word)
-        own = set(letters)
-        for x in set(chain.from_iterable(pieces.values())):
-            if x not in known and x not in own:
-                (letters if x[:1].isalpha() or x[0] >= 128 else rest).append(x)
-        if letters:
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(letters).decode()], add_special_tokens=False)[0].ids, np.uint16)
+                (letters if text.lower() == text and is_normalized("NFC", text) else rest).append(word)
+        tokenize = self.tokenizer.model.tokenize
+        self._put_each(plain, [[t.id for t in tokenize(w.decode())] for w in plain])
+        for first in range(0, len(letters), LETTERS_A_CALL):
+            some = letters[first : first + LETTERS_A_CALL]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint16)
             length = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
-            if len(length) == len(letters):
-                self._put(letters, ids, length)
+            if len(length) == len(some):
+                self._put(some, ids, length)
             else:
-                rest += letters
-        if rest := list(set(rest).difference(known)):
-            each = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)]
-            self._put(rest, np.array([i for ids in each for i in ids], np.uint16), np.array([len(ids) for ids in each], np.int64))
-        if pieces:
-            code = np.fromiter((known[x] for x in chain.from_iterable(pieces.values())), np.int64)
-            many = np.fromiter(map(len, pieces.values()), np.int64, len(pieces))
-            start, length = self.start.now()[code], self.length.now()[code]
-            self._put(list(pieces), self.flat.now()[spans(start, length)], np.add.reduceat(length, np.cumsum(many) - many))
+                rest += some
+        self._put_each(rest, [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)])
+
+    def _put_each(self, words: list[bytes], each: list[list[int]]) -> None:
+        if words:
+            self._put(words, np.array([i for ids in each for i in ids], np.uint16), np.array([len(ids) for ids in each], np.int64))
 
     def _put(self, words: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
         self.codes.update(zip(words, range(self.start.size, self.start.size + len(words)), strict=True))
@@ -145,7 +166,10 @@ class WordEncoder:
         total = np.zeros(len(ids) + 1, np.uint64)
         np.cumsum(mix(ids.astype(np.uint64) + np.uint64(1)) * (np.uint64(1) + np.uint64(2) * order), out=total[1:])
         name = mix(total[own + length] - total[own])
-        self.vector.add(np.stack([(mix(name + np.uint64(d + 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 - 0.5 for d in range(DIMENSIONS)], axis=1))
+        counts = np.fromiter((w.translate(None, MARKS) != b"" for w in words), bool, len(words))
+        hashed = np.stack([(mix(name + np.uint64(d + 1)) >> np.uint64(11)).astype(np.float64) * 2.0**-53 - 0.5 for d in range(DIMENSIONS)], axis=1)
+        self.vector.add(hashed * counts[:, None])
+        self.counts.add(counts)
         self.start.add(own + self.flat.size)
         self.length.add(length)
         self.flat.add(ids)
@@ -153,12 +177,11 @@ class WordEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts in a row, ids per text, mean vector per text; a null is an empty text."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        odd = pc.match_substring(texts, "<|")  # may hold a special token, which case folding would make or break
-        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(odd, "", texts)))
-        words, text = pc.list_flatten(split), pc.list_parent_indices(split)
-        some = pc.greater(pc.binary_length(words), 0)
-        words, text = words.filter(some).dictionary_encode(), text.filter(some).to_numpy()
-        names = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), " ")[0].as_buffer().to_pybytes().split()
+        odd = pc.match_substring_regex(texts, ODD)
+        raw, at = text_buffer(pc.ascii_lower(pc.if_else(odd, "", texts)))
+        words, text = _words(raw[at[0] : at[-1]], at - at[0])
+        words = words.dictionary_encode()
+        names = pc.binary_join(pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary), b" ")[0].as_buffer().to_pybytes().split()
         new = [w for w in names if w not in self.codes]
         if len(self.codes) + len(new) > CACHED_WORDS:
             self.clear()
@@ -169,8 +192,8 @@ class WordEncoder:
         size = self.length.now()[code]
         ids = self.flat.now()[spans(self.start.now()[code], size)]
         count = np.bincount(text, size, len(texts)).astype(np.int64)
-        vector = self.vector.now()
-        per_text = np.bincount(text, minlength=len(texts))
+        vector, counts = self.vector.now(), self.counts.now()[code]
+        per_text = np.bincount(text, counts, len(texts))
         mean = np.stack([np.bincount(text, vector[code, d], len(texts)) for d in range(DIMENSIONS)], axis=1) / np.maximum(1, per_text)[:, None]
         if pc.any(odd).as_py():
             parts = np.split(ids, np.cumsum(count)[:-1])
