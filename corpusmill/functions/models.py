@@ -13,6 +13,7 @@ import threading
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -165,3 +166,18 @@ def transformer(backend: Callable[[list[str]], list], batch: int = 8, workers: i
 
     _small_batches()
     return call
+
+
+def lists_transformer(backend: Callable[[list[str]], list], batch: int = 8, workers: int = 1, **retry):
+    """A column function: texts to a text for each; null for those whose call failed. Calls take what several rows hold."""
+
+    @F.pandas_udf("array<string>")
+    def call(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in columns:
+            each = [[] if x is None else x for x in lists]
+            told = iter(tried(backend, [t or "" for x in each for t in x], None, batch, workers, **retry))
+            yield pd.Series([list(islice(told, len(x))) for x in each], dtype=object)
+        trimmed()
+
+    _small_batches()
+    return call

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import sort_key
-from ..functions.models import transformer
+from ..functions.models import lists_transformer, transformer
 from ..functions.replies import clauses
-from ..functions.text import blank, hebrew_body, packed, segments, strip, too_short
+from ..functions.text import blank, dense_length, hebrew_body, packed, segments, short_of, strip
 from .structure import merged_segments
 
 #: Calls under way at a time in a task.
@@ -22,21 +22,22 @@ def translated(rows: DataFrame, scope: list[str], backend: Callable[[list[str]],
 
     A part that fails, comes back empty or much too short makes the whole section an error; such rows have no title and body.
     """
-    call = transformer(backend, workers=workers, **retry)
+    call, calls = (made(backend, workers=workers, **retry) for made in (transformer, lists_transformer))
     body = F.coalesce("body", F.lit(""))
     rows = rows.withColumn("body", hebrew_body(body) if source == "he" else body)
     if source == target:
         return rows.select(*scope, "clause_id", "title", "body", F.lit(None).cast("string").alias("error"), sort_key(F.col("clause_id")).alias("sort_order"))
-    titled = rows.select(*scope, "clause_id", "title", "body", call(F.coalesce("title", F.lit(""))).alias("_title"))
-    titled = titled.withColumn("_title", F.coalesce(F.nullif(strip(F.col("_title")), F.lit("")), "title"))
-    parts = rows.select(*scope, "clause_id", F.posexplode(F.filter(packed(F.col("body"), most), lambda p: p != "")).alias("n", "part"))
-    parts = parts.withColumn("told", strip(F.coalesce(call(F.col("part")), F.lit(""))))
-    wrong = F.when(F.col("told") == "", "empty").when(too_short(F.col("part"), F.col("told")), "too short")
-    parts = parts.withColumn("wrong", F.when(wrong.isNotNull(), F.concat(F.lit("part "), (F.col("n") + 1).cast("string"), F.lit(": "), wrong)))
-    whole = parts.groupBy(*scope, "clause_id").agg(F.array_sort(F.collect_list(F.struct("n", "told"))).alias("p"), F.min_by("wrong", F.when(F.col("wrong").isNotNull(), F.col("n"))).alias("error"))
-    whole = whole.select(*scope, "clause_id", F.array_join(F.transform("p", lambda x: x["told"]), "\n\n").alias("_body"), "error")
-    both = titled.join(whole, [*scope, "clause_id"], "left").withColumn("_body", F.coalesce("_body", F.lit("")))
-    both = both.withColumn("error", F.coalesce("error", F.when(too_short(F.col("body"), F.col("_body")), "body: too short")))
+    parts = F.filter(packed(F.col("body"), most), lambda p: p != "")
+    told = rows.select(*scope, "clause_id", "title", "body", parts.alias("_parts"))
+    told = told.withColumn("_title", call(F.coalesce("title", F.lit("")))).withColumn("_told", calls(F.col("_parts")))
+    told = told.withColumn("_title", F.coalesce(F.nullif(strip(F.col("_title")), F.lit("")), "title"))
+    told = told.withColumn("_told", F.transform("_told", lambda t: strip(F.coalesce(t, F.lit("")))))
+    told = told.withColumn("_dense", F.transform("_told", dense_length))
+    wrong = lambda d, n: F.when(F.get("_told", n) == "", "empty").when(short_of(F.get("_parts", n), d), "too short")
+    wrong = F.transform("_dense", lambda d, n: F.concat(F.lit("part "), (n + 1).cast("string"), F.lit(": "), wrong(d, n)))
+    dense = F.aggregate("_dense", F.lit(0), lambda a, d: a + d)
+    error = F.coalesce(F.get(F.filter(wrong, lambda e: e.isNotNull()), F.lit(0)), F.when(short_of(F.col("body"), dense), "body: too short"))
+    both = told.select(*scope, "clause_id", "_title", F.array_join("_told", "\n\n").alias("_body"), error.alias("error"))
     said = hebrew_body(F.col("_body")) if target == "he" else F.col("_body")
     keep = lambda c: F.when(F.col("error").isNull(), c)
     return both.select(*scope, "clause_id", keep(F.col("_title")).alias("title"), keep(said).alias("body"), "error", sort_key(F.col("clause_id")).alias("sort_order"))

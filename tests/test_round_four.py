@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import models
 from corpusmill.functions import text as tx
-from corpusmill.operators import search, sections
+from corpusmill.operators import composites, search, sections
 from corpusmill.plans import catalog
 from corpusmill.session import BATCH
 
@@ -65,3 +68,32 @@ def test_texts_go_to_python_in_small_batches(spark):
     spark.conf.unset(BATCH)
     search.keyword_hits(spark.createDataFrame([("a",)], "t string"), "t", spark.createDataFrame([(1, "castle")], "query_id long, query string"))
     assert spark.conf.get(BATCH) == "1000"
+
+
+def test_sections_are_translated_in_their_rows(spark):
+    """One pass without joins; rows of one key and rows without a key keep their own texts."""
+    long = "\n\n".join(f"Paragraph {i} of words. " * 3 for i in range(9))
+    made = [(1, "1", "a", "one\n\ntwo"), (1, "1", "b", "three"), (None, "2", "c", "four"), (None, "2", None, None), (2, "3", "d", long), (3, "4", "e", long.replace("Paragraph 5", "CUT paragraph 5"))]
+
+    def backend(texts):
+        return [t[:9] if "CUT" in t else t.upper() for t in texts]
+
+    rows = spark.createDataFrame(made, "k int, clause_id string, title string, body string")
+    found = composites.translated(rows, ["k"], backend, "en", "fr", most=90, wait=0)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate [" not in plan and plan.count("LogicalRDD") == 1
+    told = [(r["k"], r["title"], r["body"], r["error"]) for r in found.collect()]
+    whole = "\n\n".join(p.strip() for p in long.upper().split("\n\n"))
+    assert told == [(1, "A", "ONE\n\nTWO", None), (1, "B", "THREE", None), (None, "C", "FOUR", None), (None, None, "", None), (2, "D", whole, None), (3, None, None, "part 6: too short")]
+
+
+def test_ends_and_short_texts_are_told_without_scans(spark):
+    odd = " \t\n\x0b\x0c\r    ​　 \u0085ab"
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 9))) for _ in range(3000)]
+    rows = spark.createDataFrame([(a, b) for a, b in zip(texts, reversed(texts), strict=True)] + [(None, "a"), ("a", None)], "a string, b string")
+    white = rf"[{re.sub('[^ -~]', '', tx.WHITE).replace('-', '')}  - 　]"
+    for r in rows.select("a", "b", tx.strip(F.col("a")).alias("s"), tx.too_short(F.col("a"), F.col("b"), 0.7, 2).alias("short")).collect():
+        assert r["s"] == (r["a"] if r["a"] is None else re.sub(rf"\A{white}+|{white}+\Z", "", r["a"], flags=re.ASCII))
+        dense = [len(re.sub(r"\s+", "", t or "", flags=re.ASCII)) for t in (r["a"], r["b"])]
+        assert r["short"] == (dense[0] >= 2 and dense[1] < 0.7 * dense[0])
